@@ -30,17 +30,23 @@ def _hex(chunk: Column) -> Column:
     return F.lpad(F.hex(F.xxhash64(chunk)), 16, "0")
 
 
-def _ambiguous(norms: DataFrame, base: DataFrame) -> DataFrame:
-    """Recipes with an identifier that stands for more than one content (none, as a rule)."""
-    seen = norms.select(F.explode(chunks(F.col("norm"))).alias("chunk")).select(_hex(F.col("chunk")).alias("h"), "chunk")
-    shared = seen.groupBy("h", "chunk").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+def _ambiguous(norms: DataFrame, base: DataFrame) -> DataFrame | None:
+    """Recipes with an identifier that stands for more than one content (none, as a rule).
+
+    The dictionary verifies an identifier by a second digest of the chunk, so that no chunk moves.
+    """
+    seen = norms.select(F.explode(chunks(F.col("norm"))).alias("chunk")).select(_hex(F.col("chunk")).alias("h"), F.xxhash64(F.sha2("chunk", 256)).alias("d"))
+    shared = seen.groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo != hi").select("h")
+    shared = materialize(norms.sparkSession, shared, "ambiguous")
+    if shared.isEmpty():
+        return None
     recipes = base.select("recipe").distinct().where("recipe != ''")
     ids = recipes.select("recipe", F.explode(F.expr("transform(sequence(0, length(recipe) div 16 - 1), i -> substring(recipe, i * 16 + 1, 16))")).alias("h"))
-    return ids.join(shared.select("h"), "h", "left_semi").select("recipe").distinct()
+    return ids.join(shared, "h", "left_semi").select("recipe").distinct()
 
 
 def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, text_hash (of the original).
 
     Of rows with equal normalised texts the one with the most code points in the original stays,
     then the smallest id; null ids come last. Rows repeated in full are told apart by a row number,
@@ -50,17 +56,18 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     norms = docs.select(normalized(F.col(text_col)).alias("norm"))
-    base = docs.select(F.col(id_col).alias("doc_id"), F.char_length(text).alias("points"), normalized(F.col(text_col)).alias("norm"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.char_length(text).alias("points"), normalized(F.col(text_col)).alias("norm"), F.xxhash64(text_col).alias("text_hash"))
     base = base.select(
         "doc_id",
         "points",
         F.array_join(F.transform(chunks(F.col("norm")), _hex), "").alias("recipe"),
         F.sha2("norm", 256).alias("text_sha256"),
+        "text_hash",
         F.monotonically_increasing_id().alias("rid"),
     )
     base = materialize(spark, base, "recipes")
-    odd = materialize(spark, _ambiguous(norms, base), "ambiguous")
-    if not odd.isEmpty():
+    odd = _ambiguous(norms, base)
+    if odd is not None:
         told = F.when(F.col("odd"), F.col("text_sha256")).otherwise(F.lit(""))
         base = base.join(odd.withColumn("odd", F.lit(True)), "recipe", "left").withColumn("recipe", F.concat("recipe", told)).drop("odd")
     best = F.max(F.struct("points", F.bitwise_not("doc_id").alias("d"), F.bitwise_not("rid").alias("r"))).alias("best")
@@ -71,4 +78,5 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "group_size",
         (F.col("rid") == F.bitwise_not("best.r")).alias("kept"),
         "text_sha256",
+        "text_hash",
     )
