@@ -114,3 +114,9 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 2048, id_col: str =
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
     return placed.mapInArrow(cut, schema)
+
+
+def default_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
