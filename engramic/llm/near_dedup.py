@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -36,7 +35,7 @@ CACHE_WORDS = 500_000
 BLOCK = 512
 
 _SEEDS = np.random.default_rng(20_240_131).integers(1, 2**63, size=(K, 2), dtype=np.uint64)
-_MUL, _ADD = _SEEDS[:, 0] | np.uint64(1), _SEEDS[:, 1]
+_MUL, _ADD = (_SEEDS[:, 0] >> np.uint64(20)).astype(np.uint32) | np.uint32(1), (_SEEDS[:, 1] >> np.uint64(20)).astype(np.uint32)
 _P1, _P2 = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -70,10 +69,12 @@ class Shingles:
 
 
 def minhashes(shingles: np.ndarray) -> np.ndarray:
-    out = np.empty(K, np.uint64)
-    for i in range(K):
-        out[i] = (shingles * _MUL[i] + _ADD[i]).min()
-    return out
+    """K minhashes, by multiply-add permutations of 32 bits of the hashes."""
+    x = (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)
+    out = np.full(K, 0xFFFFFFFF, np.uint32)
+    for lo in range(0, len(x), 1024):  # 1,024 columns of a matrix stay in the cache
+        np.minimum(out, (x[None, lo : lo + 1024] * _MUL[:, None] + _ADD[:, None]).min(axis=1), out=out)
+    return out.astype(np.uint64)
 
 
 def _signed(a: np.ndarray) -> np.ndarray:
@@ -176,34 +177,61 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: in
     return near.mapInArrow(kernel, "a long, b long")
 
 
-def _across(tables: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket, but of different components, whose sizes and sketches allow the similarity."""
-    rooted = tables.join(roots, "id", "left").select("id", "key", F.coalesce("root", "id").alias("root"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo != hi").select("key", "c")
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The groups of rows sorted by (key, p, q), as columns; sketches as one matrix."""
+    rest: pa.Table | None = None
+
+    def columns(t: pa.Table) -> dict[str, np.ndarray]:
+        out = {c: t.column(c).to_numpy() for c in t.column_names if c != "sketch"}
+        out["sketch"] = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, K)
+        return out
+
+    for batch in batches:
+        rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        own = [rest.column(c).to_numpy() for c in ("key", "p", "q")]
+        starts = np.flatnonzero(np.any([np.diff(x) != 0 for x in own], axis=0)) + 1
+        if len(starts):
+            done = columns(rest.slice(0, int(starts[-1])))
+            for lo, hi in zip([0, *starts[:-1]], starts, strict=True):
+                yield {c: x[lo:hi] for c, x in done.items()}
+            rest = rest.slice(int(starts[-1]))
+    if rest is not None and len(rest):
+        yield columns(rest)
+
+
+def _across(tables: DataFrame, leaders: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one bucket, but of different components, whose sizes and sketches allow the similarity.
+
+    Pairs with the bucket's leader were looked at before. Of buckets with equal members one is taken.
+    """
+    rooted = tables.join(leaders, "key").where("id != a").join(roots, "id", "left").select("id", "key", F.coalesce("root", "id").alias("root"))
+    members = [F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit("second"), "id")).alias("y")]
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *members).where("lo != hi")
+    mixed = mixed.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key", "c")
     rows = rooted.join(mixed, "key").join(classes.select("id", "n", "sketch"), "id")
     # a bucket of c members is cut into blocks; each pair of blocks is one group of at most some 2 x BLOCK rows
     rows = rows.withColumn("blocks", F.ceil(F.col("c") / F.lit(BLOCK)).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.select("key", "id", "root", "n", "sketch", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "root", "n", "sketch")
 
-    def compare(g: pd.DataFrame) -> pd.DataFrame:
-        p, q = int(g["p"].iloc[0]), int(g["q"].iloc[0])
-        x, y = g[g["block"] == p], g[g["block"] == q]
-        if not len(x) or not len(y):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        sx, sy = (np.frombuffer(b"".join(t["sketch"]), np.uint8).reshape(-1, K) for t in (x, y))
-        out = []
-        for i in range(len(x)):  # one row against a block at a time
-            n, m = int(x["n"].iloc[i]), y["n"].to_numpy()
-            ok = (y["root"].to_numpy() != x["root"].iloc[i]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-            if ok.any():
-                j = np.flatnonzero(ok)
-                j = j[(sy[j] == sx[i]).sum(axis=1) >= LEAST_AGREEING]
-                out += [(int(x["id"].iloc[i]), int(v)) for v in y["id"].to_numpy()[j]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    found = rows.groupBy("key", "p", "q").applyInPandas(compare, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[np.ndarray] = []
+        for g in _groups(batches):
+            x, y = np.flatnonzero(g["block"] == g["p"]), np.flatnonzero(g["block"] == g["q"])
+            for i in x:  # one row against a block at a time
+                n, m = g["n"][i], g["n"][y]
+                j = y[(g["root"][y] != g["root"][i]) & (g["id"][y] != g["id"][i]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))]
+                if len(j):
+                    j = j[(g["sketch"][j] == g["sketch"][i]).sum(axis=1) >= LEAST_AGREEING]
+                    out.append(np.stack([np.full(len(j), g["id"][i]), g["id"][j]]))
+            if len(out) >= 10_000:
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, np.concatenate(out, axis=1))), ["a", "b"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, np.concatenate(out, axis=1))), ["a", "b"])
+
+    found = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(compare, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,10 +258,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     tables = materialize(spark, _tables(classes), "tables")
     leaders = tables.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a != z").select("key", "a")
+    leaders = materialize(spark, leaders, "leaders")
     stars = tables.join(leaders, "key").where("id != a").select("a", F.col("id").alias("b")).distinct()
     edges = materialize(spark, _confirmed(_sketched(stars, classes, percent), classes, texts, words, percent), "links")
     roots = materialize(spark, connected_components(edges), "roots")
-    rest = materialize(spark, _across(tables, classes, roots, percent), "rest")
+    rest = materialize(spark, _across(tables, leaders, classes, roots, percent), "rest")
     if not rest.isEmpty():
         edges = edges.union(_confirmed(rest, classes, texts, words, percent))
         roots = materialize(spark, connected_components(edges), "roots")

@@ -8,55 +8,74 @@ stream; pass two cuts the stream at multiples of the window and writes a record
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, small_batches
 
-#: Words whose ids a worker remembers at once.
-CACHE_WORDS = 300_000
+#: Words, and pieces of words, whose ids a worker process remembers at once.
+CACHE_WORDS = 600_000
 END_ID = 1
+# Fixed value: the tokenizer's own pattern of pieces.
+PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+
+class Ids(dict):
+    """Ids (bytes) by string, worked out where missing and remembered."""
+
+    def __init__(self, of: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, string: str) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        ids = self[string] = self.of(string)
+        return ids
 
 
 class WordIds:
     """Ids of a text by way of its words.
 
-    The tokenizer replaces white space and never joins across it, so a text's ids are those of its
-    words in order. Characters that Python, but not the tokenizer, takes for blanks go the whole way.
+    The tokenizer lower-cases, replaces white space and never joins across it, so a text's ids are
+    those of its words in order, and a word's ids are those of its pieces. Words with characters
+    beyond Latin-1, where normal forms and case may depend on context, are not cut up; texts with
+    characters that Python, but not the tokenizer, takes for blanks go the whole way.
     """
 
     ODD = frozenset("\x1c\x1d\x1e\x1f")
+    _of_process: dict[str, WordIds] = {}
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words, self.pieces = Ids(self._word), Ids(self._whole)
+
+    @classmethod
+    def shared(cls, path: str) -> WordIds:
+        """One for all tasks of a worker process."""
+        if path not in cls._of_process:
+            cls._of_process[path] = cls(path)
+        return cls._of_process[path]
+
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known.clear()
-        words = list(words)
-        for lo in range(0, len(words), 20_000):
-            part = words[lo : lo + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.asarray(e.ids, "<u4").tobytes()
+    def _word(self, word: str) -> bytes:
+        if max(word) >= "\u0100" or "<|" in word:
+            return self._whole(word)
+        low = word.lower()
+        return self.pieces[low] if low.isalpha() else b"".join(map(self.pieces.__getitem__, PIECE.findall(low)))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
-            if not self.ODD.isdisjoint(text):
-                yield np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-                continue
-            words = text.split()
-            try:
-                yield b"".join(map(self.known.__getitem__, words))
-            except KeyError:
-                self.learn({w for w in words if w not in self.known})
-                get = self.known.get
-                yield b"".join([get(w) or b"" for w in words])
+            yield b"".join(map(self.words.__getitem__, text.split())) if self.ODD.isdisjoint(text) else self._whole(text)
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -65,7 +84,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, pid, before = WordIds(tokenizer_path), TaskContext.get().partitionId(), 0
+        words, pid, before = WordIds.shared(tokenizer_path), TaskContext.get().partitionId(), 0
         end = np.asarray([END_ID], "<u4").tobytes()
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
