@@ -7,7 +7,9 @@ stream; pass two cuts the stream at multiples of the window and writes a record
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,6 +25,18 @@ CACHE_WORDS = 600_000
 END_ID = 1
 # Fixed value: the tokenizer's own pattern of pieces.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: The same for ASCII in lower case.
+ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+
+
+def byte_characters() -> list[str]:
+    """The character by which byte-level models write each byte: itself if visible in Latin-1, else the next one from 256 on."""
+    out, more = [], 256
+    for b in range(256):
+        seen = 33 <= b <= 126 or 161 <= b <= 172 or b >= 174
+        out.append(chr(b if seen else more))
+        more += not seen
+    return out
 
 
 class Ids(dict):
@@ -55,7 +69,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.pieces = Ids(self._word), Ids(self._whole)
+        self.model, self.characters = self.tokenizer.model, byte_characters()
+        self.words, self.pieces = Ids(self._word), Ids(self._piece)
 
     @classmethod
     def shared(cls, path: str) -> WordIds:
@@ -67,11 +82,20 @@ class WordIds:
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = "".join([self.characters[b] for b in piece.encode()])
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+
     def _word(self, word: str) -> bytes:
-        if max(word) >= "\u0100" or "<|" in word:
+        if "<|" in word:
+            return self._whole(word)
+        if word.isascii():
+            low = word.lower()
+            return self.pieces[low] if low.isalpha() else b"".join(map(self.pieces.__getitem__, ASCII_PIECE.findall(low)))
+        if max(word) >= "\u0100":
             return self._whole(word)
-        low = word.lower()
-        return self.pieces[low] if low.isalpha() else b"".join(map(self.pieces.__getitem__, PIECE.findall(low)))
+        return b"".join(map(self.pieces.__getitem__, PIECE.findall(word.lower())))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
