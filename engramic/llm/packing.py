@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import materialize, small_batches
 
 #: Words, and pieces of words, whose ids a worker process remembers at once.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 900_000
 END_ID = 1
 # Fixed value: the tokenizer's own pattern of pieces.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")

@@ -11,8 +11,9 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import islice
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import fold, small_batches
 
 #: The expected numbers of toxic and of other documents that the weights are fitted on (the bound).
-TRAIN_TOXIC, TRAIN_OTHER = 3_000, 6_000
+TRAIN_TOXIC, TRAIN_OTHER = 1_500, 3_000
 MODULUS, HELD_OUT = 5, 0
 BITS = 18
 EPOCHS, RATE, RIDGE, START = 40, 0.5, 1e-4, -6.0
@@ -73,24 +74,25 @@ def fit(docs: DataFrame, labels: DataFrame, train_toxic: int = TRAIN_TOXIC, trai
     chance = F.when(F.col("y") == 1, F.lit(train_toxic / sizes[1])).otherwise(F.lit(train_other / sizes[0]))
     drawn = (F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))) < chance
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = marked.where(drawn).distinct().join(texts, "doc_id").select("doc_id", "y", "text").collect()
+    # the sample is bounded, so it goes to the texts
+    rows = texts.join(F.broadcast(marked.where(drawn).distinct()), "doc_id").select("doc_id", "y", "text").collect()
     return train(sorted((r["doc_id"], r["y"], r["text"] or "") for r in rows))
 
 
 def train(rows: list[tuple[int, int, str]]) -> np.ndarray | None:
     """Weights for (id, label, text) rows, by full-batch steps with a rate of each weight's own."""
-    cols, sent_of, doc_of, ys = [], [], [], []
+    cols, sent_of, doc_of, ys = array("i"), array("i"), array("i"), []
     for d, (_, y, text) in enumerate(rows):
         ys.append(y)
         for _, _, words in sentences(text):
             own = {f for w in set(words) for f in features(w)}
             cols.extend(own)
-            sent_of.extend([len(doc_of)] * len(own))
+            sent_of.extend(repeat(len(doc_of), len(own)))
             doc_of.append(d)
     y = np.asarray(ys, float)
     if not doc_of or not 0 < y.sum() < len(y):
         return None
-    cols, sent_of, doc_of = np.asarray(cols), np.asarray(sent_of), np.asarray(doc_of)
+    cols, sent_of, doc_of = (np.frombuffer(x, np.int32) for x in (cols, sent_of, doc_of))
     w, rates = np.zeros((1 << BITS) + 1), np.full((1 << BITS) + 1, 1e-8)
     w[-1] = START
     for _ in range(EPOCHS):
