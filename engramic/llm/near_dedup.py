@@ -6,9 +6,10 @@ of 6 rows, which would need 1,176 on their own. Documents with equal shingle set
 class. A pair of classes at similarity s shares a table unless all A bands or all B bands differ:
 2 * (1 - s^3)^14, which is 9e-5 at s = 0.8 and falls fast above.
 
-Candidates are confirmed on the full shingle sets. To keep large groups linear, each table bucket
-first links its members to its least member; connected components follow, and only buckets whose
-members still lie in different components are then compared across components, in bounded blocks.
+Candidates are confirmed on the full shingle sets. To keep large groups linear, each bucket of
+a few tables first links its members to one of them; connected components follow, then the same
+for the buckets of all tables that span components, and only buckets that still do are compared
+across components, in bounded blocks.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ K = 2 * BANDS * ROWS
 LEAST_AGREEING = 48
 #: Words whose hashes a worker remembers at once.
 CACHE_WORDS = 500_000
+#: Tables (pairs of an A band and the B band of the same number) that are looked at first.
+FIRST_TABLES = 8
 #: Members of a bucket that are compared with each other in one step.
 BLOCK = 512
 
@@ -130,14 +133,15 @@ def shingle_sets(wanted: DataFrame, words: int) -> DataFrame:
 
 
 def _tables(classes: DataFrame) -> DataFrame:
-    """id, key of every table bucket that can have two members: its A band and its B band are both shared."""
+    """id, t, key (of table t) of every bucket that can have two members: its A band and its B band are both shared."""
     bands = classes.select("id", F.posexplode("bands").alias("band", "value"))
     shared = bands.groupBy("band", "value").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("band", "value")
     own = bands.join(shared, ["band", "value"]).groupBy("id").agg(F.collect_list(F.struct("band", "value")).alias("own"))  # at most 2 x BANDS
     a = F.filter("own", lambda x: x.band < BANDS)
     b = F.filter("own", lambda x: x.band >= BANDS)
-    keys = F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.xxhash64(x.band, x.value, y.band, y.value))))
-    return own.select("id", F.explode(keys).alias("key"))
+    pair = lambda x, y: F.struct((x.band * BANDS + y.band - BANDS).alias("t"), F.xxhash64(x.band, x.value, y.band, y.value).alias("key"))
+    pairs = F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: pair(x, y))))
+    return own.select("id", F.explode(pairs).alias("p")).select("id", "p.t", "p.key")
 
 
 def _sketched(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -199,20 +203,35 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]
         yield columns(rest)
 
 
-def _across(tables: DataFrame, leaders: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def _rooted(tables: DataFrame, roots: DataFrame) -> DataFrame:
+    return tables.join(roots, "id", "left").select("id", "t", "key", F.coalesce("root", "id").alias("root"))
+
+
+def _stars(rooted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Leaders (key, a) of buckets that span components, and the pairs (a, b) of a leader and a member of another component."""
+    lead = F.min(F.struct("root", "id"))
+    leaders = rooted.groupBy("key").agg(lead.alias("lead"), F.max("root").alias("z")).where("lead.root != z").select("key", F.col("lead.id").alias("a"), F.col("lead.root").alias("r"))
+    leaders = materialize(rooted.sparkSession, leaders, "leaders")
+    pairs = rooted.join(leaders, "key").where("root != r").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+    return leaders, pairs
+
+
+def _across(rooted: DataFrame, leaders: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of one bucket, but of different components, whose sizes and sketches allow the similarity.
 
-    Pairs with the bucket's leader were looked at before. Of buckets with equal members one is taken.
+    Pairs with the bucket's leader were looked at before. Of buckets with equal members the one of
+    the first table is taken, and a pair is looked at in the first table that it shares, so each
+    pair comes up once.
     """
-    rooted = tables.join(leaders, "key").where("id != a").join(roots, "id", "left").select("id", "key", F.coalesce("root", "id").alias("root"))
+    rooted = rooted.join(leaders, "key").where("id != a")
     members = [F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit("second"), "id")).alias("y")]
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *members).where("lo != hi")
-    mixed = mixed.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key", "c")
+    mixed = rooted.groupBy("key").agg(F.min("t").alias("t"), F.min("root").alias("lo"), F.max("root").alias("hi"), *members).where("lo != hi")
+    mixed = mixed.groupBy("c", "x", "y").agg(F.min(F.struct("t", "key")).alias("first")).select("first.key", "c")
     rows = rooted.join(mixed, "key").join(classes.select("id", "n", "sketch"), "id")
     # a bucket of c members is cut into blocks; each pair of blocks is one group of at most some 2 x BLOCK rows
     rows = rows.withColumn("blocks", F.ceil(F.col("c") / F.lit(BLOCK)).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.select("key", "id", "root", "n", "sketch", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "root", "n", "sketch")
+    rows = rows.select("key", "t", "id", "root", "n", "sketch", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "t", "block", "id", "root", "n", "sketch")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[np.ndarray] = []
@@ -222,7 +241,10 @@ def _across(tables: DataFrame, leaders: DataFrame, classes: DataFrame, roots: Da
                 n, m = g["n"][i], g["n"][y]
                 j = y[(g["root"][y] != g["root"][i]) & (g["id"][y] != g["id"][i]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))]
                 if len(j):
-                    j = j[(g["sketch"][j] == g["sketch"][i]).sum(axis=1) >= LEAST_AGREEING]
+                    same = g["sketch"][j] == g["sketch"][i]
+                    enough = same.sum(axis=1) >= LEAST_AGREEING
+                    j, bands = j[enough], same[enough].reshape(-1, 2 * BANDS, ROWS).all(axis=2)
+                    j = j[bands[:, :BANDS].argmax(axis=1) * BANDS + bands[:, BANDS:].argmax(axis=1) == g["t"][i]]
                     out.append(np.stack([np.full(len(j), g["id"][i]), g["id"][j]]))
             if len(out) >= 10_000:
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, np.concatenate(out, axis=1))), ["a", "b"])
@@ -257,12 +279,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     texts = rows.select("at", "text")
 
     tables = materialize(spark, _tables(classes), "tables")
-    leaders = tables.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a != z").select("key", "a")
-    leaders = materialize(spark, leaders, "leaders")
-    stars = tables.join(leaders, "key").where("id != a").select("a", F.col("id").alias("b")).distinct()
+    # a few tables join most of what is similar; then all tables, between components only
+    first = tables.where(F.col("t").isin([i * BANDS + i for i in range(FIRST_TABLES)]))
+    _, stars = _stars(first.select("id", "t", "key", F.col("id").alias("root")))
     edges = materialize(spark, _confirmed(_sketched(stars, classes, percent), classes, texts, words, percent), "links")
     roots = materialize(spark, connected_components(edges), "roots")
-    rest = materialize(spark, _across(tables, leaders, classes, roots, percent), "rest")
+    leaders, stars = _stars(_rooted(tables, roots))
+    more = materialize(spark, _confirmed(_sketched(stars, classes, percent), classes, texts, words, percent), "links")
+    edges = edges.union(more)
+    joined = materialize(spark, connected_components(edges), "roots")
+    rest = materialize(spark, _across(_rooted(tables, joined), leaders, classes, percent), "rest")
+    roots = joined
     if not rest.isEmpty():
         edges = edges.union(_confirmed(rest, classes, texts, words, percent))
         roots = materialize(spark, connected_components(edges), "roots")
