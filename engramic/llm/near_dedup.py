@@ -27,9 +27,13 @@ from .components import connected_components
 
 BANDS, ROWS = 14, 3
 K = 2 * BANDS * ROWS
-#: Pairs that agree on fewer of the K minhashes are not confirmed: at similarity 0.8 the count is
-#: binomial(84, 0.8), and 47 or fewer have a chance of 2e-6.
-LEAST_AGREEING = 48
+#: Minhashes of a sketch, a byte each; the first K are those of the bands. Pairs that agree on fewer
+#: than LEAST_AGREEING are not confirmed: at similarity 0.8 the count is binomial(168, 0.8), which
+#: is below 108 with a chance of 1e-6.
+SKETCH, LEAST_AGREEING = 2 * K, 108
+#: Bits of the map behind a sketch: one is set for each shingle's first bits.
+MAP_BITS = 2048
+WIDTH = SKETCH + MAP_BITS // 8
 #: Words whose hashes a worker remembers at once.
 CACHE_WORDS = 500_000
 #: Tables (pairs of an A band and the B band of the same number) that are looked at first.
@@ -37,7 +41,7 @@ FIRST_TABLES = 8
 #: Members of a bucket that are compared with each other in one step.
 BLOCK = 512
 
-_SEEDS = np.random.default_rng(20_240_131).integers(1, 2**63, size=(K, 2), dtype=np.uint64)
+_SEEDS = np.random.default_rng(20_240_131).integers(1, 2**63, size=(SKETCH, 2), dtype=np.uint64)
 _MUL, _ADD = (_SEEDS[:, 0] >> np.uint64(20)).astype(np.uint32) | np.uint32(1), (_SEEDS[:, 1] >> np.uint64(20)).astype(np.uint32)
 _P1, _P2 = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -72,9 +76,9 @@ class Shingles:
 
 
 def minhashes(shingles: np.ndarray) -> np.ndarray:
-    """K minhashes, by multiply-add permutations of 32 bits of the hashes."""
+    """SKETCH minhashes, by multiply-add permutations of 32 bits of the hashes."""
     x = (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)
-    out = np.full(K, 0xFFFFFFFF, np.uint32)
+    out = np.full(SKETCH, 0xFFFFFFFF, np.uint32)
     for lo in range(0, len(x), 1024):  # 1,024 columns of a matrix stay in the cache
         np.minimum(out, (x[None, lo : lo + 1024] * _MUL[:, None] + _ADD[:, None]).min(axis=1), out=out)
     return out.astype(np.uint64)
@@ -90,7 +94,7 @@ def _key(shingles: bytes) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """rid, doc_id, at, n, k1, k2 (128 bits of the set), bands (long per band), sketch (a byte per minhash)."""
+    """rid, doc_id, at, n, k1, k2 (128 bits of the set), bands (long per band), sketch (a byte per minhash, and the map)."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingles(words)
@@ -107,8 +111,10 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                     sketch.append(b"")
                     continue
                 m = _mix(minhashes(s))
-                sketch.append((m >> np.uint64(56)).astype(np.uint8).tobytes())
-                band = (m.reshape(2 * BANDS, ROWS) * weights).sum(axis=1, dtype=np.uint64)
+                bits = np.zeros(MAP_BITS, bool)
+                bits[s >> np.uint64(53)] = True
+                sketch.append((m >> np.uint64(56)).astype(np.uint8).tobytes() + np.packbits(bits).tobytes())
+                band = (m[:K].reshape(2 * BANDS, ROWS) * weights).sum(axis=1, dtype=np.uint64)
                 bands.append(_signed(_mix(band + np.arange(2 * BANDS, dtype=np.uint64) * _P1)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("rid"), batch.column("doc_id"), batch.column("at"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
@@ -144,18 +150,30 @@ def _tables(classes: DataFrame) -> DataFrame:
     return own.select("id", F.explode(pairs).alias("p")).select("id", "p.t", "p.key")
 
 
+def _possible(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sketches and maps of sets of nx and ny shingles allow the similarity.
+
+    Each bit of one map that the other lacks stands for a shingle that is not shared, which bounds
+    the intersection whatever the hashes.
+    """
+    near = (x[..., :SKETCH] == y[..., :SKETCH]).sum(axis=-1) >= LEAST_AGREEING
+    p, q = (np.ascontiguousarray(z[..., SKETCH:]).view(np.uint64) for z in (x, y))
+    both = np.minimum(nx - np.bitwise_count(p & ~q).sum(axis=-1, dtype=np.int64), ny - np.bitwise_count(q & ~p).sum(axis=-1, dtype=np.int64))
+    return near & (100 * both >= percent * (nx + ny - both))
+
+
 def _sketched(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sizes and sketches allow the similarity."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, K) for c in ("sa", "sb"))
-            keep = pa.array((x == y).sum(axis=1) >= LEAST_AGREEING)
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, WIDTH) for c in ("sa", "sb"))
+            keep = pa.array(_possible(x, y, batch.column("na").to_numpy(), batch.column("nb").to_numpy(), percent))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
     side = lambda s: classes.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    return near.select("a", "b", "sa", "sb").mapInArrow(kernel, "a long, b long")
+    return near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(kernel, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -187,7 +205,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]
 
     def columns(t: pa.Table) -> dict[str, np.ndarray]:
         out = {c: t.column(c).to_numpy() for c in t.column_names if c != "sketch"}
-        out["sketch"] = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, K)
+        out["sketch"] = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, WIDTH)
         return out
 
     for batch in batches:
@@ -241,9 +259,8 @@ def _across(rooted: DataFrame, leaders: DataFrame, classes: DataFrame, percent:
                 n, m = g["n"][i], g["n"][y]
                 j = y[(g["root"][y] != g["root"][i]) & (g["id"][y] != g["id"][i]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))]
                 if len(j):
-                    same = g["sketch"][j] == g["sketch"][i]
-                    enough = same.sum(axis=1) >= LEAST_AGREEING
-                    j, bands = j[enough], same[enough].reshape(-1, 2 * BANDS, ROWS).all(axis=2)
+                    j = j[_possible(g["sketch"][i], g["sketch"][j], n, g["n"][j], percent)]
+                    bands = (g["sketch"][j, :K] == g["sketch"][i, :K]).reshape(-1, 2 * BANDS, ROWS).all(axis=2)
                     j = j[bands[:, :BANDS].argmax(axis=1) * BANDS + bands[:, BANDS:].argmax(axis=1) == g["t"][i]]
                     out.append(np.stack([np.full(len(j), g["id"][i]), g["id"][j]]))
             if len(out) >= 10_000:
