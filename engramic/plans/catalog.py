@@ -5,11 +5,74 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from engramic.operators import retrieval
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def d1_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item asks with the vector of its number."""
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
+    queries = items.join(rows, F.col("query_id") == F.col("id")).select("query_id", "vector")
+    return retrieval.vector_search(rows, queries)
+
+
+def d2_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return retrieval.lexical_search(rows, _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+
+
+def d4_hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.fuse(d1_vector_search(spark, sf_dir), d2_lexical_search(spark, sf_dir))
+
+
+D1_SQL = """
+SELECT query_id, id, score, rank FROM (
+  SELECT q.item_id AS query_id, e.vec_id AS id, round(1 / (2 - list_cosine_similarity(e.embedding::DOUBLE[], v.embedding::DOUBLE[])), 6) AS score,
+         row_number() OVER (PARTITION BY q.item_id ORDER BY round(1 / (2 - list_cosine_similarity(e.embedding::DOUBLE[], v.embedding::DOUBLE[])), 6) DESC, e.vec_id) AS rank
+  FROM benchmark q JOIN embeddings v ON v.vec_id = q.item_id CROSS JOIN embeddings e
+) WHERE score >= 0.3 AND rank <= 20
+"""
+
+D2_SQL = """
+SELECT query_id, id, score, rank FROM (
+  WITH s AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents),
+  t AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM s),
+  q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS term FROM benchmark),
+  p AS (SELECT id, n, term, count(*) AS tf FROM (SELECT id, len(w) AS n, unnest(w) AS term FROM s) GROUP BY 1, 2, 3),
+  d AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+  r AS (
+    SELECT query_id, id, round(1 / (1 + exp(-sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) / 5)), 6) AS score
+    FROM q JOIN p USING (term) JOIN d USING (term) CROSS JOIN t GROUP BY 1, 2
+  )
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM r
+) WHERE rank <= 20
+"""
+
+D4_SQL = f"""
+SELECT query_id, id, score, rank, vector_score, lexical_score FROM (
+  WITH v AS ({D1_SQL}), b AS ({D2_SQL}),
+  f AS (
+    SELECT coalesce(v.query_id, b.query_id) AS query_id, coalesce(v.id, b.id) AS id, v.score AS vector_score, b.score AS lexical_score
+    FROM v FULL JOIN b ON v.query_id = b.query_id AND v.id = b.id
+  ), s AS (
+    SELECT *, round(least(1, greatest(0.1, CASE WHEN vector_score IS NULL THEN lexical_score
+      WHEN lexical_score >= 0.75 THEN greatest(0.7 * vector_score + 0.3 * lexical_score, 0.92 * lexical_score)
+      ELSE 0.7 * vector_score + 0.3 * coalesce(lexical_score, 0) END)), 6) AS score FROM f
+  )
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s
+) WHERE rank <= 20
+"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in (d1_vector_search, d2_lexical_search, d4_hybrid_fusion)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"d1_vector_search": D1_SQL, "d2_lexical_search": D2_SQL, "d4_hybrid_fusion": D4_SQL}
