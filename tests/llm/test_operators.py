@@ -1,0 +1,214 @@
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from engramic.llm import chat, decontamination, exact_dedup, langid, near_dedup, packing, pii, sharding, toxicity, url_filter
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, n long, rid long"  # the last two clash with names used inside
+
+
+def docs_of(spark, rows):
+    return spark.createDataFrame([(i, t, lang, src, len(t or ""), 1, 2) for i, t, lang, src in rows], DOCS)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rng = np.random.default_rng(1)
+    base = " ".join(f"w{x}" for x in rng.integers(0, 500, 120))
+    near = base.replace(base.split()[60], "changed", 1)
+    rows = [(1, "a b  c", "en", "s"), (2, "a b c ", "en", "s"), (3, None, None, None), (4, "", "en", "s"), (5, base, "en", "t"), (6, near, "en", "t"), (7, base, "de", "t"), (None, "alone", "de", None), (1, "a b  c", "en", "s"), (8, "x " * 50_000, "en", "s")]
+    return docs_of(spark, rows)
+
+
+def test_sharding_is_a_gapless_proportional_partition(spark):
+    rows = [(i, f"text {i}", "en", "hot" if i % 3 == 0 else f"s{i % 7}") for i in range(1000)] + [(None, None, None, None)] * 5
+    got = sharding.interleave(docs_of(spark, rows)).collect()
+    assert len(got) == 1005
+    per = Counter(r["shard"] for r in got)
+    assert max(per.values()) - min(per.values()) <= 1
+    for s in range(8):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(per[s]))
+    hot = Counter(r["shard"] for r in got if r["stratum"] == "=hot")
+    assert max(hot.values()) - min(hot.values()) <= 2
+    assert sharding.interleave(docs_of(spark, [])).count() == 0
+
+
+def test_exact_dedup(odd):
+    got = exact_dedup.mark_duplicates(odd).collect()
+    assert len(got) == 10
+    abc = [r for r in got if r["text_sha256"] == hashlib.sha256(b"abc").hexdigest()]
+    assert {r["keep_id"] for r in abc} == {1} and sum(r["kept"] for r in abc) == 1 and abc[0]["group_size"] == 3
+    assert {r["doc_id"] for r in got if r["group_size"] == 2} == {3, 4, 5, 7}
+
+
+def brute_components(rows, words=2):
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * both >= 80 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), d), d)
+    return {d: (len(sets[i]), least[find(i)]) for i, (d, _) in enumerate(rows)}
+
+
+def test_near_dedup_against_brute_force(spark):
+    rng = np.random.default_rng(7)
+    base = [f"w{x}" for x in rng.integers(0, 300, 80)]
+    rows = []
+    for i in range(120):
+        w = list(base) if i % 3 else [f"w{x}" for x in rng.integers(0, 300, 80)]
+        for p in rng.integers(0, 80, rng.integers(0, 7)):
+            w[p] = f"v{rng.integers(0, 300)}"
+        rows.append((i, " ".join(w)))
+    rows += [(120, None), (121, ""), (122, "one"), (123, "ONE"), (124, rows[1][1])]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+
+
+def test_near_dedup_odd_rows(odd, spark):
+    got = near_dedup.near_duplicates(odd, words=2).collect()
+    assert len(got) == 10
+    assert len({r["component_id"] for r in got if r["doc_id"] in (5, 6, 7)}) == 1
+    assert sum(r["first"] for r in got if r["doc_id"] in (1, 2)) == 1
+    assert near_dedup.near_duplicates(docs_of(spark, [])).count() == 0
+
+
+def test_decontamination_finds_edited_passages_and_leaves_clean_texts(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), rng.integers(3, 8)))
+    item = " ".join(word() for _ in range(40))
+    noise = lambda n: " ".join(word() for _ in range(n))
+    edited = list(item)
+    edited[50], edited[120] = "#", "zz"
+    rows = [(1, f"{noise(50)} {item.upper()} {noise(30)}"), (2, noise(300)), (3, f"{noise(9)}\n{''.join(edited)}"), (4, None), (5, ""), (6, item[:100])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(9, item), (10, None), (11, "short")], "item_id long, text string")
+    got = {r["doc_id"]: (r["item_id"], r["edits"]) for r in decontamination.find_leaks(docs, bench).collect()}
+    assert set(got) == {1, 3, 6} and got[1] == (9, 0)
+    assert decontamination.find_leaks(docs, bench.where("item_id > 9")).count() == 0
+
+
+def test_chat_keeps_maximal_conversations(spark):
+    turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, "assistant", "yo"), (4, 0, "user", "other"), (4, 1, None, "<|end|>"), (None, 0, "user", None)]
+    got = {r["conv_id"]: (r["n_turns"], r["copies"], r["rendered"]) for r in chat.collapse(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
+    assert set(got) == {1, 4, None} and got[1] == (2, 2, "<|user|>\nhi<|end|>\n<|assistant|>\nyo<|end|>\n")
+    assert got[4][2].endswith("<||>\n< |end|><|end|>\n")
+
+
+def test_packing_round_trip(odd, spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    got = packing.pack(odd, packing.default_tokenizer(), window=64).collect()
+    by_seq = {}
+    for r in got:
+        assert r["ids_crc32"] == zlib.crc32(bytes(r["ids"])) and len(r["ids"]) == 4 * r["length"]
+        by_seq.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for s, parts in by_seq.items():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at == 64 or s == max(by_seq)
+    want = Counter()
+    for r in odd.collect():
+        want[(r["doc_id"], len(t.encode(r["text"] or "", add_special_tokens=False).ids) + 1)] += 1
+    assert Counter((r["doc_id"], r["doc_tokens"]) for r in got if r["start"] == 0) == want
+    five = b"".join(bytes(r["ids"]) for r in sorted((r for r in got if r["doc_id"] == 5), key=lambda r: r["start"]))
+    assert np.frombuffer(five, "<u4").tolist() == [*t.encode(odd.where("doc_id = 5").first()["text"], add_special_tokens=False).ids, 1]
+
+
+@pytest.mark.parametrize("text", ["It's İSTANBUL ΣΑΣ éa ́x <|endoftext|>a b", "''s 12½ ªº µM ẞ\x1cx\x85y\xa0z", "", " \n", "don't STOP!! can't've"])
+def test_word_ids_are_the_tokenizers(text):
+    ids = packing.WordIds(packing.default_tokenizer())
+    assert np.frombuffer(b"".join(ids.encode([text])), "<u4").tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_toxicity_learns_and_locates(spark):
+    rng = np.random.default_rng(5)
+    sent = lambda bad: " ".join([*(f"w{chr(97 + x)}ord" for x in rng.integers(0, 20, 6)), *(["scum"] if bad else [])]) + "."
+    rows = [(i, " ".join(sent(i % 4 == 0 and k == 2) for k in range(5)), "en", "s") for i in range(400)] + [(400, None, None, None), (401, "", "en", "s")]
+    docs, labels = docs_of(spark, rows), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert all(got[i]["predicted"] == int(i % 4 == 0) for i in range(400))
+    assert got[400]["score"] == got[401]["score"] == 0
+    text = dict((r[0], r[1]) for r in rows)[8]
+    assert "scum" in text[got[8]["worst_start"] : got[8]["worst_end"]]
+    assert toxicity.score(docs, toxicity.fit(docs, labels.where("toxic = 0"))).agg({"score": "max"}).first()[0] == 0
+
+
+def brute_bits(texts, text):
+    """Code length of a folded text by walking the contexts."""
+    counts = Counter(t[i - k : i + 1] for t in texts for i in range(3, len(t)) for k in range(4))
+    total, kinds = Counter(), Counter()
+    for g, c in counts.items():
+        total[(len(g), g[:-1])] += c
+        kinds[(len(g), g[:-1])] += 1
+    bits = 0.0
+    for i in range(3, len(text)):
+        for k in (3, 2, 1, 0):
+            g = text[i - k : i + 1]
+            t, d = total[(k + 1, g[:-1])], kinds[(k + 1, g[:-1])]
+            if counts[g]:
+                bits += np.log2((t + d) / counts[g])
+                break
+            bits += np.log2((t + d) / d) if t else 0.0
+        else:
+            bits += 8
+    return bits
+
+
+def test_langid_code_lengths_against_brute_force(spark):
+    texts = {"en": [langid.folded("the cat sat on the mat"), langid.folded("and then there were none")], "de": [langid.folded("die katze saß auf der matte")]}
+    model = langid.Model(texts)
+    probe = [langid.folded(t) for t in ("the katze", "über qqq zz!", "none", "ж 12 the")]
+    want = [[brute_bits(texts[lang], p) for lang in model.langs] for p in probe]
+    assert np.allclose(model.lengths(probe), want)
+    docs = docs_of(spark, [(1, "the mat", "en", "s"), (2, None, "en", "s"), (3, "12 !", "de", "s")])
+    assert [r["lang_pred"] for r in langid.predict(docs, model).orderBy("doc_id").collect()] == ["en", "und", "und"]
+    assert langid.predict(docs, None).where("lang_pred != 'und'").count() == 0
+
+
+def test_pii_is_one_to_one_and_keeps_formats(spark):
+    texts = ["Mail Joe.Smith7@mail3.example.com, joe.smith7@mail3.example.com; +1 (017) 555-7713 10.0.0.1", "card 4111 1111 1111 1111 Mrs Mary Jones", None, "", "nothing here"]
+    texts += [f"ip 10.0.{i // 250}.{i % 250} x" for i in range(500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.replace(docs, "key").collect()}
+    mails = re.findall(r"\S+@[\w.]+", got[0]["text"])
+    assert mails[0].rstrip(",") == mails[1].rstrip(";") and "smith" not in got[0]["text"]
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4} \d+\.\d+\.\d+\.\d+$", got[0]["text"])
+    digits = [int(c) for c in re.sub(r"\D", "", got[1]["text"])][::-1]
+    assert sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(digits)) % 10 == 0
+    assert re.search(r"Mrs (\w+) \w+$", got[1]["text"])[1] in pii.GIVEN["female latin"]
+    assert got[2]["text"] is None and got[3]["text"] == "" and got[4]["text"] == "nothing here"
+    out = {got[i]["text"] for i in range(5, 505)}
+    assert len(out) == 500 and not out & set(texts[5:])
+
+
+def test_url_rules_and_templates(spark):
+    urls = [None, "no scheme", "http://Example.com/en/1", "http://www.example.com/en/1?x", "https://a.example.net/fr/9#t", "http://xexample.com", "ftp://h.org/a/b"]
+    urls += [f"http://spam.net/ES/{i}" for i in range(3)] + [f"http://spam.net/es/{i}" for i in range(9)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(pages, url_filter.RULES).collect()}
+    assert got[0] == ("", "", None, "allow") and got[1] == ("", "", None, "allow")
+    assert got[2] == ("example.com", "/en/1", "example.com/en/", "block")
+    assert got[3][2:] == ("www.example.com/en/", "allow") and got[4] == ("a.example.net", "/fr/9", "net/fr/", "block")
+    assert got[5] == ("xexample.com", "", None, "allow") and got[6][3] == "allow" and got[10][3] == "block"
