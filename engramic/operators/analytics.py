@@ -10,7 +10,10 @@ from engramic.functions.text import any_of, trim
 
 
 def scope_category_counts(rows: DataFrame) -> DataFrame:
-    """kind, key, rows: counts by scope (none: global), by category and in all, in one pass."""
+    """kind, key, rows: counts by scope (none: global), by category and in all, in one pass.
+
+    An empty table has no rows, not a total of 0.
+    """
     keyed = rows.select(F.coalesce("scope", F.lit("global")).alias("scope"), "category")
     sets = keyed.groupingSets([["scope"], ["category"], []], "scope", "category").agg(F.grouping_id().alias("g"), F.count(F.lit(1)).alias("rows"))
     kind = F.when(F.col("g") == 1, "scope").when(F.col("g") == 2, "category").otherwise("all")

@@ -139,7 +139,7 @@ smart AS (
   SELECT id, doc_id, text, category, scope, importance, timestamp, metadata, row_type, l0, memory_category, source, state, legacy,
     coalesce({_opt("l1_overview")}, '- ' || l0) AS l1, coalesce({_opt("l2_content")}, text) AS l2,
     CASE WHEN {_s("tier")} IN ('core', 'working', 'peripheral') THEN {_s("tier")} ELSE 'working' END AS tier,
-    {_count("access_count")} AS access_count, coalesce(least(1, greatest(0, {_n("confidence")})), 0.7) AS confidence,
+    {_count("access_count")} AS access_count, CASE WHEN {_n("confidence")} IS NULL THEN 0.7::DOUBLE ELSE least(1, greatest(0, {_n("confidence")})) END AS confidence,
     {_count("last_accessed_at", "timestamp")} AS last_accessed_at, coalesce({_instant("valid_from")}, timestamp) AS valid_from,
     CASE WHEN {_instant("invalidated_at")} >= coalesce({_instant("valid_from")}, timestamp) THEN {_instant("invalidated_at")} END AS invalidated_at,
     {_instant("valid_until")} AS valid_until,
