@@ -68,4 +68,4 @@ def test_stream_merges_accesses(spark, tmp_path):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "text string, category string, scope string, timestamp long, metadata string")
     assert metadata.with_smart_metadata(none).count() == 0
-    assert [(r["kind"], r["rows"]) for r in analytics.scope_category_counts(none).collect()] == [("all", 0)]
+    assert analytics.scope_category_counts(none).count() == 0
