@@ -83,7 +83,7 @@ class WordIds:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        if not piece.isascii():
+        if not (piece.isascii() and piece.isprintable()):  # control bytes of ASCII have characters of their own too
             piece = "".join([self.characters[b] for b in piece.encode()])
         return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
 

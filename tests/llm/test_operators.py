@@ -142,6 +142,14 @@ def test_word_ids_are_the_tokenizers(text):
     assert np.frombuffer(b"".join(ids.encode([text])), "<u4").tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_word_ids_of_every_latin_character_inside_words():
+    ids = packing.WordIds(packing.default_tokenizer())
+    texts = [t for c in map(chr, range(256)) for t in (f"ab{c}cd", f"{c}{c}", f"A!{c}?9{c}\u00e9b", f"\x01{c}\x7f")]
+    texts.append("\x1b[0m ab\x01\x02cd a\x7fb")
+    wrong = [t for t in texts if np.frombuffer(b"".join(ids.encode([t])), "<u4").tolist() != ids.tokenizer.encode(t, add_special_tokens=False).ids]
+    assert wrong == []
+
+
 def test_toxicity_learns_and_locates(spark):
     rng = np.random.default_rng(5)
     sent = lambda bad: " ".join([*(f"w{chr(97 + x)}ord" for x in rng.integers(0, 20, 6)), *(["scum"] if bad else [])]) + "."
