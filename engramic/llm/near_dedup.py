@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -200,11 +201,12 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: in
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """The groups of rows sorted by (key, p, q), as columns; sketches as one matrix."""
+    """The groups of rows sorted by (key, p, q), as columns; sketches and bands as matrices."""
     rest: pa.Table | None = None
 
     def columns(t: pa.Table) -> dict[str, np.ndarray]:
-        out = {c: t.column(c).to_numpy() for c in t.column_names if c != "sketch"}
+        out = {c: t.column(c).to_numpy() for c in t.column_names if c not in ("sketch", "bands")}
+        out["bands"] = pc.list_flatten(t.column("bands")).to_numpy().reshape(-1, 2 * BANDS)
         out["sketch"] = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, WIDTH)
         return out
 
@@ -238,18 +240,18 @@ def _across(rooted: DataFrame, leaders: DataFrame, classes: DataFrame, percent:
     """Pairs (a, b) of one bucket, but of different components, whose sizes and sketches allow the similarity.
 
     Pairs with the bucket's leader were looked at before. Of buckets with equal members the one of
-    the first table is taken, and a pair is looked at in the first table that it shares, so each
-    pair comes up once.
+    the first table is taken, and a pair is looked at in the first table that it shares by its band
+    values, so each pair comes up once.
     """
     rooted = rooted.join(leaders, "key").where("id != a")
     members = [F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit("second"), "id")).alias("y")]
     mixed = rooted.groupBy("key").agg(F.min("t").alias("t"), F.min("root").alias("lo"), F.max("root").alias("hi"), *members).where("lo != hi")
     mixed = mixed.groupBy("c", "x", "y").agg(F.min(F.struct("t", "key")).alias("first")).select("first.key", "c")
-    rows = rooted.join(mixed, "key").join(classes.select("id", "n", "sketch"), "id")
+    rows = rooted.join(mixed, "key").join(classes.select("id", "n", "sketch", "bands"), "id")
     # a bucket of c members is cut into blocks; each pair of blocks is one group of at most some 2 x BLOCK rows
     rows = rows.withColumn("blocks", F.ceil(F.col("c") / F.lit(BLOCK)).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.select("key", "t", "id", "root", "n", "sketch", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "t", "block", "id", "root", "n", "sketch")
+    rows = rows.select("key", "t", "id", "root", "n", "sketch", "bands", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "t", "block", "id", "root", "n", "sketch", "bands")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[np.ndarray] = []
@@ -260,7 +262,7 @@ def _across(rooted: DataFrame, leaders: DataFrame, classes: DataFrame, percent:
                 j = y[(g["root"][y] != g["root"][i]) & (g["id"][y] != g["id"][i]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))]
                 if len(j):
                     j = j[_possible(g["sketch"][i], g["sketch"][j], n, g["n"][j], percent)]
-                    bands = (g["sketch"][j, :K] == g["sketch"][i, :K]).reshape(-1, 2 * BANDS, ROWS).all(axis=2)
+                    bands = g["bands"][j] == g["bands"][i]
                     j = j[bands[:, :BANDS].argmax(axis=1) * BANDS + bands[:, BANDS:].argmax(axis=1) == g["t"][i]]
                     out.append(np.stack([np.full(len(j), g["id"][i]), g["id"][j]]))
             if len(out) >= 10_000:

@@ -83,6 +83,26 @@ def test_near_dedup_against_brute_force(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_near_dedup_looks_at_all_pairs_of_crowded_buckets(spark):
+    rng = np.random.default_rng(11)
+    family = rng.integers(0, 1 << 16, (4, near_dedup.SKETCH))
+    m = family[np.arange(160) % 4]
+    low = rng.random(m.shape) < 0.2  # another minhash with the same top byte
+    m = np.where(low, m & 0xFF00 | rng.integers(0, 256, m.shape), m)
+    m = np.where(rng.random(m.shape) < 0.05, rng.integers(0, 1 << 16, m.shape), m)
+    parts = m[:, : near_dedup.K].reshape(len(m), 2 * near_dedup.BANDS, near_dedup.ROWS)
+    bands = parts[..., 0] << 32 | parts[..., 1] << 16 | parts[..., 2]
+    sketch = (m >> 8).astype(np.uint8)
+    rows = [(i, 100, bands[i].tolist(), sketch[i].tobytes() + bytes(near_dedup.MAP_BITS // 8)) for i in range(len(m))]
+    classes = spark.createDataFrame(rows, "id long, n long, bands array<long>, sketch binary")
+    rooted = near_dedup._tables(classes).withColumn("root", near_dedup.F.col("id"))
+    leaders, stars = near_dedup._stars(rooted)
+    got = {(r["a"], r["b"]) for d in (near_dedup._sketched(stars, classes, 80), near_dedup._across(rooted, leaders, classes, 80)) for r in d.collect()}
+    same, half = (bands[:, None] == bands[None]), near_dedup.BANDS
+    want = same[..., :half].any(2) & same[..., half:].any(2) & ((sketch[:, None] == sketch[None]).sum(2) >= near_dedup.LEAST_AGREEING)
+    assert got == {(i, j) for i, j in np.argwhere(want).tolist() if i < j} and len(got) > 500
+
+
 def test_near_dedup_odd_rows(odd, spark):
     got = near_dedup.near_duplicates(odd, words=2).collect()
     assert len(got) == 10
