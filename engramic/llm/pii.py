@@ -8,7 +8,11 @@ the state of their check digit, and given names go to given names of the same ge
 Each of these is a one-to-one map under the key, so equal entities get equal surrogates and
 different ones different surrogates in all documents, without a shared dictionary. A collision
 check joins the surrogates with the entities of the corpus: where a surrogate is itself a real
-entity, the map is applied again until it is not, which keeps it one-to-one.
+entity, maps of other keys are tried until one gives a string that is neither an entity nor the
+surrogate of another, which keeps it one-to-one. Where a map settles none of those left, e-mail
+addresses, names and phone numbers get a longer surrogate made of a keyed digest; other types,
+whose formats have no longer form, keep their first surrogate, which is then another entity of the
+corpus but still one-to-one.
 """
 
 from __future__ import annotations
@@ -21,8 +25,6 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 ROUNDS = 4
-#: Times that the map is applied again at most; each time leaves a share of entities / possible values.
-MOST_WALKS = 12
 
 # Alphabets of one class each.
 DIGITS, HEX = "0123456789", "0123456789abcdef"
@@ -33,6 +35,11 @@ ALPHABETS = [
     "бвгджзклмнпрстфхцчшщ", "аеиоуыэюя", "БВГДЖЗКЛМНПРСТФХЦЧШЩ", "АЕИОУЫЭЮЯ",
     "βγδζθκλμνξπρστφχψ", "αεηιουω", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ", "ΑΕΗΙΟΥΩ",
 ]
+# First and last letter of scripts without case, each an alphabet of its own.
+SCRIPTS = [
+    (0x4E00, 0x9FA5), (0x3041, 0x3096), (0x30A1, 0x30FA), (0xAC00, 0xD7A3),
+    (0x0620, 0x064A), (0x05D0, 0x05EA), (0x0904, 0x0939), (0x0E01, 0x0E30), (0x10D0, 0x10F0),
+]
 # Titles that announce a name, and given names by gender and script.
 TITLES = "Mr|Mrs|Ms|Miss|Herr|Frau|Señor|Señora|Sr|Sra|Monsieur|Madame|Mme|Господин|Госпожа|Κύριος|Κυρία"
 GIVEN = {
@@ -102,7 +109,14 @@ def _shifted(part: Column, other: Column, letters: Column, key: str, n: Column)
             first = F.when(hexadecimal, F.lit(0)).otherwise(F.get(F.lit(_FIRST), s.at - 1))
             size = F.when(hexadecimal, F.lit(len(HEX))).otherwise(F.get(F.lit(_SIZES), s.at - 1))
             to = first + F.pmod(F.xxhash64(told, i) % 1_000_003 + s.at - 1 - first, size).cast("int")
-            return F.when(s.at > 0, F.substring(letters, to + 1, F.lit(1))).otherwise(s.c)
+            return F.when(s.at > 0, F.substring(letters, to + 1, F.lit(1))).when(s.c < "\u0100", s.c).otherwise(let(F.ascii(s.c), lambda point: far(s.c, point)))
+
+        def far(c: Column, point: Column) -> Column:
+            out = F.when(F.lit(False), c)
+            for lo, hi in SCRIPTS:
+                to = lo + F.pmod(F.xxhash64(told, i) % 1_000_003 + point - lo, F.lit(hi - lo + 1))
+                out = out.when(point.between(lo, hi), F.decode(F.unhex(F.lpad(F.hex(to), 8, "0")), "UTF-32"))
+            return out.otherwise(c)
 
         return let(F.substring(part, i, F.lit(1)), lambda c: let(F.struct(c.alias("c"), F.when(c == "", F.lit(0)).otherwise(F.instr(letters, c)).alias("at")), moved))
 
@@ -193,24 +207,43 @@ def surrogate(entity: Column, key: str) -> Column:
     return let(entity, lambda e: let(kind(e), lambda k: whole(e, k)))
 
 
+def _longer(entity: Column, key: str) -> Column:
+    """A surrogate beyond the entity's own format, for formats whose values may all be entities; others get their first."""
+    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("longer"), entity), 256)
+    word = F.translate(F.substring(digest, 1, 32), HEX, "bdfghklmnprstvwz")
+    # 20 decimal digits, in groups of four
+    numbers = [F.lpad((F.conv(F.substring(digest, 1 + 12 * i, 12), 16, 10).cast("long") % 10_000).cast("string"), 4, "0") for i in range(5)]
+    first = surrogate(entity, key)
+    name = F.regexp_extract(first, _BEFORE["person"], 0)
+    code = F.regexp_extract(entity, _BEFORE["phone"], 0)
+    return let(kind(entity), lambda k: (
+        F.when(k == "email", F.concat(word, F.lit("@"), F.substring(word, 1, 8), F.regexp_extract(entity, _BEHIND["email"], 0)))
+        .when(k == "person", F.concat(name, F.when(F.regexp_like(name, F.lit(r"\p{L}$")), F.lit(" ")).otherwise(F.lit("")), F.initcap(word)))
+        .when(k == "phone", F.concat_ws(" ", F.when(code != "", code).otherwise(F.lit("+1")), *numbers))
+        .otherwise(first)
+    ))
+
+
 def collisions(found: DataFrame, key: str) -> DataFrame | None:
     """entity, surrogate for those entities whose first surrogates are entities of the corpus; None without any.
 
     ``found`` has one row per distinct canonical entity and its first surrogate.
     """
     spark = found.sparkSession
-    real = found.select(F.col("entity").alias("now"))
-    open_, walked = found.select("entity", F.col("surrogate").alias("now")).join(real, "now", "left_semi"), None
-    for _ in range(MOST_WALKS):
-        open_ = materialize(spark, open_, "collisions")
-        if open_.isEmpty():
-            return walked
-        again = open_.select("entity", surrogate(F.col("now"), key).alias("now"))
-        again = materialize(spark, again, "walked")
-        settled = again.join(real, "now", "left_anti").select("entity", F.col("now").alias("surrogate"))
-        walked = settled if walked is None else walked.union(settled)
-        open_ = again.join(real, "now", "left_semi").select("entity", "now")
-    raise RuntimeError("surrogates did not leave the entities of the corpus")
+    taken, again = found.select(F.explode(F.array("entity", "surrogate")).alias("surrogate")), None
+    left = materialize(spark, found.join(found.select(F.col("entity").alias("surrogate")), "surrogate", "left_semi").select("entity"), "collisions")
+    n, most = 0, left.count()
+    while most:
+        n += 1
+        made = materialize(spark, left.select("entity", surrogate(F.col("entity"), f"{key}|{n}").alias("surrogate")), "again")
+        settled = materialize(spark, made.join(taken if again is None else taken.union(again.select("surrogate")), "surrogate", "left_anti").select("entity", "surrogate"), "settled")
+        again = settled if again is None else again.union(settled)
+        left = materialize(spark, made.join(settled, "entity", "left_anti").select("entity"), "collisions")
+        before, most = most, left.count()
+        if most == before:
+            # formats whose values are all taken, or nearly so
+            return again.union(left.select("entity", _longer(F.col("entity"), key).alias("surrogate")))
+    return again
 
 
 def replace(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -231,6 +231,20 @@ def test_pii_is_one_to_one_and_keeps_formats(spark):
     assert len(out) == 500 and not out & set(texts[5:])
 
 
+def test_pii_of_other_scripts_and_full_domains(spark):
+    mails = ["张伟@例子.中国", "김철수@예시.한국", "שלום@דוגמה.ישראל", "ឆ្ក@ក.ខ", "ක@ක.ක", "张伟7@例子.中国"]
+    names = [f"Mr. {n}" for group in pii.GIVEN.values() for n in group] + ["Mr. Őű"]
+    phones = [f"+1 {i:02d} {j:02d}" for i in range(3) for j in range(100)]
+    entities = mails[:3] + mails[4:] + names + phones
+    docs = spark.createDataFrame(list(enumerate(f"x: {e};" for e in entities)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.replace(docs, "key").collect()}
+    out = [got[i]["text"][3:-1] for i in range(len(entities))]
+    assert all(r["n_entities"] == 1 for r in got.values())
+    assert len(set(out)) == len(out) and not set(out) & set(entities)
+    assert [m.rsplit(".", 1)[1] for m in out[:3]] == ["中国", "한국", "ישראל"] and "张伟" not in out[4]
+    assert re.fullmatch("[\u4e00-\u9fa5]{2}@[\u4e00-\u9fa5]{2}\\.中国", out[0])
+
+
 def test_url_rules_and_templates(spark):
     urls = [None, "no scheme", "http://Example.com/en/1", "http://www.example.com/en/1?x", "https://a.example.net/fr/9#t", "http://xexample.com", "ftp://h.org/a/b"]
     urls += [f"http://spam.net/ES/{i}" for i in range(3)] + [f"http://spam.net/es/{i}" for i in range(9)]
