@@ -35,8 +35,10 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    leaks = decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    return docs.select(*DOCUMENT_COLUMNS).join(materialize(spark, leaks.select("doc_id").distinct(), "leaks"), "doc_id", "left_anti")
+    # ids may be null or repeated; a row is told by its id and text
+    own = docs.select(*DOCUMENT_COLUMNS, F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("_row"))
+    leaks = decontamination.find_leaks(own, table(spark, sf_dir, "benchmark"), id_col="_row").select(F.col("doc_id").alias("_row"))
+    return own.join(materialize(spark, leaks.distinct(), "leaks"), "_row", "left_anti").select(*DOCUMENT_COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

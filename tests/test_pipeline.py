@@ -1,0 +1,16 @@
+import numpy as np
+
+import corpus_pipeline
+
+
+def test_decontamination_removes_leaking_rows_and_no_others(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    text = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnop"), rng.integers(3, 8))) for _ in range(n))
+    item = text(40)
+    spark.createDataFrame([(9, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = [text(30) for _ in range(3)]
+    rows = [(None, f"{clean[0]} {item}"), (None, clean[0]), (1, item), (1, clean[1]), (2, clean[2]), (3, None), (None, None), (4, item), (4, item)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted([(None, clean[0]), (1, clean[1]), (2, clean[2]), (3, None), (None, None)], key=repr)
