@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 K1, B = 1.2, 0.75
 VECTOR_WEIGHT, LEXICAL_WEIGHT = 0.7, 0.3
 STRONG, STRONG_SHARE, LEAST = 0.75, 0.92, 0.1
-#: Queries of one call; more are to be asked in several calls.
+#: Queries that are sent to the rows at once; more are asked in blocks.
 MOST_QUERIES = 10_000
 TOKEN = "[a-z0-9]+"
 
@@ -31,15 +31,18 @@ def top(hits: DataFrame, k: int) -> DataFrame:
 def vector_search(rows: DataFrame, queries: DataFrame, k: int = 20, min_score: float = 0.3) -> DataFrame:
     """query_id, id, score, rank; rows(id, vector), queries(query_id, vector); score is 1 / (1 + cosine distance).
 
-    Null and zero vectors match nothing. The query set is counted before it is sent to the rows.
+    Null and zero vectors match nothing. The query set is counted, and sent to the rows in blocks.
     """
-    n = queries.count()
-    if n > MOST_QUERIES:
-        raise ValueError(f"{n} queries; ask at most {MOST_QUERIES} at once")
-    asked = F.broadcast(queries.select("query_id", F.col("vector").alias("q")))  # MOST_QUERIES rows at most
+    blocks = max(1, -(-queries.count() // MOST_QUERIES))
+    held = rows.where(dot(F.col("vector"), F.col("vector")) > 0)
     score = F.round(1 / (1 + cosine_distance(F.col("vector"), F.col("q"))), 6)
-    pairs = rows.where(dot(F.col("vector"), F.col("vector")) > 0).join(asked.where(dot(F.col("q"), F.col("q")) > 0))
-    return top(pairs.select("query_id", "id", score.alias("score")).where(F.col("score") >= min_score), k)
+    out = None
+    for block in range(blocks):
+        asked = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", F.col("vector").alias("q"))
+        pairs = held.join(F.broadcast(asked.where(dot(F.col("q"), F.col("q")) > 0)))  # some MOST_QUERIES rows
+        hits = top(pairs.select("query_id", "id", score.alias("score")).where(F.col("score") >= min_score), k)
+        out = hits if out is None else out.union(hits)
+    return out
 
 
 def words(text: Column) -> Column:

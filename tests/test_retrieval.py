@@ -13,3 +13,10 @@ def test_null_vectors_and_texts_match_nothing(spark):
     q = spark.createDataFrame([(7, [1.0, 0.0], "Alpha")], "query_id long, vector array<float>, text string")
     assert [(r["id"], r["score"]) for r in retrieval.vector_search(rows, q).collect()] == [(3, 1.0)]
     assert [r["id"] for r in retrieval.lexical_search(rows, q).collect()] == [3]
+
+
+def test_more_queries_than_a_block_holds(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "MOST_QUERIES", 3)
+    rows = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(8)], "id long, vector array<float>")
+    got = retrieval.vector_search(rows, rows.withColumnRenamed("id", "query_id"), k=1).collect()
+    assert sorted((r["query_id"], r["id"], r["rank"]) for r in got) == [(i, i, 1) for i in range(8)]
