@@ -70,4 +70,4 @@ def fuse(vector: DataFrame, lexical: DataFrame, k: int = 20) -> DataFrame:
     summed = VECTOR_WEIGHT * F.col("v") + LEXICAL_WEIGHT * F.coalesce("b", F.lit(0.0))
     score = F.when(F.col("v").isNull(), F.col("b")).when(F.col("b") >= STRONG, F.greatest(summed, STRONG_SHARE * F.col("b"))).otherwise(summed)
     scored = both.select("query_id", "id", F.round(F.least(F.lit(1.0), F.greatest(F.lit(LEAST), score)), 6).alias("score"), F.col("v").alias("vector_score"), F.col("b").alias("lexical_score"))
-    return top(scored, k)
+    return top(scored, k).select("query_id", "id", "score", "rank", "vector_score", "lexical_score")

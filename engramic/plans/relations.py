@@ -226,7 +226,7 @@ def f5_rate_limit(spark, sf_dir):
 
 @query(f"WITH {SMART_SQL}, c AS (SELECT id, round({columns._TOTAL}, 6) AS composite FROM smart) SELECT * FROM c WHERE composite < 0.3")
 def g5_stale_rows(spark, sf_dir):
-    return smart(spark, sf_dir).select("id", F.round(columns.total, 6).alias("composite")).where(F.col("composite") < scoring.STALE_BELOW)
+    return smart(spark, sf_dir).select("id", F.round(columns.Row().total, 6).alias("composite")).where(F.col("composite") < scoring.STALE_BELOW)
 
 
 @query(f"""WITH {SMART_SQL} SELECT id, round({columns._DEEP}, 6) AS score FROM smart WHERE tier <> 'core' AND layer <> 'durable' AND access_count >= 3 AND round({columns._DEEP}, 6) >= 0.6
