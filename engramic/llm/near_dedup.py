@@ -6,10 +6,11 @@ of 6 rows, which would need 1,176 on their own. Documents with equal shingle set
 class. A pair of classes at similarity s shares a table unless all A bands or all B bands differ:
 2 * (1 - s^3)^14, which is 9e-5 at s = 0.8 and falls fast above.
 
-Candidates are confirmed on the full shingle sets. To keep large groups linear, each bucket of
-a few tables first links its members to one of them; connected components follow, then the same
-for the buckets of all tables that span components, and only buckets that still do are compared
-across components, in bounded blocks.
+Candidates are confirmed on the full shingle sets. To keep large groups linear, each bucket of a few
+tables first links its members to one of them, then each component in it to one other; connected
+components follow each time. What is left are pairs of different components that share a table.
+They meet under the A band that they share (under the whole table key where many would): one large
+component of a bucket in chunks against the few rows outside it, and only those among each other.
 """
 
 from __future__ import annotations
@@ -39,8 +40,9 @@ WIDTH = SKETCH + MAP_BITS // 8
 CACHE_WORDS = 500_000
 #: Tables (pairs of an A band and the B band of the same number) that are looked at first.
 FIRST_TABLES = 8
-#: Members of a bucket that are compared with each other in one step.
-BLOCK = 512
+#: Rows outside a bucket's largest component that are compared with each other in one step, and rows
+#: of that component that they are compared with in one step.
+BLOCK, CHUNK = 512, 4096
 
 _SEEDS = np.random.default_rng(20_240_131).integers(1, 2**63, size=(SKETCH, 2), dtype=np.uint64)
 _MUL, _ADD = (_SEEDS[:, 0] >> np.uint64(20)).astype(np.uint32) | np.uint32(1), (_SEEDS[:, 1] >> np.uint64(20)).astype(np.uint32)
@@ -129,28 +131,21 @@ def shingle_sets(wanted: DataFrame, words: int) -> DataFrame:
     """id, shingles (sorted distinct 64-bit hashes as bytes) of those of wanted(id, k1, k2, text) whose text has the wanted set."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingles(words)
+        shingle, done = Shingles(words), set()
         for batch in batches:
-            sets = [shingle(t.as_py()).tobytes() for t in batch.column("text")]
-            ok = [_key(s) == (x, y) for s, x, y in zip(sets, batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), strict=True)]
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("id").filter(keep), pa.array(sets, pa.binary()).filter(keep)], ["id", "shingles"])
+            ids, sets = [], []
+            for i, text, x, y in zip(*(batch.column(c) for c in ("id", "text", "k1", "k2")), strict=True):
+                if i.as_py() not in done:  # a row may be repeated in full
+                    own = shingle(text.as_py()).tobytes()
+                    if _key(own) == (x.as_py(), y.as_py()):
+                        done.add(i.as_py())
+                        ids.append(i.as_py())
+                        sets.append(own)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["id", "shingles"])
 
     return wanted.mapInArrow(kernel, "id long, shingles binary")
 
 
-def _tables(classes: DataFrame) -> DataFrame:
-    """id, t, key (of table t) of every bucket that can have two members: its A band and its B band are both shared."""
-    bands = classes.select("id", F.posexplode("bands").alias("band", "value"))
-    shared = bands.groupBy("band", "value").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("band", "value")
-    own = bands.join(shared, ["band", "value"]).groupBy("id").agg(F.collect_list(F.struct("band", "value")).alias("own"))  # at most 2 x BANDS
-    a = F.filter("own", lambda x: x.band < BANDS)
-    b = F.filter("own", lambda x: x.band >= BANDS)
-    pair = lambda x, y: F.struct((x.band * BANDS + y.band - BANDS).alias("t"), F.xxhash64(x.band, x.value, y.band, y.value).alias("key"))
-    pairs = F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: pair(x, y))))
-    return own.select("id", F.explode(pairs).alias("p")).select("id", "p.t", "p.key")
-
-
 def _possible(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
     """Whether sketches and maps of sets of nx and ny shingles allow the similarity.
 
@@ -193,15 +188,57 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: in
     spark = pairs.sparkSession
     pairs = materialize(spark, pairs, "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = texts.join(classes.join(ids, "id").select("id", "at", "k1", "k2"), "at").select("id", "k1", "k2", "text")
-    sets = shingle_sets(wanted, words).groupBy("id").agg(F.first("shingles").alias("shingles"))  # rows may be repeated
+    wanted = classes.join(ids, "id").select("id", "k1", "k2", F.col("at").alias("_at"), F.col("doc_id").alias("_doc"))
+    # the one row of a class, not all copies of its text
+    wanted = texts.join(wanted, (F.col("at") == F.col("_at")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).select("id", "k1", "k2", "text")
+    sets = shingle_sets(wanted, words).groupBy("id").agg(F.first("shingles").alias("shingles"))
     sets = materialize(spark, sets, "sets")
     near = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     return near.mapInArrow(kernel, "a long, b long")
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """The groups of rows sorted by (key, p, q), as columns; sketches and bands as matrices."""
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with their root; a row without a link is its own."""
+    return rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
+def _first_tables(classes: DataFrame) -> DataFrame:
+    """id, key of the first tables."""
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("bands")[i], F.col("bands")[BANDS + i]) for i in range(FIRST_TABLES)])
+    return classes.select("id", F.explode(keys).alias("key"))
+
+
+def _stars(rooted: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a bucket's leader and one member of each other component in it, from (key, id, root)."""
+    groups = rooted.groupBy("key", "root").agg(F.min("id").alias("id"))
+    lead = groups.groupBy("key").agg(F.min(F.struct("root", "id")).alias("lead"), F.max("root").alias("z")).where("lead.root != z").select("key", F.col("lead.id").alias("a"), F.col("lead.root").alias("r"))
+    return groups.join(lead, "key").where("root != r").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+
+
+def _mixed(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The rows of buckets that span components, with main (the largest component), large (its rows) and small (all others)."""
+    member = [F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit("second"), "id")).alias("y")]
+    groups = rows.groupBy(*by, "root").agg(*member)
+    buckets = groups.groupBy(*by).agg(F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("k"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).where("k > 1")
+    # of buckets with equal members the first holds the pairs of all
+    first = buckets.groupBy("n", "x", "y").agg(F.min(F.struct(*by, "main")).alias("b"))
+    first = first.select(*[F.col(f"b.{c}").alias(c) for c in by], F.col("b.main.root").alias("main"), F.col("b.main.c").alias("large"), (F.col("n") - F.col("b.main.c")).alias("small"))
+    return rows.join(first, by)
+
+
+def _dealt(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The rows of each bucket dealt to groups (p, q): block p against block q of the small part, and chunk -1 - p of the main component against block q."""
+    blocks, chunks = F.ceil(F.col("small") / F.lit(BLOCK)).cast("int"), F.ceil(F.col("large") / F.lit(CHUNK)).cast("int")
+    main = F.col("root") == F.col("main")
+    own = F.when(main, -1 - F.pmod(F.xxhash64("id"), chunks)).otherwise(F.pmod(F.xxhash64("id"), blocks)).cast("int")
+    rows = rows.withColumns({"own": own, "others": F.sequence(F.lit(0), blocks - 1), "chunks": F.sequence(F.lit(1), chunks)})
+    with_small = F.transform("others", lambda o: F.struct(F.least("own", o).alias("p"), F.greatest("own", o).alias("q")))
+    with_main = F.transform("chunks", lambda c: F.struct((-c).alias("p"), F.col("own").alias("q")))
+    return rows.withColumn("pq", F.explode(F.when(main, with_small).otherwise(F.concat(with_small, with_main)))).select(*by, "pq.p", "pq.q", "own", "id", "root")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """The groups of rows sorted by ``by``, as columns; sketches and bands as matrices."""
     rest: pa.Table | None = None
 
     def columns(t: pa.Table) -> dict[str, np.ndarray]:
@@ -212,7 +249,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]
 
     for batch in batches:
         rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-        own = [rest.column(c).to_numpy() for c in ("key", "p", "q")]
+        own = [rest.column(c).to_numpy() for c in by]
         starts = np.flatnonzero(np.any([np.diff(x) != 0 for x in own], axis=0)) + 1
         if len(starts):
             done = columns(rest.slice(0, int(starts[-1])))
@@ -223,47 +260,38 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]
         yield columns(rest)
 
 
-def _rooted(tables: DataFrame, roots: DataFrame) -> DataFrame:
-    return tables.join(roots, "id", "left").select("id", "t", "key", F.coalesce("root", "id").alias("root"))
-
+def _across(classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that share a table, but no component, and whose sizes and sketches allow the similarity.
 
-def _stars(rooted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Leaders (key, a) of buckets that span components, and the pairs (a, b) of a leader and a member of another component."""
-    lead = F.min(F.struct("root", "id"))
-    leaders = rooted.groupBy("key").agg(lead.alias("lead"), F.max("root").alias("z")).where("lead.root != z").select("key", F.col("lead.id").alias("a"), F.col("lead.root").alias("r"))
-    leaders = materialize(rooted.sparkSession, leaders, "leaders")
-    pairs = rooted.join(leaders, "key").where("root != r").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-    return leaders, pairs
-
-
-def _across(rooted: DataFrame, leaders: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket, but of different components, whose sizes and sketches allow the similarity.
-
-    Pairs with the bucket's leader were looked at before. Of buckets with equal members the one of
-    the first table is taken, and a pair is looked at in the first table that it shares by its band
-    values, so each pair comes up once.
+    They meet under each A band that they share; where a bucket of an A band has more than BLOCK
+    rows outside its largest component, under each table key with that band. A pair is looked at
+    under the first A band, or the first table, that it shares by its band values, so it comes up once.
     """
-    rooted = rooted.join(leaders, "key").where("id != a")
-    members = [F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit("second"), "id")).alias("y")]
-    mixed = rooted.groupBy("key").agg(F.min("t").alias("t"), F.min("root").alias("lo"), F.max("root").alias("hi"), *members).where("lo != hi")
-    mixed = mixed.groupBy("c", "x", "y").agg(F.min(F.struct("t", "key")).alias("first")).select("first.key", "c")
-    rows = rooted.join(mixed, "key").join(classes.select("id", "n", "sketch", "bands"), "id")
-    # a bucket of c members is cut into blocks; each pair of blocks is one group of at most some 2 x BLOCK rows
-    rows = rows.withColumn("blocks", F.ceil(F.col("c") / F.lit(BLOCK)).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.select("key", "t", "id", "root", "n", "sketch", "bands", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "t", "block", "id", "root", "n", "sketch", "bands")
+    rows = _rooted(classes.select("id", "bands"), roots)
+    under_a = _mixed(rows.select("id", "root", F.posexplode(F.slice("bands", 1, BANDS)).alias("i", "v")), ["i", "v"])
+    few = _dealt(under_a.where(F.col("small") <= BLOCK), ["i", "v"]).select("i", "v", F.lit(-1).alias("j"), F.lit(0).cast("long").alias("w"), "p", "q", "own", "id", "root")
+    many = under_a.where(F.col("small") > BLOCK).select("id", "root", "i", "v").join(classes.select("id", "bands"), "id")
+    table = ["i", "v", "j", "w"]
+    many = _mixed(many.select("id", "root", "i", "v", F.posexplode(F.slice("bands", BANDS + 1, BANDS)).alias("j", "w")), table)
+    by = [*table, "p", "q"]
+    dealt = few.union(_dealt(many, table).select(*by, "own", "id", "root")).join(classes.select("id", "n", "sketch", "bands"), "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[np.ndarray] = []
-        for g in _groups(batches):
-            x, y = np.flatnonzero(g["block"] == g["p"]), np.flatnonzero(g["block"] == g["q"])
-            for i in x:  # one row against a block at a time
-                n, m = g["n"][i], g["n"][y]
-                j = y[(g["root"][y] != g["root"][i]) & (g["id"][y] != g["id"][i]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))]
+        for g in _groups(batches, by):
+            p, q, a, b = (int(g[c][0]) for c in ("p", "q", "i", "j"))
+            x, y = np.flatnonzero(g["own"] == p), np.flatnonzero(g["own"] == q)
+            if len(x) > len(y):
+                x, y = y, x
+            for k, i in enumerate(x):  # one row against all others at a time
+                others = y[k + 1 :] if p == q else y
+                n, m = g["n"][i], g["n"][others]
+                j = others[(g["root"][others] != g["root"][i]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))]
+                same = g["bands"][j] == g["bands"][i]
+                near = (same[:, :BANDS].argmax(axis=1) == a) & (same[:, BANDS:].any(axis=1) if b < 0 else same[:, BANDS:].argmax(axis=1) == b)
+                j = j[near]
+                j = j[_possible(g["sketch"][i], g["sketch"][j], n, g["n"][j], percent)] if len(j) else j
                 if len(j):
-                    j = j[_possible(g["sketch"][i], g["sketch"][j], n, g["n"][j], percent)]
-                    bands = g["bands"][j] == g["bands"][i]
-                    j = j[bands[:, :BANDS].argmax(axis=1) * BANDS + bands[:, BANDS:].argmax(axis=1) == g["t"][i]]
                     out.append(np.stack([np.full(len(j), g["id"][i]), g["id"][j]]))
             if len(out) >= 10_000:
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, np.concatenate(out, axis=1))), ["a", "b"])
@@ -271,8 +299,8 @@ def _across(rooted: DataFrame, leaders: DataFrame, classes: DataFrame, percent:
         if out:
             yield pa.RecordBatch.from_arrays(list(map(pa.array, np.concatenate(out, axis=1))), ["a", "b"])
 
-    found = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(compare, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(compare, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -295,20 +323,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "at")).alias("least")
     classes = sig.where("n > 0").groupBy(*same).agg(least, F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = materialize(spark, classes.select(*same, F.col("least.rid").alias("id"), F.col("least.doc_id").alias("doc_id"), F.col("least.at").alias("at"), "bands", "sketch"), "classes")
-    texts = rows.select("at", "text")
-
-    tables = materialize(spark, _tables(classes), "tables")
-    # a few tables join most of what is similar; then all tables, between components only
-    first = tables.where(F.col("t").isin([i * BANDS + i for i in range(FIRST_TABLES)]))
-    _, stars = _stars(first.select("id", "t", "key", F.col("id").alias("root")))
-    edges = materialize(spark, _confirmed(_sketched(stars, classes, percent), classes, texts, words, percent), "links")
-    roots = materialize(spark, connected_components(edges), "roots")
-    leaders, stars = _stars(_rooted(tables, roots))
-    more = materialize(spark, _confirmed(_sketched(stars, classes, percent), classes, texts, words, percent), "links")
-    edges = edges.union(more)
-    joined = materialize(spark, connected_components(edges), "roots")
-    rest = materialize(spark, _across(_rooted(tables, joined), leaders, classes, percent), "rest")
-    roots = joined
+    texts = rows.select("doc_id", "at", "text")
+
+    # the first tables join most of what is similar; then all tables, between components only
+    first = _first_tables(classes)
+    edges, roots = None, None
+    for _ in range(2):
+        rooted = first.withColumn("root", F.col("id")) if roots is None else _rooted(first, roots)
+        new = materialize(spark, _confirmed(_sketched(_stars(rooted), classes, percent), classes, texts, words, percent), "links")
+        edges = new if edges is None else edges.union(new)
+        roots = materialize(spark, connected_components(edges), "roots")
+    rest = materialize(spark, _across(classes, roots, percent), "rest")
     if not rest.isEmpty():
         edges = edges.union(_confirmed(rest, classes, texts, words, percent))
         roots = materialize(spark, connected_components(edges), "roots")

@@ -83,7 +83,8 @@ def test_near_dedup_against_brute_force(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
-def test_near_dedup_looks_at_all_pairs_of_crowded_buckets(spark):
+@pytest.mark.parametrize(("block", "linked"), [(512, False), (512, True), (7, False), (7, True)])
+def test_near_dedup_looks_at_all_pairs_of_crowded_buckets(spark, monkeypatch, block, linked):
     rng = np.random.default_rng(11)
     family = rng.integers(0, 1 << 16, (4, near_dedup.SKETCH))
     m = family[np.arange(160) % 4]
@@ -95,12 +96,16 @@ def test_near_dedup_looks_at_all_pairs_of_crowded_buckets(spark):
     sketch = (m >> 8).astype(np.uint8)
     rows = [(i, 100, bands[i].tolist(), sketch[i].tobytes() + bytes(near_dedup.MAP_BITS // 8)) for i in range(len(m))]
     classes = spark.createDataFrame(rows, "id long, n long, bands array<long>, sketch binary")
-    rooted = near_dedup._tables(classes).withColumn("root", near_dedup.F.col("id"))
-    leaders, stars = near_dedup._stars(rooted)
-    got = {(r["a"], r["b"]) for d in (near_dedup._sketched(stars, classes, 80), near_dedup._across(rooted, leaders, classes, 80)) for r in d.collect()}
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "CHUNK", 16)
+    roots = spark.createDataFrame([(i, i % 4) for i in range(4, 60) if linked], "id long, root long")
+    root = [i % 4 if linked and i < 60 else i for i in range(len(m))]
+    found = [(r["a"], r["b"]) for r in near_dedup._across(classes, roots, 80).collect()]
+    got = set(found)
+    assert len(got) == len(found)
     same, half = (bands[:, None] == bands[None]), near_dedup.BANDS
     want = same[..., :half].any(2) & same[..., half:].any(2) & ((sketch[:, None] == sketch[None]).sum(2) >= near_dedup.LEAST_AGREEING)
-    assert got == {(i, j) for i, j in np.argwhere(want).tolist() if i < j} and len(got) > 500
+    assert got == {(i, j) for i, j in np.argwhere(want).tolist() if i < j and root[i] != root[j]} and len(got) > 300
 
 
 def test_near_dedup_odd_rows(odd, spark):
