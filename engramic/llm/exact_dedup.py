@@ -1,9 +1,11 @@
 """Exact dedup by content-defined chunk recipes, in DataFrame operations alone.
 
-A text, with blanks deleted, is cut where its own content says so; a chunk's identifier is its
-64-bit hash, and a text's recipe is the ordered list of its chunk identifiers. Chunks meet once, in
-a dictionary keyed by hash and content, which verifies that each identifier stands for one content.
-Recipes, a few hundredths of the text, are what is compared and joined; long texts do not move.
+A text, with blanks deleted, is cut where its own content says so: a hash of the two characters before
+a place decides, whatever the script. A chunk's identifier is its 64-bit hash, and a text's recipe is
+the ordered list of its chunk identifiers. Chunks meet once, in a dictionary keyed by hash and
+content, which verifies that each identifier stands for one content. Recipes, a few hundredths of
+the text, are what is compared and joined; long texts do not move. A recipe that many rows share is
+dealt to SALTS parts, so that no task meets all of its rows.
 """
 
 from __future__ import annotations
@@ -13,8 +15,20 @@ from pyspark.sql import functions as F
 
 from .common import BLANK, materialize
 
-#: A chunk has at least 256 characters and ends after one of these pairs, or at 1,024 characters.
-CHUNK = r"(?s).{256,1022}?[aeosn][rtlu]|.{1,1024}"
+#: Parts that the rows of one recipe are dealt to.
+SALTS = 256
+
+
+def _cuts(step: int) -> str:
+    """A class of bytes, a quarter of the visible ASCII ones and of those that end or continue other characters, by a rule."""
+    return "[" + "".join(f"\\x{b:02x}" for b in (*range(33, 127), *range(128, 192)) if b * step % 64 < 16) + "]"
+
+
+#: What a character of two to four bytes has before its last byte.
+_HEAD = r"(?:[\xc2-\xdf]|[\xe0-\xef][\x80-\xbf]|[\xf0-\xf4][\x80-\xbf]{2})"
+#: A chunk has at least 256 bytes and ends where the last bytes of two characters are of two such
+#: classes, or at 1,024 bytes.
+CHUNK = rf"(?s).{{256,1019}}?{_cuts(11)}{_HEAD}?{_cuts(27)}|.{{1,1024}}"
 
 
 def normalized(text: Column) -> Column:
@@ -23,7 +37,8 @@ def normalized(text: Column) -> Column:
 
 
 def chunks(norm: Column) -> Column:
-    return F.regexp_extract_all(norm, F.lit(CHUNK), F.lit(0))
+    """The chunks in order, each byte written as one character."""
+    return F.regexp_extract_all(F.decode(norm.cast("binary"), "ISO-8859-1"), F.lit(CHUNK), F.lit(0))
 
 
 def _hex(chunk: Column) -> Column:
@@ -70,9 +85,13 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if odd is not None:
         told = F.when(F.col("odd"), F.col("text_sha256")).otherwise(F.lit(""))
         base = base.join(odd.withColumn("odd", F.lit(True)), "recipe", "left").withColumn("recipe", F.concat("recipe", told)).drop("odd")
-    best = F.max(F.struct("points", F.bitwise_not("doc_id").alias("d"), F.bitwise_not("rid").alias("r"))).alias("best")
-    groups = base.groupBy("recipe").agg(best, F.count(F.lit(1)).alias("group_size"))
-    return base.join(groups, "recipe").select(
+    # each part of a recipe, then each recipe; the parts take the answer back to their rows
+    first = F.struct("points", F.bitwise_not("doc_id").alias("d"), F.bitwise_not("rid").alias("r"))
+    base = base.withColumn("salt", F.pmod("rid", F.lit(SALTS)).cast("int"))
+    parts = base.groupBy("recipe", "salt").agg(F.max(first).alias("first"), F.count(F.lit(1)).alias("n"))
+    whole = parts.groupBy("recipe").agg(F.max("first").alias("best"), F.sum("n").alias("group_size"))
+    told = parts.select("recipe", "salt").join(whole, "recipe")
+    return base.join(told, ["recipe", "salt"]).select(
         "doc_id",
         F.bitwise_not("best.d").alias("keep_id"),
         "group_size",
