@@ -259,3 +259,61 @@ def test_url_rules_and_templates(spark):
     assert got[2] == ("example.com", "/en/1", "example.com/en/", "block")
     assert got[3][2:] == ("www.example.com/en/", "allow") and got[4] == ("a.example.net", "/fr/9", "net/fr/", "block")
     assert got[5] == ("xexample.com", "", None, "allow") and got[6][3] == "allow" and got[10][3] == "block"
+
+
+def test_toxicity_of_long_and_repeated_texts_and_odd_tables(spark):
+    rng = np.random.default_rng(6)
+    sent = lambda bad: " ".join([*(f"w{chr(97 + x)}ord" for x in rng.integers(0, 20, 6)), *(["scum"] if bad else [])]) + "."
+    rows = [(i, " ".join(sent(i % 4 == 0 and k == 2) for k in range(5)), "en", "s") for i in range(400)]
+    clean = " ".join(t for i, t, *_ in rows if i % 4)
+    odd = [(1000, clean * 40, "en", "s"), (1001, rows[4][1] * 50, "en", "s"), (4, rows[4][1], "en", "s"), (None, rows[4][1], None, None)]
+    docs, labels = docs_of(spark, rows + odd), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    got = {}
+    for r in toxicity.score(docs, model).collect():
+        got.setdefault(r["doc_id"], set()).add((r["score"], r["predicted"]))
+    assert len(got[4]) == 1 and got[None] == got[4] == got[1001]  # repeated rows and repeated sentences change nothing
+    assert all(p == 0 for _, p in got[1000])  # a long clean text stays clean
+    assert toxicity.keep_clean(docs, model).columns == docs.columns
+    assert toxicity.fit(docs, labels, train_chars=0) is None
+    none = docs_of(spark, [])
+    assert toxicity.fit(none, labels) is None and toxicity.score(none, model).count() == 0 and toxicity.keep_clean(none, None).count() == 0
+
+
+def test_toxicity_scores_are_noisy_or_over_sentences():
+    w = np.zeros((1 << toxicity.BITS) + 1)
+    w[-1] = -4.0
+    for word, weight in (("scum", 5.0), ("clown", 3.0)):
+        w[toxicity.features(word)[0]] = weight
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    score = toxicity.Scorer(w)
+    assert np.isclose(score("You scum. A clown! A clown! Fine.")[0], 1 - (1 - sigmoid(1.0)) * (1 - sigmoid(-1.0)))
+    assert np.isclose(score("Fine. Good.")[0], sigmoid(-4.0)) and score("")[0] == score("12 !")[0] == 0
+    assert score("Fine.\nYou scum.")[1:3] == (6, 15)
+
+
+def test_exact_dedup_chunks_follow_the_content_in_all_scripts(spark):
+    rng = np.random.default_rng(9)
+    scripts = {"latin": (0x61, 26), "cyrillic": (0x430, 32), "han": (0x4E00, 3000), "thai": (0xE01, 46), "emoji": (0x1F600, 70)}
+    texts = {n: "".join(chr(lo + x) for x in rng.integers(0, size, 6000)) for n, (lo, size) in scripts.items()}
+    cut = lambda t: {r for r in spark.createDataFrame([(t,)], "t string").select(exact_dedup.chunks(exact_dedup.F.col("t"))).first()[0]}
+    for name, t in texts.items():
+        whole, moved = cut(t), cut("new start" + t)
+        assert len(whole & moved) >= 0.6 * len(whole), name  # the cuts fall in step again soon after a change
+        assert "".join(c for c in spark.createDataFrame([(t,)], "t string").select(exact_dedup.chunks(exact_dedup.F.col("t"))).first()[0]).encode("latin1").decode() == t
+    assert exact_dedup.mark_duplicates(docs_of(spark, [])).count() == 0
+
+
+def brute_exact(rows):
+    groups = {}
+    for i, t in rows:
+        groups.setdefault("".join((t or "").translate(dict.fromkeys(map(ord, " \t\n\v\f\r")))), []).append((-len(t or ""), i))
+    return Counter((i, min(g)[1], len(g), min(g)[1] == i, hashlib.sha256(n.encode()).hexdigest()) for n, g in groups.items() for _, i in g)
+
+
+def test_exact_dedup_against_brute_force_with_a_hot_group(spark):
+    rng = np.random.default_rng(10)
+    hot = "слово " * 900
+    rows = [(i, [hot[: 5000 + 6 * (i % 3)], hot.replace(" ", "\n", i), f"x{rng.integers(0, 40)} y", None, "", "a b", "a b"][i % 7]) for i in range(700)]
+    got = exact_dedup.mark_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in got) == brute_exact(rows)
