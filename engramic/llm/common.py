@@ -46,6 +46,22 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+#: Parts that the rows of one key are dealt to.
+SALTS = 256
+
+
+def with_totals(rows: DataFrame, key: list[str], part: list[Column], whole: list[Column], by: Column) -> DataFrame:
+    """``rows`` and aggregates over their (not null) ``key``; no task meets all rows of a key.
+
+    The rows of a key are dealt to SALTS parts by ``by``; ``part`` aggregates a part, ``whole`` the
+    parts of a key, and the parts take the answer back to their rows.
+    """
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    parts = dealt.groupBy(*key, "_salt").agg(*part)
+    told = parts.select(*key, "_salt").join(parts.groupBy(*key).agg(*whole), key)
+    return dealt.join(told, [*key, "_salt"]).drop("_salt")
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus

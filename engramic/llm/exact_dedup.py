@@ -4,8 +4,8 @@ A text, with blanks deleted, is cut where its own content says so: a hash of the
 a place decides, whatever the script. A chunk's identifier is its 64-bit hash, and a text's recipe is
 the ordered list of its chunk identifiers. Chunks meet once, in a dictionary keyed by hash and
 content, which verifies that each identifier stands for one content. Recipes, a few hundredths of
-the text, are what is compared and joined; long texts do not move. A recipe that many rows share is
-dealt to SALTS parts, so that no task meets all of its rows.
+the text, are what is compared and joined; long texts do not move, and no task meets all rows of a
+recipe that many rows share.
 """
 
 from __future__ import annotations
@@ -13,10 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, materialize
-
-#: Parts that the rows of one recipe are dealt to.
-SALTS = 256
+from .common import BLANK, materialize, with_totals
 
 
 def _cuts(step: int) -> str:
@@ -85,13 +82,9 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if odd is not None:
         told = F.when(F.col("odd"), F.col("text_sha256")).otherwise(F.lit(""))
         base = base.join(odd.withColumn("odd", F.lit(True)), "recipe", "left").withColumn("recipe", F.concat("recipe", told)).drop("odd")
-    # each part of a recipe, then each recipe; the parts take the answer back to their rows
-    first = F.struct("points", F.bitwise_not("doc_id").alias("d"), F.bitwise_not("rid").alias("r"))
-    base = base.withColumn("salt", F.pmod("rid", F.lit(SALTS)).cast("int"))
-    parts = base.groupBy("recipe", "salt").agg(F.max(first).alias("first"), F.count(F.lit(1)).alias("n"))
-    whole = parts.groupBy("recipe").agg(F.max("first").alias("best"), F.sum("n").alias("group_size"))
-    told = parts.select("recipe", "salt").join(whole, "recipe")
-    return base.join(told, ["recipe", "salt"]).select(
+    first = F.max(F.struct("points", F.bitwise_not("doc_id").alias("d"), F.bitwise_not("rid").alias("r"))).alias("first")
+    groups = with_totals(base, ["recipe"], [first, F.count(F.lit(1)).alias("n")], [F.max("first").alias("best"), F.sum("n").alias("group_size")], F.col("rid"))
+    return groups.select(
         "doc_id",
         F.bitwise_not("best.d").alias("keep_id"),
         "group_size",

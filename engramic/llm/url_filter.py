@@ -2,9 +2,10 @@
 
 Rules decide the urls they fit, and these serve as labels. Per host, paths form a tree: digits
 become wildcards, and so do children that hold a small share of a node with many children. First
-branches of a host with the same statistics (the shares of what follows them, and their labelled
-purity) are merged and their labels pooled. A template is rejected by the smoothed share of blocked
-urls among its labelled ones; urls without a rule get the verdict of their template.
+branches of a host with the same statistics (the shares of what follows them) are merged and their
+labels pooled, so that branches without labels are judged by those that are built alike. A template
+is rejected by the smoothed share of blocked urls among its labelled ones; urls without a rule get
+the verdict of their template.
 """
 
 from __future__ import annotations
@@ -12,11 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import with_totals
+
 #: (rule, verdict); a rule is a host, which stands for its subdomains too, and the beginning of a path.
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 #: A child is variable if its node has at least so many children and the child less than this share.
 LEAST_CHILDREN, LEAST_SHARE = 8, 0.05
-#: What follows a branch counts in its statistics from this share on; shares and purity are told apart in steps of a quarter.
+#: What follows a branch counts in its statistics from this share on; shares are told apart in steps of a quarter.
 TAIL_SHARE, STEPS = 0.1, 4
 #: A template is rejected from this purity on, (blocked + 1) / (labelled + 2).
 REJECT = 0.7
@@ -52,8 +55,8 @@ def rejected_shapes(shapes: DataFrame) -> DataFrame:
     rows = rows.withColumn("parent", F.array_join(F.slice("tokens", F.lit(1), F.col("at")), "/")).drop("tokens")
     node = ["host", "parent", "token"]
     nodes = rows.groupBy(*node).agg(F.sum("n").alias("c"))
-    totals = nodes.groupBy("host", "parent").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("children"))
-    rare = nodes.join(totals, ["host", "parent"]).where(f"children >= {LEAST_CHILDREN} AND c < {LEAST_SHARE}D * total").select(*node, F.lit(True).alias("rare"))
+    totals = with_totals(nodes, ["host", "parent"], [F.sum("c").alias("s"), F.count(F.lit(1)).alias("k")], [F.sum("s").alias("total"), F.sum("k").alias("children")], F.col("token"))
+    rare = totals.where(f"children >= {LEAST_CHILDREN} AND c < {LEAST_SHARE}D * total").select(*node, F.lit(True).alias("rare"))
     marked = rows.join(rare, node, "left").withColumn("token", F.when(F.col("rare"), F.lit("*")).otherwise(F.col("token")))
     # the tokens of one path, in order
     paths = marked.groupBy("host", "shape").agg(
@@ -61,12 +64,11 @@ def rejected_shapes(shapes: DataFrame) -> DataFrame:
     )
     paths = paths.select("host", "shape", "n", "block", "labelled", F.col("t.token")[0].alias("branch"), F.array_join(F.slice("t.token", F.lit(2), F.size("t")), "/").alias("tail"))
     tails = paths.groupBy("host", "branch", "tail").agg(*(F.sum(c).alias(c) for c in ("n", "block", "labelled")))
-    branches = tails.groupBy("host", "branch").agg(F.sum("n").alias("all_n"), F.floor(_purity(F.sum("block"), F.sum("labelled")) * STEPS).alias("purity"))
-    frequent = tails.join(branches, ["host", "branch"]).where(f"n >= {TAIL_SHARE}D * all_n").select(
-        "host", "branch", "purity", F.concat("tail", F.lit("="), F.round(F.col("n") / F.col("all_n") * STEPS).cast("int").cast("string")).alias("share")
-    )
+    sized = with_totals(tails, ["host", "branch"], [F.sum("n").alias("s")], [F.sum("s").alias("all_n")], F.col("tail"))
+    share = F.concat("tail", F.lit("="), F.round(F.col("n") / F.col("all_n") * STEPS).cast("int").cast("string"))
+    frequent = sized.where(f"n >= {TAIL_SHARE}D * all_n").select("host", "branch", share.alias("share"))
     # at most 1 / TAIL_SHARE shares of a branch
-    signed = frequent.groupBy("host", "branch").agg(F.concat_ws("|", F.first("purity").cast("string"), F.array_sort(F.collect_list("share"))).alias("signature"))
+    signed = frequent.groupBy("host", "branch").agg(F.array_join(F.array_sort(F.collect_list("share")), "|").alias("signature"))
     merged = paths.join(signed, ["host", "branch"], "left").withColumn("signature", F.coalesce("signature", F.concat(F.lit("/"), "branch")))
     bad = merged.groupBy("host", "signature", "tail").agg(F.sum("block").alias("b"), F.sum("labelled").alias("l")).where(_purity(F.col("b"), F.col("l")) >= REJECT)
     return merged.join(bad.select("host", "signature", "tail"), ["host", "signature", "tail"], "left_semi").select("host", "shape")
@@ -125,10 +127,10 @@ rare AS (
   SELECT host, shape, n, block, labelled, max(token) FILTER (WHERE pos = 1) AS branch, coalesce(string_agg(token, '/' ORDER BY pos) FILTER (WHERE pos > 1), '') AS tail
   FROM m GROUP BY 1, 2, 3, 4, 5
 ), tails AS (SELECT host, branch, tail, sum(n) AS n, sum(block) AS block, sum(labelled) AS labelled FROM p GROUP BY 1, 2, 3),
-br AS (SELECT host, branch, sum(n) AS all_n, CAST(floor((sum(block) + 1) / (sum(labelled) + 2) * {STEPS}) AS BIGINT) AS purity FROM tails GROUP BY 1, 2),
+br AS (SELECT host, branch, sum(n) AS all_n FROM tails GROUP BY 1, 2),
 sig AS (
-  SELECT host, branch, any_value(purity)::VARCHAR || '|' || string_agg(share, '|' ORDER BY share) AS signature
-  FROM (SELECT host, branch, purity, tail || '=' || CAST(round(n / all_n * {STEPS}) AS INT) AS share FROM tails JOIN br USING (host, branch) WHERE n >= {TAIL_SHARE} * all_n) GROUP BY 1, 2
+  SELECT host, branch, string_agg(share, '|' ORDER BY share) AS signature
+  FROM (SELECT host, branch, tail || '=' || CAST(round(n / all_n * {STEPS}) AS INT) AS share FROM tails JOIN br USING (host, branch) WHERE n >= {TAIL_SHARE} * all_n) GROUP BY 1, 2
 ), mg AS (SELECT p.*, coalesce(signature, '/' || p.branch) AS signature FROM p LEFT JOIN sig USING (host, branch)),
 bad AS (SELECT host, signature, tail FROM mg GROUP BY 1, 2, 3 HAVING (sum(block) + 1) / (sum(labelled) + 2) >= {REJECT}),
 badshape AS (SELECT host, shape FROM mg JOIN bad USING (host, signature, tail))

@@ -317,3 +317,15 @@ def test_exact_dedup_against_brute_force_with_a_hot_group(spark):
     rows = [(i, [hot[: 5000 + 6 * (i % 3)], hot.replace(" ", "\n", i), f"x{rng.integers(0, 40)} y", None, "", "a b", "a b"][i % 7]) for i in range(700)]
     got = exact_dedup.mark_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in got) == brute_exact(rows)
+
+
+def test_url_templates_judge_urls_without_a_rule(spark):
+    urls = [f"http://a.net/{lang}/post/{i}" for lang in ("es", "fr", "de") for i in range(12)] + [f"http://a.net/about/{'abc'[i % 3]}" for i in range(9)]
+    urls += [f"http://b.org/{lang}/post/{i}" for lang in ("es", "fr") for i in range(12)] + [None, "", "x://", "http://a.net"] + ["http://a.net/de/post/1"] * 3
+    pages = spark.createDataFrame([(i, u, "x", "clash") for i, u in enumerate(urls)] + [(None, "http://a.net/de/post/5", None, None)], "page_id long, url string, host string, rule string")
+    got = [(u, r["verdict"]) for r in url_filter.judge(pages, url_filter.RULES).collect() for u in [urls[r["page_id"]] if r["page_id"] is not None else "http://a.net/de/post/5"]]
+    assert len(got) == len(urls) + 1
+    blocked = {u for u, v in got if v == "block"}
+    # /de/ has no rule, but is built as /es/ and /fr/, which are blocked; other templates and hosts are not
+    assert blocked == {u for u in urls if u and u.startswith("http://a.net/") and u[13:15] in ("es", "fr", "de")}
+    assert url_filter.judge(pages.where("false"), url_filter.RULES).count() == 0
