@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 Q = 8
-#: Characters of a probe, the step between probes, and edits per character.
-PROBE, STEP, EDITS = 96, 48, 0.06
-#: Texts shorter than this many normalised characters are no evidence and are not searched.
-LEAST = 32
+#: Characters of a probe, the step between probes, and edits per character. A stretch of
+#: PROBE + STEP - 1 characters of a benchmark text is always found, wherever it begins.
+PROBE, STEP, EDITS = 64, 16, 0.065
+#: Texts of fewer normalised characters, some five words, are no evidence and are not searched;
+#: those of fewer than HALF are searched as they stand, without edits.
+LEAST, HALF = 24, 32
 #: Characters of benchmark text that one pass over the documents holds (the bound of a broadcast).
 BLOCK_CHARS = 8_000_000
 #: Characters of a document that are searched at once; neighbouring pieces overlap by two probes.
@@ -119,7 +121,7 @@ class Probes:
                 place.append(np.arange(len(g)))
                 self.points.append(p)
                 self.item.append(item)
-                self.budget.append(math.floor(EDITS * len(p)))
+                self.budget.append(math.floor(EDITS * len(p)) if len(p) >= HALF else 0)
         if not self.points:
             return
         grams, owner, place = (np.concatenate(x) for x in (grams, owner, place))

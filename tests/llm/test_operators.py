@@ -329,3 +329,55 @@ def test_url_templates_judge_urls_without_a_rule(spark):
     # /de/ has no rule, but is built as /es/ and /fr/, which are blocked; other templates and hosts are not
     assert blocked == {u for u in urls if u and u.startswith("http://a.net/") and u[13:15] in ("es", "fr", "de")}
     assert url_filter.judge(pages.where("false"), url_filter.RULES).count() == 0
+
+
+def brute_leaks(docs, items):
+    """(doc, item) by the full alignment of each probe with each text."""
+    folder, found = decontamination.Folder(), Counter()
+    for item, text in items:
+        p = decontamination.Probes([(item, text or "")])
+        for doc, t in docs:
+            points = folder(t)[0]
+            for probe, k in zip(p.points, p.budget, strict=True):
+                row = np.arange(len(probe) + 1)
+                best = row[-1]
+                for c in points:
+                    new = [0]
+                    for j in range(1, len(row)):
+                        new.append(min(row[j - 1] + (probe[j - 1] != c), row[j] + 1, new[-1] + 1))
+                    row = new
+                    best = min(best, row[-1])
+                if best <= k:
+                    found[(doc, item)] += 1
+                    break
+    return set(found)
+
+
+def test_decontamination_against_full_alignment(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "PIECE", 400)
+    rng = np.random.default_rng(13)
+    words = ["".join(rng.choice(list("abcdefghé"), rng.integers(2, 7))) for _ in range(60)]
+    text = lambda n: " ".join(rng.choice(words, n))
+    items = [(1, text(30)), (2, text(9)), (3, "Five words in this item!"), (4, None), (5, "too short"), (1, text(14))]
+    docs = []
+    for i in range(24):
+        body = list(items[[0, 1, 2, 5][i % 4]][1][rng.integers(0, 4) :][: rng.integers(60, 160)])
+        for _ in range(i % 5):
+            body[rng.integers(0, len(body))] = str(rng.choice(list("xyz -")))
+        docs.append((i, f"{text(int(rng.integers(0, 60)))} {''.join(body)} {text(8)}"))
+    docs += [(99, None), (100, ""), (0, docs[0][1]), (0, docs[0][1]), (None, items[0][1])]
+    rows = spark.createDataFrame([(i, t, 1, 2) for i, t in docs], "doc_id long, text string, item_id long, start long")
+    bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
+    got = [(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(rows, bench).collect()]
+    want = brute_leaks(docs, items)
+    assert set(got) == want and 8 < len(want) < 40
+    assert decontamination.find_leaks(rows.where("false"), bench).count() == 0
+    assert decontamination.find_leaks(rows, bench.where("item_id > 3")).count() == 0
+
+
+def test_decontamination_finds_every_stretch_of_its_stated_length(spark):
+    rng = np.random.default_rng(14)
+    item = " ".join("".join(rng.choice(list("abcdefghijklmnop"), rng.integers(3, 8))) for _ in range(50))
+    n = decontamination.PROBE + decontamination.STEP - 1
+    docs = spark.createDataFrame([(i, f"zz {item[i : i + n]} zz") for i in range(0, len(item) - n, 3)], "doc_id long, text string")
+    assert decontamination.find_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).count() == docs.count()
