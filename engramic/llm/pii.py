@@ -65,6 +65,8 @@ TYPES = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "person": rf"(?<!\p{{L}})(?:(?:{TITLES})\.? \p{{Lu}}[\p{{L}}'\-]++(?: \p{{Lu}}[\p{{L}}'\-]++)?|(?:{_NAMES}) \p{{Lu}}[\p{{L}}'\-]++)",
 }
+#: A private character that stands around entities where the text itself has none.
+MARK = "\ue000"
 PATTERN = "|".join(f"(?:{p})" for p in TYPES.values())
 
 
@@ -72,9 +74,12 @@ def entities(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
-def gaps(text: Column) -> Column:
-    """What lies before, between and after the entities."""
-    return F.split(text, PATTERN, -1)
+def pieces(text: Column) -> Column:
+    """What lies before, between and after the entities, and the entities, in turn; found in one search of the text."""
+    marked = F.split(F.regexp_replace(text, PATTERN, f"{MARK}$0{MARK}"), MARK, -1)
+    ends = F.concat(entities(text), F.array(F.lit("")))
+    apart = F.flatten(F.zip_with(F.split(text, PATTERN, -1), ends, lambda gap, e: F.array(gap, e)))
+    return F.when(F.contains(text, F.lit(MARK)), F.slice(apart, F.lit(1), F.size(apart) - 1)).otherwise(marked)
 
 
 def kind(entity: Column) -> Column:
@@ -161,7 +166,7 @@ def _luhn(body: Column) -> Column:
 
 
 #: What stays in front of the permuted part of an entity, and behind it.
-_BEFORE = {"phone": r"^\+[0-9]{1,3}(?=[ .\-])", "iban": "^[A-Z]{2}", "person": rf"^(?:(?:{TITLES})\.? )?(?:(?:{_NAMES})(?= |$))?"}
+_BEFORE = {"phone": r"^\+[0-9]{1,3}(?=[ .\-])", "iban": "^[A-Z]{2}", "person": rf"^(?:(?:{TITLES})\.? )?(?:(?:{_NAMES})(?: |$))?"}
 _BEHIND = {"email": r"\.[^.]*$", "card": "[0-9]$"}
 
 
@@ -184,14 +189,14 @@ def surrogate(entity: Column, key: str) -> Column:
         )
 
     def given(before: Column, new: Column) -> Column:
-        """A known given name becomes another of its gender and script."""
-        name = F.regexp_extract(before, rf"(?:{_NAMES})$", 0)
+        """A known given name becomes another one of its gender and script."""
+        name = F.regexp_extract(before, rf"({_NAMES}) ?$", 1)
         out = before
         for group, names in GIVEN.items():
-            by = F.pmod(F.xxhash64(F.sha2(F.concat_ws("|", F.lit(key), F.lit(group), new), 256)), F.lit(len(names))).cast("int")
+            by = 1 + F.pmod(F.xxhash64(F.sha2(F.concat_ws("|", F.lit(key), F.lit(group), new), 256)), F.lit(len(names) - 1)).cast("int")
             at = F.array_position(F.lit(names), name).cast("int")
             other = F.get(F.lit(names), F.pmod(at - 1 + by, F.lit(len(names))))
-            out = F.when(at > 0, F.concat(F.substring(before, F.lit(1), F.char_length(before) - F.char_length(name)), other)).otherwise(out)
+            out = F.when(at > 0, F.concat(F.regexp_replace(before, rf"(?:{_NAMES})( ?)$", ""), other, F.when(F.endswith(before, F.lit(" ")), F.lit(" ")).otherwise(F.lit("")))).otherwise(out)
         return out
 
     def joined(x: Column, new: Column) -> Column:
@@ -201,7 +206,10 @@ def surrogate(entity: Column, key: str) -> Column:
 
     def whole(e: Column, k: Column) -> Column:
         parts = let(F.struct(e.alias("e"), k.alias("k"), case(k, _BEFORE, e).alias("before"), case(k, _BEHIND, e).alias("behind")), cut)
-        permuted = let(parts, lambda x: let(_feistel(x.mid, x.letters, key), lambda new: joined(x, new)))
+        # each part of a name by itself, so that a surname is replaced alike with and without the rest
+        words = lambda x: F.when(x.k == "person", F.split(x.mid, " ")).otherwise(F.array(x.mid))
+        moved = lambda x: F.array_join(F.transform(words(x), lambda w: _feistel(w, x.letters, key)), " ")
+        permuted = let(parts, lambda x: let(moved(x), lambda new: joined(x, new)))
         return F.when(k == "ip", _ip(e, key)).otherwise(permuted)
 
     return let(entity, lambda e: let(kind(e), lambda k: whole(e, k)))
@@ -214,7 +222,7 @@ def _longer(entity: Column, key: str) -> Column:
     # 20 decimal digits, in groups of four
     numbers = [F.lpad((F.conv(F.substring(digest, 1 + 12 * i, 12), 16, 10).cast("long") % 10_000).cast("string"), 4, "0") for i in range(5)]
     first = surrogate(entity, key)
-    name = F.regexp_extract(first, _BEFORE["person"], 0)
+    name = F.rtrim(F.regexp_extract(first, _BEFORE["person"], 0))
     code = F.regexp_extract(entity, _BEFORE["phone"], 0)
     return let(kind(entity), lambda k: (
         F.when(k == "email", F.concat(word, F.lit("@"), F.substring(word, 1, 8), F.regexp_extract(entity, _BEHIND["email"], 0)))
@@ -266,11 +274,12 @@ def replace(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "
         held = held.join(walked, "entity").distinct().groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("walked"))
         rows = rows.join(held, "rid", "left")
         made = lambda e: F.coalesce(F.try_element_at(F.col("walked"), canonical(e)), surrogate(canonical(e), key))
-    cut = rows.withColumn("found", entities(F.col("text"))).withColumn("gaps", gaps(F.col("text")))
-    text = F.array_join(F.zip_with("gaps", F.transform("found", made), lambda gap, s: F.concat(gap, F.coalesce(s, F.lit("")))), "")
+    cut = rows.withColumn("pieces", pieces(F.col("text")))
+    found = F.filter("pieces", lambda x, i: i % 2 == 1)
+    text = F.array_join(F.transform("pieces", lambda x, i: F.when(i % 2 == 1, F.coalesce(made(x), F.lit(""))).otherwise(x)), "")
     return cut.select(
         "doc_id",
-        F.when(F.size("found") > 0, text).otherwise(F.col("text")).alias("text"),
-        F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_entities"),
-        F.array_distinct(F.transform("found", lambda e: kind(e))).alias("types"),
+        F.when(F.size("pieces") > 1, text).otherwise(F.col("text")).alias("text"),
+        F.coalesce(F.size(found), F.lit(0)).cast("long").alias("n_entities"),
+        F.array_distinct(F.transform(found, lambda e: kind(e))).alias("types"),
     )

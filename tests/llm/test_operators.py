@@ -381,3 +381,18 @@ def test_decontamination_finds_every_stretch_of_its_stated_length(spark):
     n = decontamination.PROBE + decontamination.STEP - 1
     docs = spark.createDataFrame([(i, f"zz {item[i : i + n]} zz") for i in range(0, len(item) - n, 3)], "doc_id long, text string")
     assert decontamination.find_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).count() == docs.count()
+
+
+def test_pii_coreference_and_odd_rows(spark):
+    texts = ["Mrs Jones saw Mary Jones and Mr. Quentin Jones", "x  Mary Jones, 10.0.0.1 y", "Mr. John met John Smith", None, "", "Mary Jones " * 3000]
+    docs = spark.createDataFrame([(i, t, "clash", 1) for i, t in enumerate(texts)] + [(None, texts[0], None, None), (0, texts[0], "again", 2)], "doc_id long, text string, entity string, pieces int")
+    got = {}
+    for r in pii.replace(docs, "key").collect():
+        got.setdefault(r["doc_id"], set()).add((r["text"], r["n_entities"]))
+    (one, n), = got[0]
+    names = re.fullmatch(r"Mrs (\w+) saw (\w+) (\w+) and Mr\. (\w+) (\w+)", one)
+    assert n == 3 and names[1] == names[3] == names[5] != "Jones" and names[2] in pii.GIVEN["female latin"] and names[2] != "Mary"
+    assert got[None] == got[0] and got[3] == {(None, 0)} and got[4] == {("", 0)}
+    assert next(iter(got[1]))[0].startswith(f"x  {names[2]} {names[1]}, ") and next(iter(got[1]))[1] == 2
+    assert got[5] == {(f"{names[2]} {names[1]} " * 3000, 3000)}
+    assert pii.replace(docs.where("false"), "key").count() == 0
