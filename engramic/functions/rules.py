@@ -40,6 +40,25 @@ ACKNOWLEDGED = [r"^(ok|okay|k|sure|fine|thanks|thank you|thx|ty|got it|understoo
 REMEMBER = [r"\b(remember|recall|don'?t forget|note that|keep in mind)\b", "(记住|記住|别忘|不要忘|记一下|記一下)"]
 ERRORS = [r"\[error\]|error:|exception:|fatal:|traceback|syntaxerror|typeerror|referenceerror|npm err!", "command not found|no such file|permission denied|non-zero|exit code", r'"status"\s*:\s*"error"|"status"\s*:\s*"failed"|\biserror\b', r"错误\s*[：:]|异常\s*[：:]|报错\s*[：:]|失败\s*[：:]"]
 SECRETS = [r"\bsk-[A-Za-z0-9]{20,}\b", r"\bsk-proj-[A-Za-z0-9\-_]{20,}\b", r"\bsk-ant-[A-Za-z0-9\-_]{20,}\b", r"\bghp_[A-Za-z0-9]{36,}\b", r"\bgho_[A-Za-z0-9]{36,}\b", r"\bghu_[A-Za-z0-9]{36,}\b", r"\bghs_[A-Za-z0-9]{36,}\b", r"\bgithub_pat_[A-Za-z0-9_]{22,}\b", r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b", r"\bAIza[0-9A-Za-z_-]{20,}\b", r"\bAKIA[0-9A-Z]{16}\b", r"\bnpm_[A-Za-z0-9]{36,}\b", r"(?i)\b(?:token|api[_-]?key|secret|password)\s*[:=]\s*[\"']?[^\s\"',;)}\]]{6,}[\"']?\b", r"-----BEGIN\s+(?:RSA\s+|EC\s+|DSA\s+|OPENSSH\s+)?PRIVATE\s+KEY-----[\s\S]*?-----END\s+(?:RSA\s+|EC\s+|DSA\s+|OPENSSH\s+)?PRIVATE\s+KEY-----", r"(?<=://)[^@\s]+:[^@\s]+(?=@)", r"/home/[^\s\"',;)}\]]+", r"/Users/[^\s\"',;)}\]]+", r"[A-Z]:\\[^\s\"',;)}\]]+", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"]
+# Words that make no pattern.
+STOP_WORDS = ["about", "after", "again", "also", "because", "before", "between", "could", "memory", "should", "their", "there", "these", "those", "through", "using", "where", "which", "while", "would"]
+# Groups of words and what they add to a query; the name of one store is left out.
+SYNONYMS = [
+    (["挂了", "挂掉", "宕机"], ["shutdown", "crashed"], ["崩溃", "crash", "error", "报错", "宕机", "失败"]),
+    (["卡住", "卡死", "没反应"], ["hung", "frozen"], ["hang", "timeout", "超时", "无响应", "stuck"]),
+    (["炸了", "爆了"], ["oom"], ["崩溃", "crash", "OOM", "内存溢出", "error"]),
+    (["配置", "设置"], ["config", "configuration"], ["配置", "config", "configuration", "settings", "设置"]),
+    (["部署", "上线"], ["deploy", "deployment"], ["deploy", "部署", "上线", "发布", "release"]),
+    (["容器"], ["docker", "container"], ["Docker", "容器", "container", "docker-compose"]),
+    (["报错", "出错", "错误"], ["error", "exception"], ["error", "报错", "exception", "错误", "失败", "bug"]),
+    (["修复", "修了", "修好"], ["bugfix", "hotfix"], ["fix", "修复", "patch", "解决"]),
+    (["踩坑"], ["troubleshoot"], ["踩坑", "bug", "问题", "教训", "排查", "troubleshoot"]),
+    (["记忆", "记忆系统"], ["memory"], ["记忆", "memory", "记忆系统", "索引"]),
+    (["搜索", "查找", "找不到"], ["search", "retrieval"], ["搜索", "search", "retrieval", "检索", "查找"]),
+    (["推送"], ["git push"], ["push", "推送", "git push", "commit"]),
+    (["日志"], ["logfile", "logging"], ["日志", "log", "logging", "输出", "打印"]),
+    (["权限"], ["permission", "authorization"], ["权限", "permission", "access", "授权", "认证"]),
+]
 TAG = r"(?i)\b(?:proj|env|team|scope):[\w-]+"
 CJK = "[\\x{4E00}-\\x{9FFF}\\x{3040}-\\x{309F}\\x{30A0}-\\x{30FF}\\x{AC00}-\\x{D7AF}]"
 
@@ -158,3 +177,39 @@ def first_sentence(text: Column, most: int = 80) -> Column:
 def tokens(text: Column) -> Column:
     """Han characters one by one, else runs of letters and digits, in lower case."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+"), F.lit(0))
+
+
+def support_spans(text: Column) -> Column:
+    """The distinct lines of a text, and their sentences of four characters or more."""
+    lines = F.filter(F.transform(F.split(text, r"\n+"), trim), lambda x: x != "")
+    parts = lambda line: F.filter(F.transform(F.split(line, "[。！？!?]+"), trim), lambda x: F.length(x) >= 4)
+    return F.array_distinct(F.concat(lines, F.flatten(F.transform(lines, parts))))
+
+
+def pattern_words(text: Column) -> Column:
+    """Words of four characters or more that may make a pattern."""
+    found = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_-]{4,}"), F.lit(0)), lambda w: F.regexp_replace(w, "^[-_]+|[-_]+$", ""))
+    return F.filter(found, lambda w: (F.length(w) >= 4) & ~w.isin(STOP_WORDS))
+
+
+def expand_query(query: Column, most: int = 5) -> Column:
+    """A query with the first additions of the groups that it names."""
+    low = F.lower(query)
+    none = F.array().cast("array<string>")
+    groups = []
+    for cn, en, more in SYNONYMS:
+        hit = any_of(query, [rf"\b{e}\b" for e in en])
+        for c in cn:
+            hit = hit | F.contains(low, F.lit(c))
+        groups.append(F.when(hit, F.filter(F.array(*map(F.lit, more)), lambda e: ~F.contains(low, F.lower(e)))).otherwise(none))
+    added = F.slice(F.array_distinct(F.concat(*groups)), 1, most)
+    return F.when((F.length(trim(query)) < 2) | (F.size(added) == 0), query).otherwise(F.concat(query, F.lit(" "), F.array_join(added, " ")))
+
+
+def at_depth(text: Column, category: Column, scope: Column, depth: str, score: Column) -> Column:
+    """A row as one line of a prompt: its first sentence, 300 characters, or all of it."""
+    share = F.concat(F.lit(" ("), F.round(score * 100).cast("int").cast("string"), F.lit("%)"))
+    if depth == "l0":
+        return F.concat(F.lit("- ["), category, F.lit("] "), first_sentence(text), share)
+    body = F.when(F.length(text) > 300, F.concat(F.substring(text, 1, 297), F.lit("..."))).otherwise(text) if depth == "l1" else text
+    return F.concat(F.lit("- ["), category, F.lit(":"), scope, F.lit("] "), body, share)

@@ -123,3 +123,18 @@ def recency_gap(latest: Column, now: Column, half_life: float) -> Column:
 
 def score_to_cosine(score: Column) -> Column:
     return 2 - 1 / score
+
+
+def category_boost(score: Column, category: Column, intent: Column, by: float = 1.15) -> Column:
+    """More for hits of the categories that a query intends."""
+    return F.when(F.array_contains(intent["categories"], category), F.least(F.lit(1.0), score * by)).otherwise(score)
+
+
+def rerank_blend(score: Column, reranked: Column, lexical: Column) -> Column:
+    """A reranker's score (null: not returned) blended with the fused one, not below the floor of strong lexical hits."""
+    blend = F.when(reranked.isNotNull(), 0.6 * reranked + 0.4 * score).otherwise(0.8 * score)
+    return F.greatest(rerank_floor(score, lexical, reranked.isNull()), F.least(F.lit(1.0), blend))
+
+
+def cosine_rerank(score: Column, cosine: Column) -> Column:
+    return unit(0.7 * score + 0.3 * cosine)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engramic.operators import retrieval
-from engramic.plans import columns, relations
+from engramic.plans import columns, lines, relations
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,8 +72,8 @@ SELECT query_id, id, score, rank, vector_score, lexical_score FROM (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (d1_vector_search, d2_lexical_search, d4_hybrid_fusion)} | columns.queries() | relations.queries()
+    return {f.__name__: f for f in (d1_vector_search, d2_lexical_search, d4_hybrid_fusion)} | columns.queries() | lines.queries() | relations.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"d1_vector_search": D1_SQL, "d2_lexical_search": D2_SQL, "d4_hybrid_fusion": D4_SQL} | columns.oracle_sql() | relations.oracle_sql()
+    return {"d1_vector_search": D1_SQL, "d2_lexical_search": D2_SQL, "d4_hybrid_fusion": D4_SQL} | columns.oracle_sql() | lines.oracle_sql() | relations.oracle_sql()
