@@ -62,15 +62,21 @@ def clamp_unit(text: Column, fallback: float) -> Column:
     return F.when(n.isNull(), fallback).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), n)))
 
 
+def whole(text: Column) -> Column:
+    """A finite number of at most 18 digits, rounded down, or null; one cast, so that filters on it stay small."""
+    return F.floor(text.try_cast("decimal(24,6)")).cast("long")
+
+
 def count(text: Column, fallback: Column | int = 0) -> Column:
-    n = number(text)
-    return F.coalesce(F.when(n >= 0, F.floor(n)), fallback if isinstance(fallback, Column) else F.lit(fallback)).cast("long")
+    n = whole(text)
+    other = fallback if isinstance(fallback, Column) else F.lit(fallback)
+    return F.when(n >= 0, n).otherwise(other).cast("long")
 
 
 def instant(text: Column) -> Column:
     """Whole milliseconds or null."""
-    n = number(text)
-    return F.when(n > 0, F.floor(n)).cast("long")
+    n = whole(text)
+    return F.when(n > 0, n)
 
 
 def optional(text: Column) -> Column:

@@ -36,4 +36,4 @@ def diversified(hits: DataFrame, threshold: float = 0.85) -> DataFrame:
         group["position"] = range(1, len(group) + 1)
         return group[["query_id", "id", "score", "position", "deferred"]]
 
-    return hits.select("query_id", "id", "score", "vector").groupBy("query_id").applyInPandas(reorder, "query_id long, id long, score double, position int, deferred boolean")
+    return hits.select("query_id", "id", "score", "vector").groupBy("query_id").applyInPandas(reorder, "" + f"query_id {hits.schema['query_id'].dataType.simpleString()}, id {hits.schema['id'].dataType.simpleString()}, score double, position int, deferred boolean")

@@ -1,7 +1,16 @@
-"""Vector search, lexical search and their fusion, for a stated set of queries against all rows."""
+"""Vector search, lexical search and their fusion, for a stated set of queries against all rows.
+
+Queries are asked in blocks of bounded size. A block goes to all partitions of the rows; each scores
+its own rows and keeps the k best of each query, so one scan and k rows a query and partition are
+all that a block costs.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,17 +18,30 @@ from pyspark.sql import functions as F
 K1, B = 1.2, 0.75
 VECTOR_WEIGHT, LEXICAL_WEIGHT = 0.7, 0.3
 STRONG, STRONG_SHARE, LEAST = 0.75, 0.92, 0.1
-#: Queries that are sent to the rows at once; more are asked in blocks.
-MOST_QUERIES = 10_000
-TOKEN = "[a-z0-9]+"
+#: Queries, and numbers or words of queries, that are sent to the rows at once; more are asked in blocks.
+MOST_QUERIES, MOST_VALUES = 10_000, 8_000_000
+TOKEN = r"[\p{L}\p{N}]+"
 
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_distance(a: Column, b: Column) -> Column:
-    return 1 - dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+def cosine(a: Column, b: Column) -> Column:
+    """In -1 to 1; 0 for zero, null and unequally long vectors."""
+    usable = (F.size(a) == F.size(b)) & (dot(a, a) > 0) & (dot(b, b) > 0)
+    return F.when(usable, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))))).otherwise(0.0)
+
+
+def cosine_unit(a: Column, b: Column) -> Column:
+    """As ``cosine``, with 0 for negative values."""
+    return F.greatest(F.lit(0.0), cosine(a, b))
+
+
+def cosine_of_prefix(a: Column, b: Column) -> Column:
+    """Over the first values that both vectors have."""
+    n = F.least(F.size(a), F.size(b))
+    return cosine(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n))
 
 
 def top(hits: DataFrame, k: int) -> DataFrame:
@@ -28,21 +50,90 @@ def top(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+class Best:
+    """The k best (score, id) of each query so far."""
+
+    def __init__(self, queries: int, k: int, least: float) -> None:
+        self.k, self.held, self.least = k, [[] for _ in range(queries)], np.full(queries, least)
+
+    def add(self, query: int, scores: np.ndarray, ids: list) -> None:
+        """``ids`` belong to ``scores``; scores below the query's least one do not count."""
+        for i in np.flatnonzero(scores >= self.least[query]).tolist():
+            self.held[query].append((-float(scores[i]), ids[i]))
+        if len(self.held[query]) > self.k:
+            self.held[query] = sorted(self.held[query])[: self.k]
+            self.least[query] = max(self.least[query], -self.held[query][-1][0])
+
+    def rows(self, names: list, id_type: pa.DataType, query_type: pa.DataType) -> pa.RecordBatch:
+        out = [(names[q], i, -s) for q, held in enumerate(self.held) for s, i in held]
+        q, i, s = (list(x) for x in zip(*out, strict=True)) if out else ([], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(q, query_type), pa.array(i, id_type), pa.array(s, pa.float64())], ["query_id", "id", "score"])
+
+
+def _blocks(asked: DataFrame, size: Callable[[list], int]) -> Iterator[list[list]]:
+    """The rows of ``asked`` in blocks of at most MOST_QUERIES rows and MOST_VALUES values."""
+    block, values = [], 0
+    for row in asked.toLocalIterator():
+        n = size(row[1])
+        if block and (len(block) >= MOST_QUERIES or values + n > MOST_VALUES):
+            yield block
+            block, values = [], 0
+        block.append(list(row))
+        values += n
+    if block:
+        yield block
+
+
+def _asked(rows: DataFrame, queries: DataFrame, blocks: Iterator[list[list]], kernel: Callable, k: int) -> DataFrame:
+    """Hits of all blocks; ``kernel`` makes a function on batches of a block."""
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, score double"
+    out = None
+    for block in blocks:
+        held = rows.sparkSession.sparkContext.broadcast(block)
+        hits = top(rows.mapInArrow(kernel(held), schema), k)
+        out = hits if out is None else out.union(hits)
+    return out if out is not None else top(rows.sparkSession.createDataFrame([], schema), k)
+
+
 def vector_search(rows: DataFrame, queries: DataFrame, k: int = 20, min_score: float = 0.3) -> DataFrame:
     """query_id, id, score, rank; rows(id, vector), queries(query_id, vector); score is 1 / (1 + cosine distance).
 
-    Null and zero vectors match nothing. The query set is counted, and sent to the rows in blocks.
+    Null and zero vectors, and vectors of another length than the query's, match nothing.
     """
-    blocks = max(1, -(-queries.count() // MOST_QUERIES))
-    held = rows.where(dot(F.col("vector"), F.col("vector")) > 0)
-    score = F.round(1 / (1 + cosine_distance(F.col("vector"), F.col("q"))), 6)
-    out = None
-    for block in range(blocks):
-        asked = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).select("query_id", F.col("vector").alias("q"))
-        pairs = held.join(F.broadcast(asked.where(dot(F.col("q"), F.col("q")) > 0)))  # some MOST_QUERIES rows
-        hits = top(pairs.select("query_id", "id", score.alias("score")).where(F.col("score") >= min_score), k)
-        out = hits if out is None else out.union(hits)
-    return out
+    asked = queries.where(F.size("vector") > 0).select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+
+    def kernel(held):
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = [q for q, _ in held.value]
+            best = Best(len(names), k, min_score)
+            by_size: dict[int, tuple[list[int], np.ndarray]] = {}
+            for n in {len(v) for _, v in held.value}:
+                own = [i for i, (_, v) in enumerate(held.value) if len(v) == n]
+                m = np.asarray([held.value[i][1] for i in own], float)
+                norm = np.linalg.norm(m, axis=1)
+                by_size[n] = ([i for i, x in zip(own, norm, strict=True) if x > 0], (m / np.where(norm, norm, 1)[:, None])[norm > 0])
+            types = None
+            for batch in batches:
+                ids, vectors = batch.column("id"), batch.column("vector")
+                types = ids.type
+                lengths = np.asarray([len(v) if v.is_valid else 0 for v in vectors])
+                for n, (own, m) in by_size.items():
+                    at = np.flatnonzero(lengths == n)
+                    if not len(at) or not len(own):
+                        continue
+                    x = np.asarray(vectors.take(pa.array(at)).flatten()).reshape(len(at), n).astype(float)
+                    norm = np.linalg.norm(x, axis=1)
+                    at, x = at[norm > 0], x[norm > 0] / norm[norm > 0][:, None]
+                    scores = np.round(1 / (2 - x @ m.T), 6)
+                    some = ids.take(pa.array(at)).to_pylist()
+                    for j, q in enumerate(own):
+                        best.add(q, scores[:, j], some)
+            if types is not None:
+                yield best.rows(names, types, pa.array(names).type)
+
+        return score
+
+    return _asked(rows.select("id", "vector"), queries, _blocks(asked, len), kernel, k)
 
 
 def words(text: Column) -> Column:
@@ -50,18 +141,76 @@ def words(text: Column) -> Column:
 
 
 def lexical_search(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """query_id, id, score, rank; rows(id, text), queries(query_id, text); BM25 through 1 / (1 + exp(-s / 5))."""
-    sized = rows.select("id", words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
-    totals = sized.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean")).first()
-    terms = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    # only words that some query asks for are counted and shuffled
-    postings = sized.select("id", "n", F.explode("w").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("id", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """query_id, id, score, rank; rows(id, text), queries(query_id, text); BM25 through 1 / (1 + exp(-s / 5)).
+
+    Rows without a word of the query are no hits. The frequencies of the queries' words are counted
+    over all rows first.
+    """
+    sized = rows.select("id", words(F.col("text")).alias("w"))
+    totals = sized.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("w")).alias("mean")).first()
     docs, mean = totals["docs"], totals["mean"] or 1.0
-    idf = F.log1p((docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.lit(mean)))
-    scored = postings.join(df, "term").join(terms, "term").groupBy("query_id", "id").agg(F.sum(part).alias("s"))
-    return top(scored.select("query_id", "id", F.round(F.when(F.col("s") > 0, 1 / (1 + F.exp(-F.col("s") / 5))).otherwise(0.5), 6).alias("score")), k)
+    asked = queries.select("query_id", F.array_distinct(words(F.col("text"))).alias("w"))
+
+    def kernel(held):
+        block = held.value
+        known = rows.sparkSession.createDataFrame([(t,) for t in sorted({t for _, w in block for t in w})] or [("",)], "term string")
+        # only words that some query asks for leave their rows
+        seen = sized.select(F.explode(F.array_distinct("w")).alias("term")).join(F.broadcast(known), "term", "left_semi")
+        df = {r["term"]: r["df"] for r in seen.groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}  # at most MOST_VALUES words
+        idf = rows.sparkSession.sparkContext.broadcast({t: float(np.log1p((docs - n + 0.5) / (n + 0.5))) for t, n in df.items()})
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = [q for q, _ in held.value]
+            best, types = Best(len(names), k, 0.0), None
+            askers: dict[str, list[int]] = {}
+            for i, (_, w) in enumerate(held.value):
+                for t in w:
+                    if t in idf.value:
+                        askers.setdefault(t, []).append(i)
+            askers_of = {t: np.asarray(v) for t, v in askers.items()}
+            for batch in batches:
+                types = batch.column("id").type
+                for i, w in zip(batch.column("id").to_pylist(), batch.column("w").to_pylist(), strict=True):
+                    counts: dict[str, int] = {}
+                    for t in w:
+                        if t in askers_of:
+                            counts[t] = counts.get(t, 0) + 1
+                    if not counts:
+                        continue
+                    length, total, hit = K1 * (1 - B + B * len(w) / mean), np.zeros(len(names)), np.zeros(len(names), bool)
+                    for t in sorted(counts):
+                        total[askers_of[t]] += idf.value[t] * counts[t] * (K1 + 1) / (counts[t] + length)
+                        hit[askers_of[t]] = True
+                    scores = np.round(np.where(total > 0, 1 / (1 + np.exp(-total / 5)), 0.5), 6)
+                    for q in np.flatnonzero(hit & (scores >= best.least)).tolist():
+                        best.add(q, scores[q : q + 1], [i])
+            if types is not None:
+                yield best.rows(names, types, pa.array(names).type)
+
+        return score
+
+    return _asked(sized, queries, _blocks(asked, len), kernel, k)
+
+
+def lexical_fallback(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+    """query_id, id, score, rank of rows whose text or summaries hold the whole query; rows need ``meta``.
+
+    The queries are a stated set; they meet each row beside its text, and only hits leave it.
+    """
+    from engramic.functions.scoring import lexical_hit
+    from engramic.functions.text import trim
+
+    out = None
+    for block in _blocks(queries.select("query_id", trim(F.lower(F.coalesce("text", F.lit("")))).alias("q")), len):
+        asked = F.broadcast(rows.sparkSession.createDataFrame(block, f"query_id {queries.schema['query_id'].dataType.simpleString()}, q string"))
+        fields = [(F.col("text"), 1.0), (F.col("meta.l0"), 0.98), (F.col("meta.l1"), 0.92), (F.col("meta.l2"), 0.96)]
+        score = F.greatest(*[lexical_hit(F.col("q"), F.lower(F.coalesce(f, F.lit(""))), w) for f, w in fields])
+        pairs = rows.join(asked, F.contains(F.lower("text"), F.col("q")) | F.contains(F.lower("meta.l0"), F.col("q")) | F.contains(F.lower("meta.l1"), F.col("q")) | F.contains(F.lower("meta.l2"), F.col("q")))
+        hits = pairs.select("query_id", "id", "timestamp", F.round(score, 6).alias("score")).where("score > 0")
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("timestamp"), "id")
+        hits = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("timestamp")
+        out = hits if out is None else out.union(hits)
+    return out
 
 
 def fuse(vector: DataFrame, lexical: DataFrame, k: int = 20) -> DataFrame:

@@ -7,73 +7,196 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramic.operators import retrieval
-from engramic.plans import columns, lines, relations
+from engramic.functions import rules
+from engramic.operators import recall, retrieval
+from engramic.plans import columns, lines, memories, relations
+from engramic.plans.memories import NOW
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, text, vector of every row whose id is divisible by 100."""
+    vectors = _table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return vectors.join(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), "text"), "query_id", "left")
+
+
+def _remembered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All memory rows with the vectors of their numbers."""
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    return memories.smart(spark, sf_dir).join(vectors, "doc_id", "left")
+
+
 def d1_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each benchmark item asks with the vector of its number."""
     rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
-    queries = items.join(rows, F.col("query_id") == F.col("id")).select("query_id", "vector")
-    return retrieval.vector_search(rows, queries)
+    return retrieval.vector_search(rows, _queries(spark, sf_dir))
 
 
 def d2_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item asks with its text."""
     rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return retrieval.lexical_search(rows, _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
 
 
+def d3_lexical_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The beginnings of benchmark items, as whole phrases."""
+    asked = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 12).alias("text"))
+    return retrieval.lexical_fallback(memories.smart(spark, sf_dir), asked)
+
+
 def d4_hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.fuse(d1_vector_search(spark, sf_dir), d2_lexical_search(spark, sf_dir))
+    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return retrieval.fuse(d1_vector_search(spark, sf_dir), retrieval.lexical_search(rows, _queries(spark, sf_dir)))
+
+
+def d5_ghosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexical hits of rows that the store still has: here those of even numbers are gone."""
+    hits = d2_lexical_search(spark, sf_dir)
+    left = _table(spark, sf_dir, "documents").where("doc_id % 2 = 1").select(F.col("doc_id").alias("id"))
+    return hits.join(left, "id", "left_semi").select("query_id", "id", "score", "rank")
+
+
+def d6_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = recall.searchable(memories.smart(spark, sf_dir), None, F.lit(NOW))
+    hits = _queries(spark, sf_dir).join(rows.select("id", "doc_id"), F.col("query_id") == F.col("doc_id")).select("query_id", "id")
+    return recall.neighbors(rows, hits)
+
+
+def h1_id_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    lexical = retrieval.lexical_search(rows, _queries(spark, sf_dir))
+    return d1_vector_search(spark, sf_dir).select("query_id", "id").union(lexical.select("query_id", "id")).distinct()
+
+
+def m3_hybrid_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recall.hybrid(_remembered(spark, sf_dir), _queries(spark, sf_dir), F.lit(NOW))
+
+
+def m3_scoped_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recall.hybrid(_remembered(spark, sf_dir), _queries(spark, sf_dir), F.lit(NOW), scopes=["src:src0", "src:src1", "src:src2"], category="events")
+
+
+def m4_vector_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recall.vector_only(_remembered(spark, sf_dir), _queries(spark, sf_dir), F.lit(NOW))
+
+
+def m5_tagged_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tag = F.concat(F.lit("proj:p"), F.col("doc_id") % 3, F.lit(" "), F.col("text"))
+    asked = _queries(spark, sf_dir).withColumn("text", F.concat(F.lit("Proj:P"), F.col("query_id") % 3, F.lit(" "), F.substring("text", 1, 80)))
+    return recall.lexical_only(_remembered(spark, sf_dir).withColumn("text", tag), asked, F.lit(NOW))
+
+
+def m6_lexical_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return recall.lexical_arm(recall.searchable(memories.smart(spark, sf_dir), None, F.lit(NOW)), asked, "events").select("query_id", "id", "score", "rank")
+
+
+def m7_expanded_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a person's query asks of the lexical search, where an automatic one asks with its text."""
+    asked = memories.phrases(spark, sf_dir)
+    return asked.select("id", rules.expand_query(F.col("text")).alias("by_hand"), F.col("text").alias("automatic"))
 
 
 D1_SQL = """
 SELECT query_id, id, score, rank FROM (
-  SELECT q.item_id AS query_id, e.vec_id AS id, round(1 / (2 - list_cosine_similarity(e.embedding::DOUBLE[], v.embedding::DOUBLE[])), 6) AS score,
-         row_number() OVER (PARTITION BY q.item_id ORDER BY round(1 / (2 - list_cosine_similarity(e.embedding::DOUBLE[], v.embedding::DOUBLE[])), 6) DESC, e.vec_id) AS rank
-  FROM benchmark q JOIN embeddings v ON v.vec_id = q.item_id CROSS JOIN embeddings e
+  SELECT v.vec_id AS query_id, e.vec_id AS id, round(1 / (2 - list_cosine_similarity(e.embedding::DOUBLE[], v.embedding::DOUBLE[])), 6) AS score,
+         row_number() OVER (PARTITION BY v.vec_id ORDER BY round(1 / (2 - list_cosine_similarity(e.embedding::DOUBLE[], v.embedding::DOUBLE[])), 6) DESC, e.vec_id) AS rank
+  FROM (SELECT * FROM embeddings WHERE vec_id % 100 = 0) v CROSS JOIN embeddings e
 ) WHERE score >= 0.3 AND rank <= 20
 """
 
-D2_SQL = """
-SELECT query_id, id, score, rank FROM (
-  WITH s AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents),
-  t AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM s),
-  q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS term FROM benchmark),
-  p AS (SELECT id, n, term, count(*) AS tf FROM (SELECT id, len(w) AS n, unnest(w) AS term FROM s) GROUP BY 1, 2, 3),
-  d AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
-  r AS (
-    SELECT query_id, id, round(1 / (1 + exp(-sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) / 5)), 6) AS score
-    FROM q JOIN p USING (term) JOIN d USING (term) CROSS JOIN t GROUP BY 1, 2
-  )
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM r
-) WHERE rank <= 20
-"""
 
-D4_SQL = f"""
-SELECT query_id, id, score, rank, vector_score, lexical_score FROM (
-  WITH v AS ({D1_SQL}), b AS ({D2_SQL}),
-  f AS (
+def _lexical(rows: str, queries: str) -> str:
+    """BM25 of queries(query_id, text) over rows(id, text), all hits."""
+    return rf"""
+  SELECT query_id, id, round(CASE WHEN raw > 0 THEN 1 / (1 + exp(-raw / 5)) ELSE 0.5 END, 6) AS score FROM (
+    WITH s AS (SELECT id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM ({rows})),
+    t AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM s),
+    q AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+')) AS term FROM ({queries})),
+    p AS (SELECT id, n, term, count(*) AS tf FROM (SELECT id, len(w) AS n, unnest(w) AS term FROM s) GROUP BY 1, 2, 3),
+    d AS (SELECT term, count(*) AS df FROM p GROUP BY 1)
+    SELECT query_id, id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) AS raw
+    FROM q JOIN p USING (term) JOIN d USING (term) CROSS JOIN t GROUP BY 1, 2)"""
+
+
+def _ranked(hits: str, k: int, by: str = "score DESC, id") -> str:
+    return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {by}) AS rank FROM ({hits})) WHERE rank <= {k}"
+
+
+_ITEMS = "SELECT item_id AS query_id, text FROM benchmark"
+_ASKED = "SELECT vec_id AS query_id, text, embedding::DOUBLE[] AS q FROM embeddings LEFT JOIN documents ON doc_id = vec_id WHERE vec_id % 100 = 0"
+_DOCS = "SELECT doc_id AS id, text FROM documents"
+D2_SQL = f"SELECT query_id, id, score, rank FROM ({_ranked(_lexical(_DOCS, _ITEMS), 20)})"
+_FUSED = """SELECT query_id, id, vector_score, lexical_score, round(least(1, greatest(0.1, CASE WHEN vector_score IS NULL THEN lexical_score
+    WHEN lexical_score >= 0.75 THEN greatest(0.7 * vector_score + 0.3 * lexical_score, 0.92 * lexical_score)
+    ELSE 0.7 * vector_score + 0.3 * coalesce(lexical_score, 0) END)), 6) AS score FROM (
     SELECT coalesce(v.query_id, b.query_id) AS query_id, coalesce(v.id, b.id) AS id, v.score AS vector_score, b.score AS lexical_score
-    FROM v FULL JOIN b ON v.query_id = b.query_id AND v.id = b.id
-  ), s AS (
-    SELECT *, round(least(1, greatest(0.1, CASE WHEN vector_score IS NULL THEN lexical_score
-      WHEN lexical_score >= 0.75 THEN greatest(0.7 * vector_score + 0.3 * lexical_score, 0.92 * lexical_score)
-      ELSE 0.7 * vector_score + 0.3 * coalesce(lexical_score, 0) END)), 6) AS score FROM f
-  )
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s
-) WHERE rank <= 20
-"""
+    FROM ({v}) v FULL JOIN ({b}) b ON v.query_id = b.query_id AND v.id = b.id)"""
+_B4 = _ranked(_lexical(_DOCS, _ASKED), 20)
+D4_SQL = f"SELECT query_id, id, score, rank, vector_score, lexical_score FROM ({_ranked(_FUSED.format(v=D1_SQL, b=_B4), 20)})"
+_HIT = "CASE WHEN contains(lower({f}), q) THEN least(0.95, 0.72 + length(q) * 0.02) * {w} ELSE 0 END"
+_BEST = "round(greatest(" + ", ".join(_HIT.format(f=f, w=w) for f, w in (("text", 1.0), ("l0", 0.98), ("l1", 0.92), ("l2", 0.96))) + ")::DOUBLE, 6)"
+D3_SQL = f"""WITH {memories.SMART_SQL}, a AS (SELECT item_id AS query_id, regexp_replace(lower(substr(text, 1, 12)), {memories.TRIM}) AS q FROM benchmark)
+SELECT query_id, id, score, rank FROM ({_ranked(f"SELECT query_id, id, timestamp, {_BEST} AS score FROM smart, a WHERE q <> '' AND {_BEST} > 0", 20, "score DESC, timestamp DESC, id")})"""
+
+_LIVE = f"live AS (SELECT smart.*, embedding::DOUBLE[] AS vector FROM smart LEFT JOIN embeddings ON vec_id = doc_id WHERE valid_from <= {NOW} AND coalesce(invalidated_at > {NOW}, true) {{also}})"
+_VEC = "SELECT query_id, id, round(1 / (2 - list_cosine_similarity(vector, q)), 6) AS score FROM live, asked WHERE vector IS NOT NULL AND round(1 / (2 - list_cosine_similarity(vector, q)), 6) >= 0.3"
+_NOT_NOISE = f"NOT (length(t) < 5 OR {columns._any(rules.DENIALS + rules.META_QUESTIONS + rules.FRUSTRATION + rules.BOILERPLATE + rules.DIAGNOSTICS)})"
+_UNIT = lambda x: f"greatest(0, least(1, {x}))"
+
+
+def _finish(hits: str, limit: int = 5) -> str:
+    """Scores, filters and the limit; no two rows of these tables are alike enough to be deferred."""
+    s1 = f"SELECT query_id, l.*, {_UNIT(f'h.score + 0.1 * exp(-(({NOW} - timestamp) / {memories.DAY}.0::DOUBLE) / 14)')} AS s FROM ({hits}) h JOIN live l USING (id)"
+    s2 = f"SELECT *, {_UNIT('s * (0.7 + 0.3 * importance)')} AS s2 FROM ({s1})"
+    s3 = f"SELECT *, greatest(s2 * 0.3, {_UNIT('s2 / (1 + 0.5 * log2(greatest(length(text) / 500.0::DOUBLE, 1)))')}) AS s3 FROM ({s2})"
+    s4 = f"SELECT query_id, id, text, round(greatest(s3 * 0.5, {_UNIT(f'''s3 * (0.5 + 0.5 * exp(-(({NOW} - timestamp) / {memories.DAY}.0::DOUBLE) / {columns._HALF}))''')}), 6) AS score FROM ({s3})"
+    kept = f"SELECT query_id, id, score FROM (SELECT *, regexp_replace(text, {memories.TRIM}) AS t FROM ({s4})) WHERE score >= 0.35 AND {_NOT_NOISE}"
+    return f"SELECT query_id, id, score, rank::INTEGER AS position FROM ({_ranked(kept, limit)})"
+
+
+_ALIVE = "SELECT h.* FROM ({h}) h JOIN live USING (id) WHERE NOT coalesce(valid_until <= %d, false)" % NOW
+_EVENTS = "AND CASE WHEN doc_id % 13 <> 0 AND doc_id % 11 <> 0 AND doc_id % 6 = 1 THEN false ELSE category = 'decision' END"
+
+
+def _hybrid(category: str = "") -> str:
+    own = f"JOIN (SELECT id FROM live WHERE true {category}) USING (id)"
+    v = _ranked(f"SELECT query_id, id, score FROM ({_ranked(_VEC, 20)}) {own}", 20)
+    b = _ranked(f"SELECT query_id, id, score FROM ({_ranked(_lexical('SELECT id, text FROM live', 'SELECT query_id, text FROM asked'), 20)}) {own}", 20)
+    fused = f"SELECT query_id, id, score FROM ({_ranked(_FUSED.format(v=v, b=b), 40)}) WHERE score >= 0.3"
+    best = _ranked(_ALIVE.format(h=fused), 10)
+    return f"SELECT query_id, id, {_UNIT('0.7 * score + 0.3 * coalesce(greatest(-1, least(1, list_cosine_similarity(vector, q))), 0)')} AS score FROM (SELECT query_id, id, score FROM ({best})) JOIN live USING (id) JOIN asked USING (query_id)"
+
+
+def _recall(hits: str, also: str = "", smart: str = memories.SMART_SQL, asked: str = _ASKED) -> str:
+    return f"WITH {smart}, {_LIVE.format(also=also)}, asked AS ({asked}) {_finish(hits)}"
+
+
+M3_SQL = _recall(_hybrid())
+M3S_SQL = _recall(_hybrid(_EVENTS), "AND scope IN ('src:src0', 'src:src1', 'src:src2')")
+M4_SQL = _recall(_ALIVE.format(h=f"SELECT query_id, id, score FROM ({_ranked(_VEC, 20)})"))
+_TAGGED = memories.SMART_SQL + ", tagged AS (SELECT * REPLACE ('proj:p' || (doc_id % 3) || ' ' || text AS text) FROM smart)"
+_M5_ASKED = "SELECT query_id, 'Proj:P' || (query_id % 3) || ' ' || substr(text, 1, 80) AS text, q FROM (" + _ASKED + ")"
+_M5 = _ranked(_lexical("SELECT id, text FROM live", "SELECT query_id, text FROM asked"), 20)
+_M5 = f"SELECT h.query_id, h.id, h.score FROM ({_M5}) h JOIN live l USING (id) JOIN asked a USING (query_id) WHERE contains(lower(l.text), 'proj:p' || (query_id % 3))"
+M5_SQL = _recall(_ALIVE.format(h=_M5), smart=_TAGGED, asked=_M5_ASKED).replace("FROM smart LEFT JOIN embeddings", "FROM tagged smart LEFT JOIN embeddings")
+_B6 = f"SELECT query_id, id, score FROM ({_ranked(_lexical('SELECT id, text FROM live', _ITEMS), 20)}) JOIN (SELECT id FROM live WHERE true {_EVENTS}) USING (id)"
+M6_SQL = f"WITH {memories.SMART_SQL}, {_LIVE.format(also='')} SELECT query_id, id, score, rank FROM ({_ranked(_B6, 20)})"
+M7_SQL = f"WITH {memories.PHRASE_SQL} SELECT id, {lines._expanded()} AS by_hand, text AS automatic FROM ph"
+_ALL = {
+    "d1_vector_search": D1_SQL, "d2_lexical_search": D2_SQL, "d3_lexical_fallback": D3_SQL, "d4_hybrid_fusion": D4_SQL,
+    "d5_ghosts": f"SELECT query_id, id, score, rank FROM ({D2_SQL}) WHERE id % 2 = 1",
+    "h1_id_union": f"SELECT query_id, id FROM ({D1_SQL}) UNION SELECT query_id, id FROM ({_B4})",
+    "m3_hybrid_recall": M3_SQL, "m3_scoped_recall": M3S_SQL, "m4_vector_recall": M4_SQL, "m5_tagged_recall": M5_SQL, "m6_lexical_arm": M6_SQL, "m7_expanded_query": M7_SQL,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (d1_vector_search, d2_lexical_search, d4_hybrid_fusion)} | columns.queries() | lines.queries() | relations.queries()
+    own = (d1_vector_search, d2_lexical_search, d3_lexical_fallback, d4_hybrid_fusion, d5_ghosts, d6_neighbors, h1_id_union, m3_hybrid_recall, m3_scoped_recall, m4_vector_recall, m5_tagged_recall, m6_lexical_arm, m7_expanded_query)
+    return {f.__name__: f for f in own} | columns.queries() | lines.queries() | relations.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"d1_vector_search": D1_SQL, "d2_lexical_search": D2_SQL, "d4_hybrid_fusion": D4_SQL} | columns.oracle_sql() | lines.oracle_sql() | relations.oracle_sql()
+    return _ALL | columns.oracle_sql() | lines.oracle_sql() | relations.oracle_sql()
