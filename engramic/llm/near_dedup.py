@@ -167,7 +167,11 @@ def _sketched(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(_possible(x, y, batch.column("na").to_numpy(), batch.column("nb").to_numpy(), percent))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
-    side = lambda s: classes.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
+    spark = pairs.sparkSession
+    pairs = materialize(spark, pairs, "pairs")  # its size is known then, and the rows of its classes alone move
+    ids = materialize(spark, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    held = materialize(spark, classes.join(ids, "id").select("id", "n", "sketch"), "sketches")
+    side = lambda s: held.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     return near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(kernel, "a long, b long")
 
@@ -187,8 +191,8 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: in
 
     spark = pairs.sparkSession
     pairs = materialize(spark, pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = classes.join(ids, "id").select("id", "k1", "k2", F.col("at").alias("_at"), F.col("doc_id").alias("_doc"))
+    ids = materialize(spark, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    wanted = materialize(spark, classes.join(ids, "id").select("id", "k1", "k2", F.col("at").alias("_at"), F.col("doc_id").alias("_doc")), "wanted")
     # the one row of a class, not all copies of its text
     wanted = texts.join(wanted, (F.col("at") == F.col("_at")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).select("id", "k1", "k2", "text")
     sets = shingle_sets(wanted, words).groupBy("id").agg(F.first("shingles").alias("shingles"))
