@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engramic.functions.capture import owned_by
@@ -91,3 +91,19 @@ def capped(sources: Column, history: Column, relations: Column) -> Column:
 def related(relations: Column, kind: Column, target: Column) -> Column:
     """The relations with one more, unless it is among them."""
     return F.when(F.exists(relations, lambda r: (r.type == kind) & (r.target_id == target)), relations).otherwise(F.concat(relations, F.array(F.struct(kind.alias("type"), target.alias("target_id")))))
+
+
+def event_id(at: Column, session_key: Column, session: Column, agent: Column, command: Column) -> Column:
+    """Readable time and eight digits of a digest."""
+    digest = F.sha1(F.concat_ws("|", at.cast("string"), session_key, session, agent, command))
+    return F.concat(F.lit("refl-"), F.date_format(F.to_utc_timestamp(F.timestamp_millis(at), F.current_timezone()), "yyyyMMddHHmmss"), F.lit("-"), F.substring(digest, 1, 8))
+
+
+def corpus_rows(chunks: DataFrame) -> DataFrame:
+    """Store rows of chunks(agent, source, path, text): id by place, scope by agent, importance by source."""
+    key = F.concat_ws("\x1f", "agent", "source", "path")
+    scope = F.when(F.col("agent") == "main", F.lit("global")).otherwise(F.concat(F.lit("agent:"), "agent"))
+    return chunks.select(
+        F.concat(F.lit("corpus:"), F.substring(F.sha2(key, 256), 1, 48)).alias("id"), scope.alias("scope"),
+        F.when(F.col("source") == "memory", 0.7).otherwise(0.45).alias("importance"), F.sha2("text", 256).alias("content"),
+    )

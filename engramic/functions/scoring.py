@@ -138,3 +138,8 @@ def rerank_blend(score: Column, reranked: Column, lexical: Column) -> Column:
 
 def cosine_rerank(score: Column, cosine: Column) -> Column:
     return unit(0.7 * score + 0.3 * cosine)
+
+
+def likeness_band(score: Column, version: float = 0.95, same: float = 0.98) -> Column:
+    """What a best match means: the same memory, a newer version of it, or another."""
+    return F.when(score > same, "duplicate").when(score > version, "supersede").otherwise("new")

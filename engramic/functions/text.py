@@ -15,9 +15,9 @@ def java(pattern: str) -> str:
     return pattern.replace(r"\b", _EDGE)
 
 
-def any_of(text: Column, patterns: list[str], flags: str = "(?i)") -> Column:
-    """True where one of the patterns is found."""
-    return text.rlike(flags + "|".join(f"(?:{java(p)})" for p in patterns))
+def any_of(text: Column, patterns: list[str]) -> Column:
+    """True where one of the patterns is found, without regard to case; letters beyond ASCII in patterns are in lower case."""
+    return F.lower(text).rlike("(?i)" + "|".join(f"(?:{java(p)})" for p in patterns))
 
 
 def trim(text: Column) -> Column:

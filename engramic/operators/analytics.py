@@ -20,13 +20,27 @@ def scope_category_counts(rows: DataFrame) -> DataFrame:
     return sets.select(kind.alias("kind"), F.coalesce("scope", "category", F.lit("")).alias("key"), "rows")
 
 
+#: Bins of the first look at a group's values.
+BINS = 1024
+
+
 def latency_stats(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """n, mean and nearest-rank p95 of a group; ranks are counted over distinct values, so no group is gathered."""
-    steps = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(by)
-    seen = steps.withColumn("upto", F.sum("c").over(w.orderBy(value))).withColumn("n", F.sum("c").over(w))
-    first = F.min(F.when(F.col("upto") >= F.ceil(F.col("n") * 0.95), F.col(value)))
-    return seen.groupBy(by).agg(F.max("n").alias("n"), F.round(F.sum(F.col(value) * F.col("c")) / F.max("n"), 4).alias("mean"), first.alias("p95"))
+    """n, mean and nearest-rank p95 of a group; no task meets all values of a group.
+
+    Values are counted by bins between a group's least and greatest; the bin that holds the rank is
+    found from these few counts, and only its own values are ranked.
+    """
+    own = rows.where(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("v"))
+    totals = own.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 4).alias("mean"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    totals = totals.withColumn("target", F.ceil(F.col("n") * 0.95)).withColumn("step", F.greatest((F.col("hi") - F.col("lo")) / BINS, F.lit(1e-300)))
+    placed = own.join(totals.select(by, "lo", "step"), by).withColumn("bin", F.least(F.lit(BINS - 1), F.floor((F.col("v") - F.col("lo")) / F.col("step"))))
+    upto = Window.partitionBy(by).orderBy("bin")
+    bins = placed.groupBy(by, "bin").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", F.sum("c").over(upto)).withColumn("before", F.col("upto") - F.col("c"))
+    held = bins.join(totals.select(by, "target"), by).where("before < target AND target <= upto").select(by, "bin", "before", "target")
+    inside = placed.join(F.broadcast(held), [by, "bin"]).groupBy(by, "v", "before", "target").agg(F.count(F.lit(1)).alias("c"))  # a row a group
+    ranked = inside.withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy(by).orderBy("v")))
+    p95 = ranked.where("upto >= target").groupBy(by).agg(F.min("v").alias("p95"))
+    return totals.join(p95, by).select(by, "n", "mean", "p95")
 
 
 def rejection_reasons(rejections: DataFrame, k: int = 5) -> DataFrame:
@@ -59,21 +73,34 @@ def ranked_lines(lines: DataFrame, now: Column, k: int = 10) -> DataFrame:
 
 
 def patterns(rows: DataFrame, strength: float, k: int = 6) -> DataFrame:
-    """kind, key, rows, strength: categories and words that at least a share of the rows (at least two) have."""
+    """kind, key, rows, strength: categories and words that at least a share of the rows (at least two) have; rows need ``meta``."""
     n = rows.count()
-    tokens = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_-]{4,}"), F.lit(0)))
-    words = rows.select(F.explode(tokens).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("rows")).select(F.lit("term").alias("kind"), "key", "rows")
-    named = rows.groupBy(F.col("category").alias("key")).agg(F.count(F.lit(1)).alias("rows")).select(F.lit("category").alias("kind"), "key", "rows")
-    strong = named.unionByName(words).withColumn("strength", F.round(F.col("rows") / max(1, n), 6))
-    return strong.where((F.col("rows") >= 2) & (F.col("strength") >= strength)).orderBy("kind", F.desc("rows"), "key").limit(k)
+
+    def counted(kind: str, keys: DataFrame) -> DataFrame:
+        return keys.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(kind).alias("kind"), "key", "rows")
+
+    words = F.array_distinct(rules.pattern_words(F.concat("meta.l0", F.lit(" "), "text")))
+    found = counted("category", rows.select(F.col("category").alias("key")).where("key IS NOT NULL"))
+    found = found.unionByName(counted("memory_category", rows.select(F.col("meta.memory_category").alias("key")).where("key IS NOT NULL")))
+    found = found.unionByName(counted("term", rows.select(F.explode(words).alias("key"))))
+    strong = found.withColumn("strength", F.round(F.col("rows") / max(1, n), 6)).where((F.col("rows") >= 2) & (F.col("strength") >= strength))
+    order = F.when(F.col("kind") == "category", 0).when(F.col("kind") == "memory_category", 1).otherwise(2)
+    return strong.orderBy(order, F.desc("rows"), "key").limit(k)
 
 
 def conversation_value(turns: DataFrame) -> DataFrame:
-    """conv_id, value (0 to 1): how much a conversation is worth extracting from. Turns never leave their rows."""
+    """conv_id, value (0 to 1): how much a conversation is worth extracting from. Turns never leave their rows.
+
+    Patterns for the beginning of a text count in the first turn alone; no pattern is looked for
+    across turns.
+    """
     t = F.coalesce("text", F.lit(""))
 
     def found(patterns: list[str]) -> Column:
-        return F.max(any_of(t, patterns).cast("int"))
+        anywhere = [p for p in patterns if not p.startswith("^")]
+        first = [p for p in patterns if p.startswith("^")]
+        out = F.max(any_of(t, anywhere).cast("int"))
+        return F.greatest(out, F.min_by(any_of(t, first).cast("int"), "turn")) if first else out
 
     value = (
         found(rules.REMEMBER) * 0.5

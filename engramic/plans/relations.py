@@ -147,11 +147,14 @@ def e8_reflection_ranking(spark, sf_dir):
     return analytics.ranked_lines(lines, F.lit(NOW))
 
 
-@query(rf"""WITH {MEM_SQL}, w AS (SELECT id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_-]{{4,}}'))) AS key FROM mem),
-a AS (SELECT 'term' AS kind, key, count(*) AS rows FROM w GROUP BY 2 UNION ALL SELECT 'category', category, count(*) FROM mem GROUP BY 2)
-SELECT kind, key, rows, round(rows / (SELECT count(*) FROM mem), 6) AS strength FROM a WHERE rows >= 2 AND round(rows / (SELECT count(*) FROM mem), 6) >= 0.1 ORDER BY kind, rows DESC, key LIMIT 6""")
+_WORDS = r"list_distinct(list_filter(list_transform(regexp_extract_all(lower(l0 || ' ' || text), '[\p{L}\p{N}_-]{4,}'), lambda w: regexp_replace(w, '^[-_]+|[-_]+$', '', 'g')), lambda w: length(w) >= 4 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in rules.STOP_WORDS) + "], w)))"
+
+
+@query(f"""WITH {SMART_SQL}, w AS (SELECT unnest({_WORDS}) AS key FROM smart),
+a AS (SELECT 'term' AS kind, key, count(*) AS rows FROM w GROUP BY 2 UNION ALL SELECT 'category', category, count(*) FROM smart GROUP BY 2 UNION ALL SELECT 'memory_category', memory_category, count(*) FROM smart GROUP BY 2)
+SELECT kind, key, rows, round(rows / (SELECT count(*) FROM smart), 6) AS strength FROM a WHERE rows >= 2 AND round(rows / (SELECT count(*) FROM smart), 6) >= 0.2 ORDER BY CASE kind WHEN 'category' THEN 0 WHEN 'memory_category' THEN 1 ELSE 2 END, rows DESC, key LIMIT 6""")
 def e10_pattern_mining(spark, sf_dir):
-    return analytics.patterns(memories(spark, sf_dir), 0.1)
+    return analytics.patterns(smart(spark, sf_dir), 0.2)
 
 
 @query(rf"""WITH {SMART_SQL}
@@ -171,10 +174,11 @@ def e15_mean_pooling(spark, sf_dir):
 
 
 _T = "coalesce(text, '')"
+_ANYWHERE, _FIRST = [p for p in rules.CORRECTIONS if not p.startswith("^")], [p for p in rules.CORRECTIONS if p.startswith("^")]
 
 
 @query(f"""SELECT conv_id, round(least(1, 0.5 * max({columns._any(rules.REMEMBER, _T)}::INT) + 0.4 * max({columns._any(rules.TOOL_CALLS, _T)}::INT)
-  + 0.3 * greatest(max({columns._any(rules.CORRECTIONS, _T)}::INT), max({columns._any(rules.DECISIONS, _T)}::INT))
+  + 0.3 * greatest(max({columns._any(_ANYWHERE, _T)}::INT), min_by({columns._any(_FIRST, _T)}::INT, turn), max({columns._any(rules.DECISIONS, _T)}::INT))
   + CASE WHEN sum(CASE WHEN length(trim({_T})) > 20 THEN length({_T}) ELSE 0 END) > 200 THEN 0.2 ELSE 0 END + CASE WHEN count(*) > 6 THEN 0.1 ELSE 0 END), 6)::DOUBLE AS value
   FROM conversations GROUP BY 1""")
 def e16_conversation_value(spark, sf_dir):
