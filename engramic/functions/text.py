@@ -16,8 +16,15 @@ def java(pattern: str) -> str:
 
 
 def any_of(text: Column, patterns: list[str]) -> Column:
-    """True where one of the patterns is found, without regard to case; letters beyond ASCII in patterns are in lower case."""
-    return F.lower(text).rlike("(?i)" + "|".join(f"(?:{java(p)})" for p in patterns))
+    """True where one of the patterns is found, without regard to case; letters beyond ASCII in patterns are in lower case.
+
+    Word boundaries are slow to look for, so only texts that fit without them are searched with them.
+    """
+    low = F.lower(text)
+    loose = low.rlike("(?i)" + "|".join(f"(?:{p.replace(chr(92) + 'b', '')})" for p in patterns))
+    if not any(r"\b" in p for p in patterns):
+        return loose
+    return loose & low.rlike("(?i)" + "|".join(f"(?:{java(p)})" for p in patterns))
 
 
 def trim(text: Column) -> Column:
