@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 # Fixed values of the scoring rules.
 K1, B = 1.2, 0.75
@@ -102,6 +103,8 @@ def vector_search(rows: DataFrame, queries: DataFrame, k: int = 20, min_score: f
     """
     asked = queries.where(F.size("vector") > 0).select("query_id", F.col("vector").cast("array<double>").alias("vector"))
 
+    kind = to_arrow_type(queries.schema["query_id"].dataType)
+
     def kernel(held):
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = [q for q, _ in held.value]
@@ -129,7 +132,7 @@ def vector_search(rows: DataFrame, queries: DataFrame, k: int = 20, min_score: f
                     for j, q in enumerate(own):
                         best.add(q, scores[:, j], some)
             if types is not None:
-                yield best.rows(names, types, pa.array(names).type)
+                yield best.rows(names, types, kind)
 
         return score
 
@@ -151,6 +154,8 @@ def lexical_search(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFram
     docs, mean = totals["docs"], totals["mean"] or 1.0
     asked = queries.select("query_id", F.array_distinct(words(F.col("text"))).alias("w"))
 
+    kind = to_arrow_type(queries.schema["query_id"].dataType)
+
     def kernel(held):
         block = held.value
         known = rows.sparkSession.createDataFrame([(t,) for t in sorted({t for _, w in block for t in w})] or [("",)], "term string")
@@ -185,7 +190,7 @@ def lexical_search(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFram
                     for q in np.flatnonzero(hit & (scores >= best.least)).tolist():
                         best.add(q, scores[q : q + 1], [i])
             if types is not None:
-                yield best.rows(names, types, pa.array(names).type)
+                yield best.rows(names, types, kind)
 
         return score
 
