@@ -167,7 +167,7 @@ def _hybrid(category: str = "") -> str:
     b = _ranked(f"SELECT query_id, id, score FROM ({_ranked(_lexical('SELECT id, text FROM live', 'SELECT query_id, text FROM asked'), 20)}) {own}", 20)
     fused = f"SELECT query_id, id, score FROM ({_ranked(_FUSED.format(v=v, b=b), 40)}) WHERE score >= 0.3"
     best = _ranked(_ALIVE.format(h=fused), 10)
-    return f"SELECT query_id, id, {_UNIT('0.7 * score + 0.3 * coalesce(greatest(-1, least(1, list_cosine_similarity(vector, q))), 0)')} AS score FROM (SELECT query_id, id, score FROM ({best})) JOIN live USING (id) JOIN asked USING (query_id)"
+    return f"SELECT query_id, id, {_UNIT('0.7 * score + 0.3 * CASE WHEN vector IS NULL THEN 0 ELSE greatest(-1, least(1, list_cosine_similarity(vector, q))) END')} AS score FROM (SELECT query_id, id, score FROM ({best})) JOIN live USING (id) JOIN asked USING (query_id)"
 
 
 def _recall(hits: str, also: str = "", smart: str = memories.SMART_SQL, asked: str = _ASKED) -> str:
