@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, exact_dedup, langid, near_dedup, packing, pii, sharding, toxicity, url_filter
+from . import best_fit, chat, decontamination, exact_dedup, langid, near_dedup, packing, periodic_runs, pii, sharding, spelling, toxicity, url_filter
 from .common import table
 
 
@@ -55,8 +55,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), periodic_runs.planted))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"), spelling.planted)
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(table(spark, sf_dir, "documents"), packing.default_tokenizer(), keep_ids=False).drop("ids")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_chat_formatting, op4_minhash_near_dedup, op5_packing, op6_toxicity, op7_pii_surrogates, op8_url_filters, op9_exact_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_chat_formatting, op4_minhash_near_dedup, op5_packing, op6_toxicity, op7_pii_surrogates, op8_url_filters, op9_exact_dedup, op10_language_id, op11_periodic_runs, op12_spelling_variants, op13_best_fit_packing)}
 
 
 OP3_SQL = r"""
