@@ -65,15 +65,16 @@ def similar_pairs(rows: DataFrame, by: list[str], least: float) -> DataFrame:
     return dealt.groupBy("key", "p", "q").applyInPandas(compare, f"a {kind}, b {kind}, cosine double")
 
 
-def survivors(rows: DataFrame, order: list[str], by: list[str], least: float) -> DataFrame:
+def survivors(rows: DataFrame, order: list[str], by: list[str], least: float, found: DataFrame | None = None) -> DataFrame:
     """id, kept_by of the rows that are dropped: in the order of ``order``, a row alike to an earlier survivor goes to the first of these.
 
     Round by round, rows without an undecided earlier neighbour survive and their later neighbours
     go; a round is two joins of the pairs that are left, and there are as many rounds as the longest
-    chain of rows each alike to the next. ``order`` must be unique within a key.
+    chain of rows each alike to the next. ``order`` must be unique within a key. ``found(a, b)`` are the
+    alike pairs where the caller has them already.
     """
     places = rows.select("id", F.struct(*order).alias("place"))
-    pairs = similar_pairs(rows, by, least)
+    pairs = similar_pairs(rows, by, least) if found is None else found
     both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = both.join(places.select(F.col("id").alias("a"), F.col("place").alias("pa")), "a").join(places.select(F.col("id").alias("b"), F.col("place").alias("pb")), "b")
     edges = written(edges.where("pa < pb").select("a", "b", "pa"), "edges")

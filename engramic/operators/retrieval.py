@@ -8,6 +8,7 @@ all that a block costs.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,13 +16,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from engramic.operators import postings
+from engramic.operators.stored import written
+
 # Fixed values of the scoring rules.
-K1, B = 1.2, 0.75
 VECTOR_WEIGHT, LEXICAL_WEIGHT = 0.7, 0.3
 STRONG, STRONG_SHARE, LEAST = 0.75, 0.92, 0.1
 #: Queries, and numbers or words of queries, that are sent to the rows at once; more are asked in blocks.
 MOST_QUERIES, MOST_VALUES = 10_000, 8_000_000
-TOKEN = r"[\p{L}\p{N}]+"
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -139,62 +141,27 @@ def vector_search(rows: DataFrame, queries: DataFrame, k: int = 20, min_score: f
     return _asked(rows.select("id", "vector"), queries, _blocks(asked, len), kernel, k)
 
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
-
-
 def lexical_search(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, id, score, rank; rows(id, text), queries(query_id, text); BM25 through 1 / (1 + exp(-s / 5)).
 
-    Rows without a word of the query are no hits. The frequencies of the queries' words are counted
-    over all rows first.
+    The rows are indexed first; to ask the same rows again, build an index once and use
+    ``indexed_search``. Rows without a word of the query are no hits. Where both have a ``space``,
+    a query is asked of the rows of its own space alone, with that space's frequencies.
     """
-    sized = rows.select("id", words(F.col("text")).alias("w"))
-    totals = sized.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("w")).alias("mean")).first()
-    docs, mean = totals["docs"], totals["mean"] or 1.0
-    asked = queries.select("query_id", F.array_distinct(words(F.col("text"))).alias("w"))
-
-    kind = to_arrow_type(queries.schema["query_id"].dataType)
-
-    def kernel(held):
-        block = held.value
-        known = rows.sparkSession.createDataFrame([(t,) for t in sorted({t for _, w in block for t in w})] or [("",)], "term string")
-        # only words that some query asks for leave their rows
-        seen = sized.select(F.explode(F.array_distinct("w")).alias("term")).join(F.broadcast(known), "term", "left_semi")
-        df = {r["term"]: r["df"] for r in seen.groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}  # at most MOST_VALUES words
-        idf = rows.sparkSession.sparkContext.broadcast({t: float(np.log1p((docs - n + 0.5) / (n + 0.5))) for t, n in df.items()})
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names = [q for q, _ in held.value]
-            best, types = Best(len(names), k, 0.0), None
-            askers: dict[str, list[int]] = {}
-            for i, (_, w) in enumerate(held.value):
-                for t in w:
-                    if t in idf.value:
-                        askers.setdefault(t, []).append(i)
-            askers_of = {t: np.asarray(v) for t, v in askers.items()}
-            for batch in batches:
-                types = batch.column("id").type
-                for i, w in zip(batch.column("id").to_pylist(), batch.column("w").to_pylist(), strict=True):
-                    counts: dict[str, int] = {}
-                    for t in w:
-                        if t in askers_of:
-                            counts[t] = counts.get(t, 0) + 1
-                    if not counts:
-                        continue
-                    length, total, hit = K1 * (1 - B + B * len(w) / mean), np.zeros(len(names)), np.zeros(len(names), bool)
-                    for t in sorted(counts):
-                        total[askers_of[t]] += idf.value[t] * counts[t] * (K1 + 1) / (counts[t] + length)
-                        hit[askers_of[t]] = True
-                    scores = np.round(np.where(total > 0, 1 / (1 + np.exp(-total / 5)), 0.5), 6)
-                    for q in np.flatnonzero(hit & (scores >= best.least)).tolist():
-                        best.add(q, scores[q : q + 1], [i])
-            if types is not None:
-                yield best.rows(names, types, kind)
-
-        return score
-
-    return _asked(sized, queries, _blocks(asked, len), kernel, k)
+    return indexed_search(postings.build(rows), queries, k)
+
+
+def indexed_search(index: postings.Index, queries: DataFrame, k: int = 20) -> DataFrame:
+    """``lexical_search`` of a stored index."""
+    asked = queries.select("query_id", F.array_distinct(postings.terms_of(queries)).alias("w"))
+    kind = queries.schema["query_id"].dataType
+    found = [top(postings.search_block(index, block, kind, k), k) for block in _blocks(asked, len)]
+    if len(found) > 1:  # each block is asked and let go before the next
+        found = [written(hits, "hits") for hits in found]
+    if not found:
+        id_type = index.documents().schema["id"].dataType.simpleString()
+        return top(index.spark.createDataFrame([], f"query_id {kind.simpleString()}, id {id_type}, score double"), k)
+    return reduce(DataFrame.union, found)
 
 
 def lexical_fallback(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:

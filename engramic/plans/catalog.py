@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from engramic.functions import rules
 from engramic.operators import recall, retrieval
-from engramic.plans import columns, documents, lines, memories, relations, tools
+from engramic.plans import columns, documents, lines, memories, relations, tools, upkeep
 from engramic.plans.memories import NOW
 
 
@@ -93,6 +93,30 @@ def m6_lexical_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall.lexical_arm(recall.searchable(memories.smart(spark, sf_dir), None, F.lit(NOW)), asked, "events").select("query_id", "id", "score", "rank")
 
 
+def _m3_traced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recall.hybrid_traced(_remembered(spark, sf_dir), _queries(spark, sf_dir), F.lit(NOW))
+
+
+def m2_retrieval_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, score ranges and dropped ids of every stage of m3, from one pass."""
+    return recall.trace(_m3_traced(spark, sf_dir)).select("query_id", "stage", "input_count", "output_count", F.array_join("dropped_ids", ",").alias("dropped"), "least", "most")
+
+
+def m13_trace_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recall.summaries(recall.trace(_m3_traced(spark, sf_dir)))
+
+
+def e3_drop_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recall.drop_summary(recall.trace(_m3_traced(spark, sf_dir)))
+
+
+def m1_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries of which every third asks with a tag."""
+    tag = F.concat(F.lit("proj:p"), F.col("doc_id") % 3, F.lit(" "), F.col("text"))
+    tagged = F.when(F.col("query_id") % 300 == 0, F.concat(F.lit("Proj:P"), F.col("query_id") % 3, F.lit(" "), F.coalesce("text", F.lit("")))).otherwise(F.col("text"))
+    return recall.retrieve(_remembered(spark, sf_dir).withColumn("text", tag), _queries(spark, sf_dir).withColumn("text", tagged), F.lit(NOW))
+
+
 def m7_expanded_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a person's query asks of the lexical search, where an automatic one asks with its text."""
     asked = memories.phrases(spark, sf_dir)
@@ -185,18 +209,40 @@ M5_SQL = _recall(_ALIVE.format(h=_M5), smart=_TAGGED, asked=_M5_ASKED).replace("
 _B6 = f"SELECT query_id, id, score FROM ({_ranked(_lexical('SELECT id, text FROM live', _ITEMS), 20)}) JOIN (SELECT id FROM live WHERE true {_EVENTS}) USING (id)"
 M6_SQL = f"WITH {memories.SMART_SQL}, {_LIVE.format(also='')} SELECT query_id, id, score, rank FROM ({_ranked(_B6, 20)})"
 M7_SQL = f"WITH {memories.PHRASE_SQL} SELECT id, {lines._expanded()} AS by_hand, text AS automatic FROM ph"
+
+
+def _traced() -> str:
+    """Hits of m3 with the score of every stage and the place of the stage that they leave at (12: none)."""
+    v, b = _ranked(_VEC, 20), _ranked(_lexical("SELECT id, text FROM live", "SELECT query_id, text FROM asked"), 20)
+    s1 = _UNIT(f"r + 0.1 * exp(-(({NOW} - timestamp) / {memories.DAY}.0::DOUBLE) / 14)")
+    s3 = f"greatest(s2 * 0.3, {_UNIT('s2 / (1 + 0.5 * log2(greatest(length(text) / 500.0::DOUBLE, 1)))')})"
+    s4 = f"round(greatest(s3 * 0.5, {_UNIT(f's3 * (0.5 + 0.5 * exp(-(({NOW} - timestamp) / {memories.DAY}.0::DOUBLE) / {columns._HALF}))')}), 6)"
+    return f"""h1 AS (SELECT query_id, live.*, h.score AS s0, CASE WHEN h.score < 0.3 THEN 0 WHEN coalesce(valid_until <= {NOW}, false) THEN 1 END AS g FROM ({_ranked(_FUSED.format(v=v, b=b), 40)}) h JOIN live USING (id)),
+h2 AS (SELECT * REPLACE (CASE WHEN g IS NULL AND row_number() OVER (PARTITION BY query_id, g IS NULL ORDER BY s0 DESC, id) > 10 THEN 2 ELSE g END AS g) FROM h1),
+h3 AS (SELECT h2.*, {_UNIT('0.7 * s0 + 0.3 * CASE WHEN vector IS NULL THEN 0 ELSE greatest(-1, least(1, list_cosine_similarity(vector, q))) END')} AS r FROM h2 JOIN asked USING (query_id)),
+h4 AS (SELECT *, {s1} AS s1 FROM h3), h5 AS (SELECT *, {_UNIT('s1 * (0.7 + 0.3 * importance)')} AS s2 FROM h4), h6 AS (SELECT *, {s3} AS s3 FROM h5), h7 AS (SELECT *, {s4} AS s4, regexp_replace(text, {memories.TRIM}) AS t FROM h6),
+h8 AS (SELECT * REPLACE (CASE WHEN g IS NOT NULL THEN g WHEN s4 < 0.35 THEN 8 WHEN NOT ({_NOT_NOISE}) THEN 9 END AS g) FROM h7),
+h9 AS (SELECT * REPLACE (CASE WHEN g IS NULL AND row_number() OVER (PARTITION BY query_id, g IS NULL ORDER BY s4 DESC, id) > 5 THEN 11 ELSE coalesce(g, 12) END AS g) FROM h8),
+st(place, stage) AS (VALUES {", ".join(f"({k}, '{n}')" for k, n in enumerate(recall.STAGES))}),
+tr AS (SELECT query_id, place, stage, count(*) AS input_count, count_if(g > place) AS output_count, coalesce(string_agg(id, ',' ORDER BY id) FILTER (g = place), '') AS dropped, round(min(x) FILTER (g > place), 6) AS least, round(max(x) FILTER (g > place), 6) AS most
+  FROM (SELECT h9.query_id, id, g, place, stage, CASE WHEN place < 3 THEN s0 WHEN place = 3 THEN r WHEN place = 4 THEN s1 WHEN place = 5 THEN s2 WHEN place = 6 THEN s3 ELSE s4 END AS x FROM h9, st WHERE g >= place) GROUP BY 1, 2, 3)"""
+
+
+_TRACE = f"WITH {memories.SMART_SQL}, {_LIVE.format(also='')}, asked AS ({_ASKED}), {_traced()}"
+M2_SQL = f"{_TRACE} SELECT query_id, stage, input_count, output_count, dropped, least, most FROM tr"
+E3_SQL = f"{_TRACE} SELECT query_id, stage, input_count AS before, output_count AS after, input_count - output_count AS dropped, row_number() OVER (PARTITION BY query_id ORDER BY input_count - output_count DESC, place)::INTEGER AS nth FROM tr WHERE input_count > output_count"
 _ALL = {
     "d1_vector_search": D1_SQL, "d2_lexical_search": D2_SQL, "d3_lexical_fallback": D3_SQL, "d4_hybrid_fusion": D4_SQL,
     "d5_ghosts": f"SELECT query_id, id, score, rank FROM ({D2_SQL}) WHERE id % 2 = 1",
     "h1_id_union": f"SELECT query_id, id FROM ({D1_SQL}) UNION SELECT query_id, id FROM ({_B4})",
-    "m3_hybrid_recall": M3_SQL, "m3_scoped_recall": M3S_SQL, "m4_vector_recall": M4_SQL, "m5_tagged_recall": M5_SQL, "m6_lexical_arm": M6_SQL, "m7_expanded_query": M7_SQL,
+    "m2_retrieval_trace": M2_SQL, "e3_drop_summary": E3_SQL, "m3_hybrid_recall": M3_SQL, "m3_scoped_recall": M3S_SQL, "m4_vector_recall": M4_SQL, "m5_tagged_recall": M5_SQL, "m6_lexical_arm": M6_SQL, "m7_expanded_query": M7_SQL,
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (d1_vector_search, d2_lexical_search, d3_lexical_fallback, d4_hybrid_fusion, d5_ghosts, d6_neighbors, h1_id_union, m3_hybrid_recall, m3_scoped_recall, m4_vector_recall, m5_tagged_recall, m6_lexical_arm, m7_expanded_query)
-    return {f.__name__: f for f in own} | columns.queries() | lines.queries() | tools.queries() | documents.queries() | relations.queries()
+    own = (m1_retrieve, m2_retrieval_trace, m13_trace_summary, e3_drop_summary, d1_vector_search, d2_lexical_search, d3_lexical_fallback, d4_hybrid_fusion, d5_ghosts, d6_neighbors, h1_id_union, m3_hybrid_recall, m3_scoped_recall, m4_vector_recall, m5_tagged_recall, m6_lexical_arm, m7_expanded_query)
+    return {f.__name__: f for f in own} | columns.queries() | lines.queries() | tools.queries() | documents.queries() | relations.queries() | upkeep.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return _ALL | columns.oracle_sql() | lines.oracle_sql() | tools.oracle_sql() | documents.oracle_sql() | relations.oracle_sql()
+    return _ALL | columns.oracle_sql() | lines.oracle_sql() | tools.oracle_sql() | documents.oracle_sql() | relations.oracle_sql() | upkeep.oracle_sql()
