@@ -22,7 +22,11 @@ PROFILE_HINTS = [
     r"(?:我的时区是|我的代词是|我是|我的身份是|my timezone is|my pronouns are|i am)\b", "(?:时区|代词|协作方式|工作方式|语言偏好)",
 ]
 NAME_KEY, ADDRESS_KEY = "entities:姓名", "preferences:称呼偏好"
-BRAND_ITEM = r"\b(?:i|user)?\s*(?:really\s+|still\s+|also\s+)?(?:like|love|prefer|enjoy)\s+([a-z0-9'&\-\s]{1,80})\s+from\s+([a-z0-9'&\-\s]{1,40})"
+# The groups are the brand and the items, in the order of the second value.
+BRAND_ITEMS = [
+    (r"(?:^|[\s，,。；;！!？?])(?:我|用户)?(?:很|更|还)?(?:喜欢|爱吃|偏爱|常吃|想吃)(?:吃|喝|用|买)?([\p{IsHan}A-Za-z0-9&·'\-]{1,24})的([\p{IsHan}A-Za-z0-9&·'\-\s、,，和及与/]{1,80})", (1, 2)),
+    (r"\b(?:i|user)?\s*(?:really\s+|still\s+|also\s+)?(?:like|love|prefer|enjoy)\s+([a-z0-9'&\-\s]{1,80})\s+from\s+([a-z0-9'&\-\s]{1,40})", (2, 1)),
+]
 CLAUSE_END, ITEM_SPLIT = "(?iu)(?:因为|所以|但是|不过|if |when |because |but )", "(?iu)(?:、|,|，|/|以及|及|与|和| and | & )"
 
 
@@ -57,16 +61,20 @@ def belongs_to_profile(memory_category: Column, fact_key: Column, text: Column)
 
 def token(value: Column) -> Column:
     """A brand or item without quotes, articles and spaces, in lower case."""
-    v = F.regexp_replace(trim(value), r"""^["'`]+|["'`。！!？?，,；;:：]+$""", "")
+    v = F.regexp_replace(trim(value), r"""^[“"'`‘’]+|[”"'`‘’。！!？?，,；;:：]+$""", "")
     return F.lower(F.regexp_replace(F.regexp_replace(v, r"(?i)" + java(r"\b(?:the|a|an)\s+"), ""), r"\s+", ""))
 
 
 def brand_items(text: Column) -> Column:
-    """struct(brand, items) of "like ITEMS from BRAND", or null."""
-    t = trim(F.regexp_replace(text, r"\s+", " "))
-    found = lambda g: F.regexp_extract(t, "(?iu)" + java(BRAND_ITEM), g)
-    items = F.filter(F.transform(F.split(F.split(found(1), CLAUSE_END, 2)[0], ITEM_SPLIT), token), lambda x: x != "")
-    return F.when((token(found(2)) != "") & (F.size(items) > 0), F.struct(token(found(2)).alias("brand"), items.alias("items")))
+    """struct(brand, items) of "like ITEMS from BRAND" or "喜欢BRAND的ITEMS", or null; speaker marks at line starts do not count."""
+    t = trim(F.regexp_replace(F.regexp_replace(text, r"(?m)^\[(?:用户|助手)\]\s*", ""), r"\s+", " "))
+
+    def parsed(pattern: str, brand: int, named: int) -> Column:
+        found = lambda g: F.regexp_extract(t, "(?iu)" + java(pattern), g)
+        items = F.filter(F.transform(F.split(F.split(found(named), CLAUSE_END, 2)[0], ITEM_SPLIT), token), lambda x: x != "")
+        return F.when((token(found(brand)) != "") & (F.size(items) > 0), F.struct(token(found(brand)).alias("brand"), items.alias("items")))
+
+    return F.coalesce(*[parsed(p, *groups) for p, groups in BRAND_ITEMS])
 
 
 def atomic_slot(text: Column) -> Column:

@@ -68,7 +68,7 @@ def judged(rows: DataFrame, updates: DataFrame, valid_id: str = VALID_ID) -> Dat
     seq = F.col("seq") if "seq" in updates.columns else F.lit(0)
     told = updates.withColumn("seq", seq)
     least = told.groupBy("id", "expected_scope").agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("copies"))
-    told = told.join(least, ["id", "expected_scope"])
+    told = told.join(least, ["id", "expected_scope"], "left")  # null ids have no row there
     own = rows.select("id", F.coalesce("scope", F.lit("global")).alias("row_scope"), "metadata", "meta")
     met = told.join(own, "id", "left")
     outcome = (

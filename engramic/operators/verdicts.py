@@ -114,7 +114,7 @@ def _observed(told: DataFrame, rows: DataFrame, now: int) -> DataFrame:
     """
     seen = told.where(F.col("action").isin("support", "contradict")).select(F.col("match_id").alias("id"), capture.context(F.col("context")).alias("context"), (F.col("action") == "support").cast("long").alias("yes"))
     touched = seen.groupBy("id", "context").agg(F.sum("yes").alias("confirmations"), F.sum(1 - F.col("yes")).alias("contradictions"), F.lit(now).cast("long").alias("last_observed_at"))
-    held = rows.join(seen.select("id").distinct(), "id", "left_semi").select("id", F.explode_outer(F.from_json(F.get_json_object("metadata", "$.support_info.slices"), _SLICES)).alias("s")).where("s IS NOT NULL").select("id", "s.*")
+    held = rows.join(seen.select("id").distinct(), "id", "left_semi").select("id", F.explode_outer(F.from_json(F.get_json_object(F.get_json_object("metadata", "$.support_info"), "$.slices"), _SLICES)).alias("s")).where("s IS NOT NULL").select("id", "s.*")
     every = held.unionByName(touched).groupBy("id", "context").agg(F.sum("confirmations").alias("confirmations"), F.sum("contradictions").alias("contradictions"), F.max("last_observed_at").alias("last_observed_at"))
     totals = every.groupBy("id").agg(F.sum("confirmations").alias("good"), F.sum(F.col("confirmations") + F.col("contradictions")).alias("all"))
     newest = Window.partitionBy("id").orderBy(F.desc("last_observed_at"), "context")

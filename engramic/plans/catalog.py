@@ -41,8 +41,8 @@ def d2_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d3_lexical_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The beginnings of benchmark items, as whole phrases."""
-    asked = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 12).alias("text"))
+    """Whole benchmark items as phrases."""
+    asked = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return retrieval.lexical_fallback(memories.smart(spark, sf_dir), asked)
 
 
@@ -84,7 +84,7 @@ def m4_vector_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def m5_tagged_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag = F.concat(F.lit("proj:p"), F.col("doc_id") % 3, F.lit(" "), F.col("text"))
-    asked = _queries(spark, sf_dir).withColumn("text", F.concat(F.lit("Proj:P"), F.col("query_id") % 3, F.lit(" "), F.substring("text", 1, 80)))
+    asked = _queries(spark, sf_dir).withColumn("text", F.concat(F.lit("Proj:P"), F.col("query_id") % 3, F.lit(" "), F.coalesce("text", F.lit(""))))
     return recall.lexical_only(_remembered(spark, sf_dir).withColumn("text", tag), asked, F.lit(NOW))
 
 
@@ -162,7 +162,7 @@ _B4 = _ranked(_lexical(_DOCS, _ASKED), 20)
 D4_SQL = f"SELECT query_id, id, score, rank, vector_score, lexical_score FROM ({_ranked(_FUSED.format(v=D1_SQL, b=_B4), 20)})"
 _HIT = "CASE WHEN contains(lower({f}), q) THEN least(0.95, 0.72 + length(q) * 0.02) * {w} ELSE 0 END"
 _BEST = "round(greatest(" + ", ".join(_HIT.format(f=f, w=w) for f, w in (("text", 1.0), ("l0", 0.98), ("l1", 0.92), ("l2", 0.96))) + ")::DOUBLE, 6)"
-D3_SQL = f"""WITH {memories.SMART_SQL}, a AS (SELECT item_id AS query_id, regexp_replace(lower(substr(text, 1, 12)), {memories.TRIM}) AS q FROM benchmark)
+D3_SQL = f"""WITH {memories.SMART_SQL}, a AS (SELECT item_id AS query_id, regexp_replace(lower(text), {memories.TRIM}) AS q FROM benchmark)
 SELECT query_id, id, score, rank FROM ({_ranked(f"SELECT query_id, id, timestamp, {_BEST} AS score FROM smart, a WHERE q <> '' AND {_BEST} > 0", 20, "score DESC, timestamp DESC, id")})"""
 
 _LIVE = f"live AS (SELECT smart.*, embedding::DOUBLE[] AS vector FROM smart LEFT JOIN embeddings ON vec_id = doc_id WHERE valid_from <= {NOW} AND coalesce(invalidated_at > {NOW}, true) {{also}})"
@@ -202,7 +202,7 @@ M3_SQL = _recall(_hybrid())
 M3S_SQL = _recall(_hybrid(_EVENTS), "AND scope IN ('src:src0', 'src:src1', 'src:src2')")
 M4_SQL = _recall(_ALIVE.format(h=f"SELECT query_id, id, score FROM ({_ranked(_VEC, 20)})"))
 _TAGGED = memories.SMART_SQL + ", tagged AS (SELECT * REPLACE ('proj:p' || (doc_id % 3) || ' ' || text AS text) FROM smart)"
-_M5_ASKED = "SELECT query_id, 'Proj:P' || (query_id % 3) || ' ' || substr(text, 1, 80) AS text, q FROM (" + _ASKED + ")"
+_M5_ASKED = "SELECT query_id, 'Proj:P' || (query_id % 3) || ' ' || coalesce(text, '') AS text, q FROM (" + _ASKED + ")"
 _M5 = _ranked(_lexical("SELECT id, text FROM live", "SELECT query_id, text FROM asked"), 20)
 _M5 = f"SELECT h.query_id, h.id, h.score FROM ({_M5}) h JOIN live l USING (id) JOIN asked a USING (query_id) WHERE contains(lower(l.text), 'proj:p' || (query_id % 3))"
 M5_SQL = _recall(_ALIVE.format(h=_M5), smart=_TAGGED, asked=_M5_ASKED).replace("FROM smart LEFT JOIN embeddings", "FROM tagged smart LEFT JOIN embeddings")

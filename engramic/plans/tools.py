@@ -412,9 +412,9 @@ def h4_token_coverage(spark, sf_dir):
 
 @query()
 def i25_rouge(spark, sf_dir):
-    """Tokens of each row's first 300 characters against those of another's: an alignment is quadratic in their number."""
-    cut = lambda c: rules.tokens(F.substring(c, 1, 300))
-    return _text_pairs(spark, sf_dir).select("id", admission.lcs(cut("a"), cut("b")).alias("lcs"), F.round(admission.rouge_f1(cut("a"), cut("b")), 6).alias("f1"))
+    """Tokens of each row's whole text against those of another's."""
+    a, b = rules.tokens(F.col("a")), rules.tokens(F.col("b"))
+    return _text_pairs(spark, sf_dir).select("id", admission.lcs(a, b).alias("lcs"), F.round(admission.rouge_f1(a, b), 6).alias("f1"))
 
 
 @query(f"""WITH {MEM_SQL}, f AS (SELECT id, 0.1 * 0.5 + 0.1 * importance + 0.1 * ((doc_id % 10) / 10.0::DOUBLE) + 0.1 * ((doc_id % 7) / 7.0::DOUBLE) + 0.6 * CASE category WHEN 'fact' THEN 0.8::DOUBLE WHEN 'decision' THEN 0.45::DOUBLE ELSE 0.2::DOUBLE END AS s, 1 - (doc_id % 10) / 10.0::DOUBLE AS best FROM mem)
@@ -437,20 +437,33 @@ def i2_cosines(spark, sf_dir):
     return both.select(F.col("vec_id").alias("id"), F.round(retrieval.cosine(a, b), 6).alias("strict"), F.round(retrieval.cosine_unit(a, b), 6).alias("unit"), F.round(retrieval.cosine_of_prefix(a, F.slice(b, 1, 16)), 6).alias("prefix"))
 
 
-@query(f"""WITH {PHRASE_SQL} SELECT id, CASE WHEN contains(text, 'wings and fries') THEN 'burgerbarn:spicywings,fries' WHEN contains(text, 'oat latte') THEN 'cafeuno:oatlatte' END AS slot, CASE WHEN contains(text, 'oat latte') THEN 'oatlatte' END AS item
-FROM ph WHERE id LIKE 'phrase:%'""")
+_LIKES = "CASE doc_id % 4 WHEN 0 THEN '[用户] 我很喜欢' || w[1] || '的' || w[2] || '和' || w[3] WHEN 1 THEN 'I really like the ' || w[1] || ' and ' || w[2] || ' from ' || w[3] WHEN 2 THEN 'they enjoy ' || w[1] || ' because ' || w[2] || ' from ' || w[3] ELSE coalesce(text, '') END"
+
+
+@query(f"""WITH m AS (SELECT doc_id, text, regexp_extract_all(lower(coalesce(text, '')), '[a-z]{{5,12}}') AS w FROM documents), t AS (SELECT doc_id, w, {_LIKES} AS x FROM m)
+SELECT doc_id, CASE WHEN doc_id % 4 < 3 AND len(w) >= 3 THEN w[CASE doc_id % 4 WHEN 0 THEN 1 ELSE 3 END] || ':' || CASE doc_id % 4 WHEN 0 THEN w[2] || ',' || w[3] WHEN 1 THEN w[1] || ',' || w[2] ELSE w[1] END END AS slot, CASE WHEN doc_id % 4 = 2 AND len(w) >= 3 THEN w[1] END AS item FROM t
+WHERE doc_id % 4 < 3 OR NOT regexp_matches(x, '(?i)(like|love|prefer|enjoy|喜欢|爱吃|偏爱|常吃|想吃)')""")
 def i57_preference_slots(spark, sf_dir):
-    """Brand and items of the literal phrases; one item alone makes a slot of its own."""
-    t = F.col("text")
-    got = identity.brand_items(t)
-    return phrases(spark, sf_dir).where("id LIKE 'phrase:%'").select("id", F.concat(got["brand"], F.lit(":"), F.array_join(got["items"], ",")).alias("slot"), identity.atomic_slot(t)["item"].alias("item"))
+    """Brand and items in sentences of both patterns made from each document's words, and documents that state none."""
+    w = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]{5,12}"), F.lit(0))
+    at = lambda i: F.try_element_at(F.col("w"), F.lit(i))
+    n = F.col("doc_id") % 4
+    said = F.when(n == 0, F.concat(F.lit("[用户] 我很喜欢"), at(1), F.lit("的"), at(2), F.lit("和"), at(3))).when(n == 1, F.concat(F.lit("I really like the "), at(1), F.lit(" and "), at(2), F.lit(" from "), at(3)))
+    said = said.when(n == 2, F.concat(F.lit("they enjoy "), at(1), F.lit(" because "), at(2), F.lit(" from "), at(3))).otherwise(F.coalesce("text", F.lit("")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", w.alias("w")).select("doc_id", said.alias("x"))
+    rows = rows.where((F.col("doc_id") % 4 < 3) | ~F.col("x").rlike("(?i)(like|love|prefer|enjoy|喜欢|爱吃|偏爱|常吃|想吃)"))
+    got = identity.brand_items(F.col("x"))
+    return rows.select("doc_id", F.concat(got["brand"], F.lit(":"), F.array_join(got["items"], ",")).alias("slot"), identity.atomic_slot(F.col("x"))["item"].alias("item"))
+
 
+_STATED = "CASE doc_id % 7 WHEN 0 THEN text || chr(10) || 'my timezone is UTC' WHEN 1 THEN 'My name is Ana. ' || text WHEN 2 THEN text || ' 请叫我老王' WHEN 3 THEN text || chr(10) || '- Role: nurse' ELSE text END"
 
-@query(f"""WITH {SMART_SQL} SELECT id FROM smart WHERE NOT (memory_category = 'profile')""")
+
+@query(f"""WITH {SMART_SQL}, x AS (SELECT id, memory_category, {_STATED} AS x FROM smart) SELECT id FROM x WHERE NOT (memory_category = 'profile' OR {columns._any(identity.PROFILE_HINTS + identity.NAME_HINTS + identity.ADDRESS_HINTS + identity.NAMES + identity.ADDRESSES, 'x')})""")
 def c19_boundary_filter(spark, sf_dir):
-    """Rows that do not belong to a user's profile, by category and stated identity."""
-    rows = smart(spark, sf_dir)
-    return rows.where(~identity.belongs_to_profile(F.col("meta.memory_category"), F.col("meta.fact_key"), F.lit("plain"))).select("id")
+    """Rows that do not belong to a user's profile, by category and by what their texts state."""
+    rows = smart(spark, sf_dir).withColumn("x", F.expr(_STATED.replace("chr(10)", "'\n'")))
+    return rows.where(~identity.belongs_to_profile(F.col("meta.memory_category"), F.col("meta.fact_key"), F.col("x"))).select("id")
 
 
 @query(f"WITH {PHRASE_SQL} SELECT id FROM ph WHERE NOT (length(t) < 5 OR {columns._any(rules.DENIALS + rules.META_QUESTIONS + rules.FRUSTRATION + rules.BOILERPLATE + rules.DIAGNOSTICS)})")

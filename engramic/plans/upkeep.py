@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engramic.functions import envelope
+from engramic.functions.metadata import with_smart_metadata
+from engramic.functions.text import trim
 from engramic.operators import compaction, compression, corpus, ingress, postings, recall_updates, verdicts
 from engramic.operators.stored import shared_folder, written
 from engramic.plans import columns
@@ -110,8 +113,6 @@ def a26_recall_merge(spark, sf_dir):
     ledger.apply(updates, 1)
     outcomes = ledger.apply(updates, 1)
     ledger.fold()
-    from engramic.functions.metadata import with_smart_metadata
-
     after = with_smart_metadata(ledger.current()).select("id", "meta")
     told = outcomes.join(after, "id", "left")
     value = lambda c: F.when(F.col("outcome") == "updated", F.col(f"meta.{c}")).alias(c)
@@ -319,6 +320,59 @@ def k22_applied_batch(spark, sf_dir):
     return after.select("id", F.sha2("text", 256).alias("text"), field("invalidated_at").alias("invalidated_at"), field("superseded_by").alias("superseded_by"), field("supersedes").alias("supersedes"), kind.alias("relation"))
 
 
+# --- envelopes and answers of models
+_PAD = envelope.BLANKS + envelope.INVISIBLE
+_TAGGED = "'a < \u200b/ User_Message id=\"' || doc_id || '\"> ' || replace(coalesce(text, ''), '. ', ' <user_messages> . <assistant_message/>') || ' <user_message no end'"
+
+
+@query(f"SELECT doc_id, sha256(regexp_replace(x, '<([{_PAD}]*(?:/[{_PAD}]*)?(?i:user_message|assistant_message)(?:[^A-Za-z0-9_>][^>]*)?)>', '‹\\1›', 'g')) AS text FROM (SELECT doc_id, {_TAGGED} AS x FROM documents)")
+def i44_spoofed_tags(spark, sf_dir):
+    """Documents with tags of speakers between their sentences, real ones, longer names and one without an end."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(_TAGGED).alias("x"))
+    return rows.select("doc_id", F.sha2(envelope.without_spoofed_tags(F.col("x")), 256).alias("text"))
+
+
+_JSON = 'chr(96) || chr(96) || chr(96)'
+_BLOCK = "'{label}' || chr(10) || " + _JSON + " || 'json' || chr(10) || '{{\"message_id\": \"m' || doc_id || '\", \"s\": \"}}\"}}' || chr(10) || " + _JSON
+_BODY = f"regexp_replace(replace(coalesce(text, ''), chr(10), ' '), {TRIM})"
+_ENVELOPED = f"CASE doc_id % 4 WHEN 0 THEN {_BLOCK.format(label='Sender (untrusted metadata):')} || chr(10) || {_BODY} WHEN 1 THEN '[Subagent Task] Reply with a brief acknowledgment only.' || chr(10) || chr(10) || 'Do not use any memory tools' || chr(10) || {_BODY} WHEN 2 THEN 'System: [2026-03-02 04:21 GMT+8] Chat[main] joined' || chr(10) || {_BODY} ELSE {_BLOCK.format(label='a note:')} || chr(10) || {_BODY} END"
+
+
+def _enveloped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = trim(F.regexp_replace(F.coalesce("text", F.lit("")), "\n", " "))
+    fence, n = "```", F.col("doc_id")
+
+    def block(label: str) -> Column:
+        return F.concat(F.lit(label + "\n" + fence + 'json\n{"message_id": "m'), n.cast("string"), F.lit('", "s": "}"}\n' + fence))
+
+    whole = F.when(n % 4 == 0, F.concat(block("Sender (untrusted metadata):"), F.lit("\n"), body)).when(n % 4 == 1, F.concat(F.lit("[Subagent Task] Reply with a brief acknowledgment only.\n\nDo not use any memory tools\n"), body))
+    whole = whole.when(n % 4 == 2, F.concat(F.lit("System: [2026-03-02 04:21 GMT+8] Chat[main] joined\n"), body)).otherwise(F.concat(block("a note:"), F.lit("\n"), body))
+    return table(spark, sf_dir, "documents").select("doc_id", whole.alias("x"))
+
+
+@query(f"SELECT doc_id, sha256(CASE WHEN doc_id % 4 < 3 THEN {_BODY} ELSE regexp_replace({_ENVELOPED}, {TRIM}) END) AS text FROM documents")
+def i41_envelope_strip(spark, sf_dir):
+    """Each document inside one of four envelopes; a block that no label marks and that names no sender stays."""
+    return _enveloped(spark, sf_dir).select("doc_id", F.sha2(envelope.envelope_free(F.col("x")), 256).alias("text"))
+
+
+@query(f"SELECT doc_id, sha256(CASE doc_id % 4 WHEN 0 THEN {_BODY} WHEN 1 THEN regexp_replace('Do not use any memory tools' || chr(10) || {_BODY}, {TRIM}) ELSE regexp_replace({_ENVELOPED}, {TRIM}) END) AS text FROM documents")
+def i43_capture_text(spark, sf_dir):
+    """The same messages as capture reads them: of wrapper lines the first other line ends the lead-in."""
+    return _enveloped(spark, sf_dir).select("doc_id", F.sha2(envelope.capture_text(F.lit("user"), F.col("x")), 256).alias("text"))
+
+
+@query("""SELECT doc_id, coalesce(text, '') AS content, doc_id % 3 AS n FROM documents""")
+def i63_repaired_answers(spark, sf_dir):
+    """Answers of a model that hold a document's text in JSON with raw line ends, a trailing comma and prose around; read back by their fields."""
+    text = F.coalesce("text", F.lit(""))
+    plain = F.regexp_replace(F.regexp_replace(text, r"\\", r"\\\\"), '"', r'\\"')
+    body = F.concat(F.lit('{"content": "'), plain, F.lit('", "list": [1, 2, ], "n": '), (F.col("doc_id") % 3).cast("string"), F.lit(", }"))
+    answer = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("<think>{no}</think> Here:\n```json\n"), body, F.lit("\n```"))).otherwise(F.concat(F.lit("<think>{no}</think> ```\n"), body, F.lit("\n``` done")))
+    found = table(spark, sf_dir, "documents").select("doc_id", F.from_json(envelope.usable_json(answer), "struct<content: string, n: long>").alias("j"))
+    return found.select("doc_id", "j.content", "j.n")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
