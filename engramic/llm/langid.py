@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from .common import fold, small_batches
 
 #: The expected number of training documents of each language, the bound of what the driver fits on.
-TRAIN_DOCS = 400
+TRAIN_DOCS, TRAIN_CHARS = 400, 4_000_000
+#: Characters of a text that is learned from, at most.
+LONGEST = 200_000
 MODULUS, HELD_OUT = 3, 1
 #: Bytes scored in one step.
 STEP = 1 << 20
@@ -110,21 +112,28 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model from a sample of the labelled documents outside the held-out fold.
+def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+    """A model from a sample of the labelled documents outside the held-out fold; None without any.
 
-    A language with c such documents takes part with each one at chance train_docs / c, decided by
-    a hash of its id and text, so that the sample is bounded at any size of the corpus.
+    A language with c such documents of s characters takes part with each one at chance
+    min(train_docs / c, train_chars / s), decided by a hash of its id and text. So the sample is
+    bounded in rows and characters at any size of the corpus, whatever its ids are: rows with null or
+    repeated ids are drawn apart as their texts differ. Texts longer than LONGEST are not learned from.
     """
     seen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    seen = seen.where((fold(F.col("doc_id"), MODULUS) != HELD_OUT) & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["c"] for r in seen.groupBy("lang").agg(F.count(F.lit(1)).alias("c")).collect()}  # a row per language
-    chance = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(train_docs / c)) for lang, c in sizes.items())) if sizes else F.lit(0.0)
-    drawn = (F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))) < chance
+    seen = seen.where((fold(F.col("doc_id"), MODULUS) != HELD_OUT) & F.col("lang").isNotNull() & (F.length("text") <= LONGEST))
+    seen = seen.withColumn("place", F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id").isNull(), "doc_id", "text"), F.lit(1 << 30)))
+    # a row per language; its first text is learned from where no other is drawn
+    sizes = seen.groupBy("lang").agg(F.count(F.lit(1)).alias("c"), F.sum(F.length("text").cast("long")).alias("s"), F.min(F.struct("place", "text"))["text"].alias("first")).collect()
+    share = [F.when(F.col("lang") == r["lang"], F.lit(min(train_docs / r["c"], train_chars / max(1, r["s"])))) for r in sizes]
+    drawn = F.col("place") / F.lit(float(1 << 30)) < (F.coalesce(*share) if share else F.lit(0.0))
+    # one of each text: rows that repeat one have one hash and are drawn together
+    rows = [(r["lang"], r["text"]) for r in seen.where(drawn).select("lang", "text").distinct().orderBy("lang", "text").collect()]
+    got = {lang for lang, text in rows if has_letter(text)}
     texts: dict[str, list[bytes]] = {}
-    for row in seen.where(drawn & F.col("text").isNotNull()).select("lang", "text").collect():
-        if has_letter(row["text"]):
-            texts.setdefault(row["lang"], []).append(folded(row["text"]))
+    for lang, text in rows + [(r["lang"], r["first"]) for r in sizes if r["lang"] not in got]:
+        if has_letter(text):
+            texts.setdefault(lang, []).append(folded(text))
     return Model(texts) if texts else None
 
 

@@ -220,6 +220,24 @@ def test_langid_code_lengths_against_brute_force(spark):
     assert langid.predict(docs, None).where("lang_pred != 'und'").count() == 0
 
 
+def test_langid_draws_rows_without_ids_apart_and_keeps_within_its_bounds(spark):
+    rng = np.random.default_rng(6)
+    word = {"en": "the and of with", "de": "der und mit ß", "fr": "le et avec é"}
+    say = lambda lang: " ".join(rng.choice(word[lang].split(), 20))
+    rows = [(None, say("en"), "en", "s") for _ in range(3000)] + [(1, say("de"), "de", "s") for _ in range(900)] + [(None, word["fr"], "fr", "s")] * 2000 + [(3, "x" * 300_000 + " der", "de", "s"), (None, None, "de", "s"), (2, "!!", "xx", "s")]
+    docs = docs_of(spark, rows)
+    model = langid.fit(docs)
+    assert model.langs == ["de", "en", "fr"]
+    got = langid.predict(docs.where("length(text) < 1000"), model).collect()
+    assert sum(r["lang_pred"] == "en" for r in got) == 3000 and sum(r["lang_pred"] == "fr" for r in got) == 2000
+    assert sum(r["lang_pred"] == "und" for r in got) == 1
+    small = langid.fit(docs, train_docs=10, train_chars=500)
+    assert small is not None and small.langs == ["de", "en", "fr"]
+    assert langid.fit(docs_of(spark, [])) is None and langid.predict(docs_of(spark, []), None).count() == 0
+    long = langid.predict(docs_of(spark, [(9, "the and " * 50_000, "en", "s")]), model).collect()
+    assert long[0]["lang_pred"] == "en"
+
+
 def test_pii_is_one_to_one_and_keeps_formats(spark):
     texts = ["Mail Joe.Smith7@mail3.example.com, joe.smith7@mail3.example.com; +1 (017) 555-7713 10.0.0.1", "card 4111 1111 1111 1111 Mrs Mary Jones", None, "", "nothing here"]
     texts += [f"ip 10.0.{i // 250}.{i % 250} x" for i in range(500)]
