@@ -81,3 +81,31 @@ def atomic_slot(text: Column) -> Column:
     """struct(brand, item) where a text prefers one item alone."""
     p = brand_items(text)
     return F.when(F.size(p["items"]) == 1, F.struct(p["brand"].alias("brand"), p["items"][0].alias("item")))
+
+
+def canonical(category: Column, abstract: Column, overview: Column, content: Column) -> Column:
+    """struct(category, abstract, overview, content) of a candidate: in one form if it states a name or a form of address.
+
+    An entity's name comes before its form of address, with other candidates the other way round.
+    """
+    said = F.concat_ws("\n", *[F.nullif(x, F.lit("")) for x in (abstract, overview, content)])
+    v = values(said)
+    source = F.coalesce(F.nullif(content, F.lit("")), abstract)
+
+    def made(of: str, title: str, heading: str, label: str, sentence: str, alias: Column) -> Column:
+        return F.struct(F.lit(of).alias("category"), F.concat(F.lit(f"{title}："), alias).alias("abstract"), F.concat(F.lit(f"## {heading}\n- {label}: "), alias).alias("overview"), F.concat(F.lit(f"{sentence}“"), alias, F.lit("”。原始表述："), source).alias("content"))
+
+    name = F.when(v["name"].isNotNull(), made("entities", "姓名", "Identity", "Name", "用户当前姓名/自称为", v["name"]))
+    address = F.when(v["addressing"].isNotNull(), made("preferences", "称呼偏好", "Addressing", "Preferred form of address", "用户希望以后被称呼为", v["addressing"]))
+    same = F.struct(category.alias("category"), abstract.alias("abstract"), overview.alias("overview"), content.alias("content"))
+    return F.when(category == "entities", F.coalesce(name, address, same)).otherwise(F.coalesce(address, name, same))
+
+
+def kept_in_profile(memory_category: Column, fact_key: Column, text: Column, profile: bool = True, name: bool = True, addressing: bool = True) -> Column:
+    """``belongs_to_profile`` for the routes that are on: profile rows and hints, names, forms of address."""
+    s = slots(text, fact_key)
+    routes = [(profile, F.coalesce(memory_category == "profile", F.lit(False)) | any_of(text, PROFILE_HINTS)), (name, s["name"]), (addressing, s["addressing"])]
+    out = F.lit(False)
+    for on, hit in routes:
+        out = out | hit if on else out
+    return out

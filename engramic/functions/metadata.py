@@ -218,3 +218,74 @@ def active_at(at: Column) -> Column:
     """Of rows with `meta`: begun, not ended and not expired at a time."""
     begun = F.col("meta.valid_from") <= at
     return begun & F.coalesce(F.col("meta.invalidated_at") > at, F.lit(True)) & F.coalesce(F.col("meta.valid_until") > at, F.lit(True))
+
+
+#: Fields of the metadata by their names in ``meta``.
+TYPED = {
+    "l0_abstract": "l0", "l1_overview": "l1", "l2_content": "l2", "memory_category": "memory_category", "tier": "tier", "access_count": "access_count", "confidence": "confidence",
+    "last_accessed_at": "last_accessed_at", "valid_from": "valid_from", "invalidated_at": "invalidated_at", "valid_until": "valid_until", "memory_temporal_type": "temporal_type", "fact_key": "fact_key",
+    "supersedes": "supersedes", "superseded_by": "superseded_by", "source_session": "source_session", "source": "source", "state": "state", "memory_layer": "layer", "injected_count": "injected_count",
+    "last_injected_at": "last_injected_at", "last_confirmed_use_at": "last_confirmed_use_at", "bad_recall_count": "bad_recall_count", "suppressed_until_turn": "suppressed_until_turn",
+    "suppressed_until_ms": "suppressed_until_ms", "canonical_id": "canonical_id",
+}
+
+
+def built(raw: Column, meta: Column, patch: dict[str, Column], at: Column) -> Column:
+    """JSON metadata with every typed field written out: those of ``meta``, and of ``patch`` where it holds a usable value.
+
+    A null in the patch leaves a field. Other keys of the raw metadata and of the patch stay as they
+    are. An end before the begin is dropped; 0 ends a suppression. Values are kept as text.
+    """
+    given = lambda f: patch[f].cast("string") if f in patch else F.lit(None).cast("string")
+    base = {f: meta[m] for f, m in TYPED.items()}
+    either = lambda f, usable: F.when(given(f).isNull(), base[f]).otherwise(usable)
+    n = {f: number(given(f)) for f in ("confidence", "suppressed_until_ms")}
+    new = {f: F.coalesce(optional(given(f)), base[f]) for f in ("l0_abstract", "l1_overview", "l2_content")}
+    new |= {f: F.coalesce(given(f), base[f]) for f in ("memory_category", "source_session")}
+    new |= {f: count(given(f), base[f]) for f in ("access_count", "injected_count", "bad_recall_count", "suppressed_until_turn")}
+    new |= {f: either(f, instant(given(f))) for f in ("valid_until", "last_injected_at", "last_confirmed_use_at")}
+    new |= {f: either(f, optional(given(f))) for f in ("supersedes", "superseded_by", "canonical_id")}
+    new["tier"] = one_of(F.coalesce(given("tier"), base["tier"]), ["core", "working", "peripheral"], "working")
+    new["confidence"] = F.when(n["confidence"].isNull(), base["confidence"]).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), n["confidence"])))
+    new["last_accessed_at"] = count(given("last_accessed_at"), F.coalesce(F.nullif(base["last_accessed_at"], F.lit(0)), at))
+    new["valid_from"] = F.coalesce(instant(given("valid_from")), base["valid_from"])
+    ended = either("invalidated_at", instant(given("invalidated_at")))
+    new["invalidated_at"] = F.when(ended >= new["valid_from"], ended)
+    new["memory_temporal_type"] = either("memory_temporal_type", F.when(given("memory_temporal_type").isin("static", "dynamic"), given("memory_temporal_type")))
+    new["fact_key"] = F.coalesce(optional(given("fact_key")), base["fact_key"], fact_key(new["memory_category"], new["l0_abstract"]))
+    new["source"] = either("source", one_of(given("source"), ["manual", "auto-capture", "reflection", "dreaming-engine", "session-summary"], "legacy"))
+    new["state"] = either("state", one_of(given("state"), ["pending", "confirmed", "archived"], "confirmed"))
+    new["memory_layer"] = either("memory_layer", one_of(given("memory_layer"), ["durable", "working", "reflection", "archive"], "working"))
+    new["suppressed_until_ms"] = either("suppressed_until_ms", F.when(n["suppressed_until_ms"] >= 0, F.floor(n["suppressed_until_ms"])).otherwise(0))
+    new |= {f: given(f) for f in patch if f not in TYPED}
+    pairs = F.array(*[F.struct(F.lit(f).alias("key"), v.cast("string").alias("value")) for f, v in new.items()])
+    old = F.coalesce(F.from_json(raw, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    kept = F.map_filter(old, lambda k, v: ~k.isin([*TYPED, *patch]))
+    told = F.map_from_entries(F.filter(pairs, lambda p: p.value.isNotNull()))
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(kept, told)))))
+
+
+def support_info(raw: Column, now: Column) -> Column:
+    """struct(global_strength, total_observations, slices) of the JSON of a row's support, in its old flat form or by contexts; null and other JSON give no evidence."""
+    one = "struct<context:string,confirmations:double,contradictions:double,strength:double,last_observed_at:double>"
+    by_context = F.from_json(raw, f"struct<global_strength:double,total_observations:double,slices:array<{one}>>")
+    flat = F.from_json(raw, "struct<confirmations:double,contradictions:double>")
+
+    def entry(context: Column, yes: Column, no: Column, strength: Column, at: Column) -> Column:
+        return F.struct(context.alias("context"), yes.cast("long").alias("confirmations"), no.cast("long").alias("contradictions"), strength.alias("strength"), at.cast("long").alias("last_observed_at"))
+
+    def known(s: Column) -> Column:
+        positive = lambda x: F.when(x >= 0, x).otherwise(0)
+        return entry(s.context, positive(s.confirmations), positive(s.contradictions), F.when(s.strength.between(0, 1), s.strength).otherwise(0.5), F.coalesce(s.last_observed_at, now))
+
+    listed = F.struct(F.coalesce(by_context["global_strength"], F.lit(0.5)).alias("global_strength"), F.coalesce(by_context["total_observations"], F.lit(0)).cast("long").alias("total_observations"), F.transform(F.filter(by_context["slices"], lambda s: s.context.isNotNull()), known).alias("slices"))
+    yes, no = F.coalesce(flat["confirmations"], F.lit(0.0)), F.coalesce(flat["contradictions"], F.lit(0.0))
+    single = F.struct((yes / F.nullif(yes + no, F.lit(0.0))).alias("global_strength"), (yes + no).cast("long").alias("total_observations"), F.array(entry(F.lit("general"), yes, no, yes / F.nullif(yes + no, F.lit(0.0)), now)).alias("slices"))
+    none = F.struct(F.lit(0.5).alias("global_strength"), F.lit(0).cast("long").alias("total_observations"), F.filter(F.array(entry(F.lit(""), yes, no, F.lit(0.5), now)), lambda s: F.lit(False)).alias("slices"))
+    return F.when(by_context["slices"].isNotNull(), listed).when(yes + no > 0, single).otherwise(none)
+
+
+def number_vector(values: Column) -> Column:
+    """An array of strings or numbers as doubles; empty if null or if one of them is no finite number."""
+    read = F.transform(values, lambda x: number(x.cast("string")))
+    return F.when(values.isNull() | F.exists(read, lambda x: x.isNull()), F.array().cast("array<double>")).otherwise(read)

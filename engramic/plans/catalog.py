@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from engramic.functions import rules
 from engramic.operators import recall, retrieval
-from engramic.plans import columns, documents, lines, memories, relations, tools, upkeep
+from engramic.plans import columns, documents, lines, memories, relations, store_tools, tools, upkeep
 from engramic.plans.memories import NOW
 
 
@@ -241,8 +241,8 @@ _ALL = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (m1_retrieve, m2_retrieval_trace, m13_trace_summary, e3_drop_summary, d1_vector_search, d2_lexical_search, d3_lexical_fallback, d4_hybrid_fusion, d5_ghosts, d6_neighbors, h1_id_union, m3_hybrid_recall, m3_scoped_recall, m4_vector_recall, m5_tagged_recall, m6_lexical_arm, m7_expanded_query)
-    return {f.__name__: f for f in own} | columns.queries() | lines.queries() | tools.queries() | documents.queries() | relations.queries() | upkeep.queries()
+    return {f.__name__: f for f in own} | columns.queries() | lines.queries() | tools.queries() | documents.queries() | relations.queries() | upkeep.queries() | store_tools.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return _ALL | columns.oracle_sql() | lines.oracle_sql() | tools.oracle_sql() | documents.oracle_sql() | relations.oracle_sql() | upkeep.oracle_sql()
+    return _ALL | columns.oracle_sql() | lines.oracle_sql() | tools.oracle_sql() | documents.oracle_sql() | relations.oracle_sql() | upkeep.oracle_sql() | store_tools.oracle_sql()

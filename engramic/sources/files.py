@@ -185,3 +185,42 @@ def learning_stats(files: DataFrame) -> DataFrame:
     """entries, pending, high, promoted over Markdown files(content) of learnings."""
     count = lambda p: F.sum(F.regexp_count("content", F.lit("(?im)" + p)))
     return files.agg(count(r"^## \[").alias("entries"), count(r"\*\*Status\*\*:\s*pending").alias("pending"), count(r"\*\*Priority\*\*:\s*(high|critical)").alias("high"), count(r"\*\*Status\*\*:\s*promoted(_to_skill)?").alias("promoted"))
+
+
+#: Fixed value: characters of a mirrored text.
+MIRROR_CHARS = 500
+
+
+def mirror_lines(rows: DataFrame, agent: Column, source: Column) -> DataFrame:
+    """``rows`` with day and line: a bullet of the daily mirror for each, its text on one line."""
+    at = F.timestamp_millis("timestamp")
+    label = lambda name, c: F.coalesce(F.concat(F.lit(f" {name}="), c), F.lit(""))
+    text = F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), "\n", " "), 1, MIRROR_CHARS)
+    utc = F.to_utc_timestamp(at, F.current_timezone())
+    line = F.concat(F.lit("- "), F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit(" ["), F.coalesce("category", F.lit("other")), F.lit(":"), F.coalesce("scope", F.lit("global")), F.lit("]"), label("agent", agent), label("source", source), F.lit(" "), text)
+    return rows.select("*", F.date_format(utc, "yyyy-MM-dd").alias("day"), line.alias("line"))
+
+
+def write_mirror(rows: DataFrame, folder: str, agent: Column, source: Column) -> None:
+    """Appends the day's lines as text files below ``folder``/day=..; a day's rows come from as many tasks as hold them."""
+    mirror_lines(rows, agent, source).select("day", "line").write.mode("append").partitionBy("day").text(folder)
+
+
+def exported(rows: DataFrame, path: str, scope: str | None = None, category: str | None = None) -> None:
+    """All rows of a scope and category as JSON lines without vectors, newest first within each file; what was asked for lies beside them."""
+    kept = rows.where(F.col("scope") == scope) if scope else rows
+    kept = kept.where(F.col("category") == category) if category else kept
+    kept.drop("vector", "meta").sortWithinPartitions(F.desc("timestamp")).write.mode("overwrite").json(f"{path}/memories")
+    told = kept.agg(F.count(F.lit(1)).alias("count")).select(F.lit("1.0").alias("version"), F.current_timestamp().alias("exported_at"), "count", F.lit(scope).cast("string").alias("scope"), F.lit(category).cast("string").alias("category"))
+    told.coalesce(1).write.mode("overwrite").json(f"{path}/about")
+
+
+def legacy_rows(old: DataFrame, limit: int | None = None) -> DataFrame:
+    """id, text, vector, importance, category, createdAt, scope of an old store's table, whatever of these it lacks; vectors that are no numbers are empty."""
+    from engramic.functions.metadata import number, number_vector
+
+    has = lambda c, kind: F.col(c).cast(kind) if c in old.columns else F.lit(None).cast(kind)
+    vector = number_vector(F.col("vector")) if "vector" in old.columns else F.array().cast("array<double>")
+    category = F.coalesce(F.nullif(has("category", "string"), F.lit("")), F.lit("other"))
+    rows = old.select(has("id", "string").alias("id"), has("text", "string").alias("text"), vector.alias("vector"), number(has("importance", "string")).alias("importance"), category.alias("category"), number(has("createdAt", "string")).alias("createdAt"), has("scope", "string").alias("scope"))
+    return rows.limit(limit) if limit else rows
