@@ -85,12 +85,12 @@ def backup(rows: DataFrame, path: str, day: str) -> None:
     kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").json(path)
 
 
-def split_end(text: str, start: int, most: int) -> int:
-    """Where a chunk that begins at ``start`` ends: after LINES lines, else after a sentence, a line, or a word."""
-    least = min(start + LEAST, most)
+def split_end(text: str, start: int, most: int, least: int = LEAST, lines: int = LINES) -> int:
+    """Where a chunk that begins at ``start`` ends: after so many lines, else after a sentence, a line, or a word."""
+    least = min(start + least, most)
     breaks = [m.start() for m in re.finditer("\n", text[start:most])]
-    if len(breaks) >= LINES:
-        return max(start + breaks[LINES - 1] + 1, least)
+    if len(breaks) >= lines:
+        return max(start + breaks[lines - 1] + 1, least)
     for i in range(most - 1, least - 1, -1):
         if text[i] in SENTENCE_END:
             end = i + 1
@@ -103,21 +103,21 @@ def split_end(text: str, start: int, most: int) -> int:
     return next((i for i in range(most - 1, least - 1, -1) if text[i].isspace()), most)
 
 
-def chunks_of(text: str | None) -> Iterator[tuple[int, int, str]]:
+def chunks_of(text: str | None, most: int = CHUNK, overlap: int = OVERLAP, least: int = LEAST, lines: int = LINES) -> Iterator[tuple[int, int, str]]:
     """Start, end and text of each overlapping chunk."""
     text, at = text or "", 0
     while at < len(text) and text.strip():
-        end = len(text) if len(text) - at <= CHUNK else split_end(text, at, at + CHUNK)
+        end = len(text) if len(text) - at <= most else split_end(text, at, at + most, least, lines)
         piece = text[at:end]
-        if end < len(text) and len(piece.strip()) < LEAST:
-            end = min(at + CHUNK, len(text))
+        if end < len(text) and len(piece.strip()) < least:
+            end = min(at + most, len(text))
             piece = text[at:end]
         if piece.strip():
             start = at + len(piece) - len(piece.lstrip())
             yield start, start + len(piece.strip()), piece.strip()
         if end >= len(text):
             return
-        at = max(end - OVERLAP, at + 1)
+        at = max(end - overlap, at + 1)
 
 
 def line_chunks_of(text: str | None) -> Iterator[tuple[int, int, str]]:
