@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engramic.functions import identity, metadata, rules
-from engramic.operators import writes
+from engramic.operators import reflections, writes
 from engramic.plans import columns
 from engramic.plans.memories import ACTIVE_SQL, MEM_SQL, NOW, SMART_SQL, TRIM, memories, smart, table
 
@@ -212,6 +212,71 @@ def a47_mirror_lines(spark, sf_dir):
     return mirror_lines(memories(spark, sf_dir), F.lit("main"), F.lit("auto")).select("id", "day", "line")
 
 
+# --- reflections
+_WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z]{5,12}')"
+
+
+def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report for each document, its lines made of the document's words; every sixth holds none."""
+    w = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]{5,12}"), F.lit(0))
+    always = F.transform(F.slice("w", 1, 3), lambda x: F.concat(F.lit("- Always check "), x))
+    derived = F.transform(F.slice("w", 4, 2), lambda x: F.concat(F.lit("- This run showed "), x))
+    body = F.concat(F.lit("## Invariants\n"), F.array_join(always, "\n"), F.lit("\n## Derived\n"), F.array_join(derived, "\n"))
+    rows = table(spark, sf_dir, "documents").withColumn("w", w)
+    n = F.col("doc_id")
+    return rows.select("doc_id", n.cast("string").alias("session_id"), F.lit("agent:main").alias("session_key"), F.lit("main").alias("agent"), F.lit("new").alias("command"), F.concat(F.lit("src:"), "source").alias("scope"), (F.lit(NOW) + n * 1000).alias("run_at"), (n % 4 == 0).alias("used_fallback"), F.when(n % 6 == 0, None).otherwise(body).alias("markdown"))
+
+
+_PAYLOADS_SQL = f"""WITH d AS (SELECT doc_id, 'src:' || source AS scope, {NOW} + doc_id * 1000 AS ms, CASE WHEN doc_id % 6 = 0 THEN [] ELSE {_WORDS}[1:3] END AS inv, CASE WHEN doc_id % 6 = 0 THEN [] ELSE {_WORDS}[4:5] END AS der FROM documents),
+e AS (SELECT *, 'refl-' || strftime(make_timestamp(ms * 1000), '%Y%m%d%H%M%S') || '-' || substr(sha1(ms || '|agent:main|' || doc_id || '|main|new'), 1, 8) AS event_id FROM d),
+i AS (SELECT event_id, unnest(inv) AS x, generate_subscripts(inv, 1) - 1 AS n FROM e), j AS (SELECT event_id, unnest(der) AS x, generate_subscripts(der, 1) - 1 AS n FROM e),
+p AS (SELECT event_id, 'event' AS kind, 0 AS ordinal, 'reflection-event · ' || scope || chr(10) || 'eventId=' || event_id || chr(10) || 'session=' || doc_id || chr(10) || 'agent=main' || chr(10) || 'command=new' || chr(10) || 'usedFallback=' || (doc_id % 4 = 0) AS text FROM e
+UNION ALL SELECT event_id, 'item-invariant', n, 'Always check ' || x FROM i UNION ALL SELECT event_id, 'item-derived', n, 'This run showed ' || x FROM j
+UNION ALL SELECT event_id, 'combined-legacy', 0, 'reflection · ' || scope || ' · ' || strftime(make_timestamp(ms * 1000), '%Y-%m-%d') || chr(10) || 'Session Reflection (' || strftime(make_timestamp(ms * 1000), '%Y-%m-%dT%H:%M:%S') || '.' || lpad((ms % 1000)::VARCHAR, 3, '0') || 'Z)' || chr(10) || 'Session Key: agent:main' || chr(10) || 'Session ID: ' || doc_id || chr(10) || chr(10) || 'Invariants:' || chr(10) ||
+  CASE WHEN len(inv) = 0 THEN '- (none captured)' ELSE array_to_string(list_transform(inv, lambda x: '- Always check ' || x), chr(10)) END || chr(10) || chr(10) || 'Derived:' || chr(10) || CASE WHEN len(der) = 0 THEN '- (none captured)' ELSE array_to_string(list_transform(der, lambda x: '- This run showed ' || x), chr(10)) END FROM e WHERE len(inv) + len(der) > 0)"""
+
+
+@query(f"{_PAYLOADS_SQL} SELECT event_id, kind, ordinal::INTEGER AS ordinal, text FROM p")
+def h5_reflection_payloads(spark, sf_dir):
+    """All rows that a report becomes."""
+    return reflections.payloads(_reports(spark, sf_dir)).select("event_id", "kind", "ordinal", "text")
+
+
+@query(f"{_PAYLOADS_SQL}, s AS (SELECT event_id, kind, count(*) AS n FROM p GROUP BY 1, 2) SELECT event_id, kind, ordinal::INTEGER AS ordinal, substr(kind, 6) AS item_kind, n AS group_size, CASE kind WHEN 'item-invariant' THEN 45 ELSE 7 END::INTEGER AS middle, CASE kind WHEN 'item-invariant' THEN 1.1 ELSE 1 END::DOUBLE AS weight, '## ' || CASE kind WHEN 'item-invariant' THEN 'Invariants' ELSE 'Derived' END || chr(10) || '- ' || text AS l1 FROM p JOIN s USING (event_id, kind) WHERE kind LIKE 'item-%'")
+def b23_item_payloads(spark, sf_dir):
+    """What the metadata of the lines' rows says."""
+    items = reflections.payloads(_reports(spark, sf_dir), combined=False).where(F.col("kind").startswith("item-"))
+    return items.select("event_id", "kind", "ordinal", _field("itemKind").alias("item_kind"), _field("groupSize").cast("long").alias("group_size"), _field("decayMidpointDays").cast("int").alias("middle"), _field("baseWeight").cast("double").alias("weight"), _field("l1_overview").alias("l1"))
+
+
+_MAPPED_META = "CASE WHEN doc_id % 3 = 0 THEN '{\"type\":\"memory-reflection-mapped\",\"mappedKind\":\"' || CASE doc_id % 5 WHEN 0 THEN 'user-model' WHEN 1 THEN 'agent-model' WHEN 2 THEN 'lesson' WHEN 3 THEN 'decision' ELSE 'odd' END || '\",\"memory_category\":\"' || CASE doc_id % 2 WHEN 0 THEN 'preferences' ELSE 'cases' END || '\"}' ELSE metadata END"
+_MAPPED_SQL = f"""WITH {MEM_SQL}, m AS (SELECT *, {_MAPPED_META} AS raw, CASE WHEN doc_id % 3 = 0 THEN CASE doc_id % 5 WHEN 0 THEN 'preferences' WHEN 1 THEN 'patterns' WHEN 2 THEN 'cases' WHEN 3 THEN 'cases' END END AS due FROM mem),
+r AS (SELECT *, CASE due WHEN 'preferences' THEN 'preference' WHEN 'patterns' THEN 'other' WHEN 'cases' THEN 'fact' END AS stored, CASE doc_id % 2 WHEN 0 THEN 'preferences' ELSE 'cases' END AS stamped FROM m), k AS (SELECT *, due IS NOT NULL AND NOT (stamped = due AND category = stored) AS changed FROM r)"""
+
+
+@query(f"{_MAPPED_SQL} SELECT id, CASE WHEN changed THEN stored ELSE category END AS category, CASE WHEN changed THEN due WHEN doc_id % 3 = 0 THEN stamped ELSE {_FIELD('memory_category')} END AS memory_category FROM k")
+def k29_mapped_restamp(spark, sf_dir):
+    rows = memories(spark, sf_dir).withColumn("metadata", F.expr(_MAPPED_META))
+    return reflections.restamped(rows)[0].select("id", "category", _field("memory_category"))
+
+
+@query(f"{_MAPPED_SQL} SELECT count(due) AS total_mapped, count_if(changed) AS normalized, count_if(due IS NOT NULL AND NOT changed) AS already_correct FROM k")
+def k29_restamp_stats(spark, sf_dir):
+    return reflections.restamped(memories(spark, sf_dir).withColumn("metadata", F.expr(_MAPPED_META)))[1]
+
+
+_AUDITED = "CASE doc_id % 4 WHEN 0 THEN '{\"admission_control\":{\"decision\":\"pass_to_dedup\",\"evaluated_at\":' || (timestamp + 5) || '}}' WHEN 1 THEN '{\"admission_control\":{\"decision\":\"reject\"}}' WHEN 2 THEN '{\"admission_control\":{\"decision\":\"pass_to_dedup\"}}' ELSE metadata END"
+
+
+@query(f"""WITH {MEM_SQL}, m AS (SELECT * FROM mem WHERE scope IN ('src:src0', 'src:src1', 'src:src2')), r AS (SELECT count(*) AS rejected, max(epoch_us(ts) // 1000) AS latest FROM events WHERE event_type = 'error' AND 'src:src' || (user_id % 5) IN ('src:src0', 'src:src1', 'src:src2')),
+a AS (SELECT count_if(doc_id % 4 IN (0, 2)) AS admitted, count_if(doc_id % 4 < 3) AS observed, max(CASE doc_id % 4 WHEN 0 THEN timestamp + 5 WHEN 2 THEN timestamp END) AS last_admitted_at FROM m)
+SELECT rejected, admitted, rejected + admitted AS total, CASE WHEN rejected + admitted > 0 THEN round(rejected / (rejected + admitted)::DOUBLE, 6) END AS reject_rate, latest AS latest_rejected_at, observed, last_admitted_at FROM r, a""")
+def e6_admission_stats(spark, sf_dir):
+    """Audits in rows, and error events as rejections, of three scopes."""
+    rejected = table(spark, sf_dir, "events").where("event_type = 'error'").select(F.unix_millis(F.col("ts").cast("timestamp")).alias("rejected_at"), F.concat(F.lit("src:src"), F.col("user_id") % 5).alias("target_scope"))
+    return reflections.admission_stats(memories(spark, sf_dir).withColumn("metadata", F.expr(_AUDITED)), rejected, ["src:src0", "src:src1", "src:src2"])
+
+
 # --- code
 def _functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's words as functions of a program: Python or a script, by turns."""
