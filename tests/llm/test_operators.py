@@ -139,6 +139,31 @@ def test_chat_keeps_maximal_conversations(spark):
     assert got[4][2].endswith("<||>\n< |end|><|end|>\n")
 
 
+@pytest.mark.parametrize("block", [16_384, 5])
+def test_chat_equals_a_pass_in_order(spark, monkeypatch, block):
+    monkeypatch.setattr(chat, "BLOCK", block)
+    rng = np.random.default_rng(9)
+    said = ["a", "b", "", None, "c" * 100 + "1", "c" * 100 + "0", "long " * 20_000]
+    talks = {}
+    for c in range(40):
+        talks[c] = [(t, ["user", "assistant", None][int(rng.integers(3))], said[int(rng.integers(len(said)))]) for t in range(int(rng.integers(1, 9)))]
+        if c % 3 == 0:
+            talks[c + 100] = talks[c][: int(rng.integers(1, len(talks[c]) + 1))]
+    talks[None] = [(None, "user", "same")] * 30 + [(0, "user", x) for x in said] + [(i, "user", "x") for i in range(30)]
+    rows = [(c, t, r, x, "clash", 1) for c, turns in talks.items() for t, r, x in turns]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, conv string, pos int").repartition(7)
+    bodies = {c: tuple((r or "", x or "") for _, r, x in sorted(turns, key=lambda y: (y[0] is not None, y[0] or 0, y[1] or "", y[2] or ""))) for c, turns in talks.items()}
+    inner = {b[:i] for b in bodies.values() for i in range(1, len(b))}
+    want = {}
+    for c, b in bodies.items():
+        if b not in inner:
+            same = sorted((x for x in bodies if bodies[x] == b), key=lambda x: (x is None, x or 0))
+            want[same[0]] = (len(b), len(same), "".join(f"<|{r}|>\n{x.replace('<|', '< |')}<|end|>\n" for r, x in b))
+    got = {r["conv_id"]: (r["n_turns"], r["copies"], r["rendered"]) for r in chat.collapse(table).collect()}
+    assert got == want and len(want) < len(talks)
+    assert chat.collapse(table.where("false")).count() == 0
+
+
 def test_packing_round_trip(odd, spark):
     from tokenizers import Tokenizer
 
