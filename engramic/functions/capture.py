@@ -145,6 +145,12 @@ def valid_scope(scope: Column, defined: list[str]) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
+def scope_parts(scope: Column) -> Column:
+    """struct(type, id) of ``type:id``; the global scope has an empty id, other scopes without a colon are null."""
+    at = F.instr(scope, ":")
+    return F.when(scope == "global", F.struct(scope.alias("type"), F.lit("").alias("id"))).when(at > 0, F.struct(F.substring(scope, F.lit(1), at - 1).alias("type"), F.substring(scope, at + 1, F.length(scope)).alias("id")))
+
+
 def scope_kind(scope: Column) -> Column:
     """The kind under which a scope is counted; reflections count as users'."""
     out = F.when(scope == "global", F.lit("global"))

@@ -214,6 +214,23 @@ def with_smart_metadata(rows: DataFrame) -> DataFrame:
     return rows.withColumn("meta", meta).drop("_raw")
 
 
+def in_force(meta: Column, at: Column) -> Column:
+    """Begun and not ended at a time."""
+    return (meta["valid_from"] <= at) & F.coalesce(meta["invalidated_at"] > at, F.lit(True))
+
+
+def expired(meta: Column, at: Column) -> Column:
+    return F.coalesce(meta["valid_until"] <= at, F.lit(False))
+
+
+def before(at: Column, cutoff_ms: int) -> Column:
+    """Whether a stored time, in milliseconds or in the seconds of old rows, lies before a cutoff; never for cutoffs that are no time."""
+    if cutoff_ms <= 0:
+        return F.lit(False)
+    seconds = (at > 0) & (at < SECONDS_BELOW) & (at < -(-cutoff_ms // 1000))
+    return F.coalesce(((at >= SECONDS_BELOW) & (at < cutoff_ms)) | seconds, F.lit(False))
+
+
 def active_at(at: Column) -> Column:
     """Of rows with `meta`: begun, not ended and not expired at a time."""
     begun = F.col("meta.valid_from") <= at

@@ -111,3 +111,12 @@ def governance(markdown: Column) -> Column:
     part = lambda b, name: F.nullif(trim(F.regexp_extract(b, rf"(?is)(?:^|\n)###\s+{name}\s*\n(.*?)(?:\n###\s|$)", 1)), F.lit(""))
     entries = F.transform(blocks, lambda b: F.struct(field(b, "Priority").alias("priority"), field(b, "Status").alias("status"), field(b, "Area").alias("area"), part(b, "Summary").alias("summary"), part(b, "Details").alias("details"), part(b, "Suggested Action").alias("suggested_action")))
     return F.filter(entries, lambda e: e.summary.isNotNull())
+
+
+def fading(kind: Column) -> Column:
+    """struct(midpoint_days, k, weight, quality) by which a row of a kind fades; null for unknown kinds."""
+
+    def one(values: tuple[float, float, float, float]) -> Column:
+        return F.struct(*[F.lit(v).alias(n) for n, v in zip(("midpoint_days", "k", "weight", "quality"), values, strict=True)])
+
+    return F.coalesce(*[F.when(kind == k, one(v)) for k, v in FADING.items()])

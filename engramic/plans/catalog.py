@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from engramic.functions import rules
 from engramic.operators import recall, retrieval
+from engramic.operators.stored import written
 from engramic.plans import columns, documents, lines, memories, relations, store_tools, tools, upkeep
 from engramic.plans.memories import NOW
 
@@ -24,9 +25,9 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _remembered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All memory rows with the vectors of their numbers."""
+    """All memory rows with the vectors of their numbers, stored with typed metadata as a recall finds them."""
     vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    return memories.smart(spark, sf_dir).join(vectors, "doc_id", "left")
+    return written(memories.smart(spark, sf_dir).join(vectors, "doc_id", "left"), "remembered")
 
 
 def d1_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ def d2_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def d3_lexical_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole benchmark items as phrases."""
     asked = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return retrieval.lexical_fallback(memories.smart(spark, sf_dir), asked)
+    return retrieval.lexical_fallback(_remembered(spark, sf_dir), asked)
 
 
 def d4_hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +60,7 @@ def d5_ghosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d6_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = recall.searchable(memories.smart(spark, sf_dir), None, F.lit(NOW))
+    rows = recall.searchable(_remembered(spark, sf_dir), None, F.lit(NOW))
     hits = _queries(spark, sf_dir).join(rows.select("id", "doc_id"), F.col("query_id") == F.col("doc_id")).select("query_id", "id")
     return recall.neighbors(rows, hits)
 
@@ -90,7 +91,7 @@ def m5_tagged_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def m6_lexical_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return recall.lexical_arm(recall.searchable(memories.smart(spark, sf_dir), None, F.lit(NOW)), asked, "events").select("query_id", "id", "score", "rank")
+    return recall.lexical_arm(recall.searchable(_remembered(spark, sf_dir), None, F.lit(NOW)), asked, "events").select("query_id", "id", "score", "rank")
 
 
 def _m3_traced(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,6 +107,12 @@ def m13_trace_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall.summaries(recall.trace(_m3_traced(spark, sf_dir)))
 
 
+def l13_explain_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each hit of m3 with its score after every stage and the stage that it left at."""
+    scores = [F.round(c, 4).alias(c) for c in ("searched", "reranked", "recent", "weighted", "normed", "score")]
+    return _m3_traced(spark, sf_dir).select("query_id", "id", *scores, "left_at")
+
+
 def e3_drop_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall.drop_summary(recall.trace(_m3_traced(spark, sf_dir)))
 
@@ -230,17 +237,26 @@ tr AS (SELECT query_id, place, stage, count(*) AS input_count, count_if(g > plac
 
 _TRACE = f"WITH {memories.SMART_SQL}, {_LIVE.format(also='')}, asked AS ({_ASKED}), {_traced()}"
 M2_SQL = f"{_TRACE} SELECT query_id, stage, input_count, output_count, dropped, least, most FROM tr"
+L13_SQL = f"{_TRACE} SELECT query_id, id, round(s0, 4) AS searched, round(r, 4) AS reranked, round(s1, 4) AS recent, round(s2, 4) AS weighted, round(s3, 4) AS normed, round(s4, 4) AS score, stage AS left_at FROM h9 LEFT JOIN st ON place = g"
+D6_SQL = rf"""WITH {memories.SMART_SQL}, {_LIVE.format(also='')}, asked AS ({_ASKED}), hit AS (SELECT a.query_id, l.id, l.text, l.scope FROM asked a JOIN live l ON a.query_id = l.doc_id),
+w AS (SELECT id, scope, text, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM live), z AS (SELECT scope, count(*) AS docs, avg(len(w)) AS mean FROM w GROUP BY 1),
+p AS (SELECT id, scope, n, term, count(*) AS tf FROM (SELECT id, scope, len(w) AS n, unnest(w) AS term FROM w) GROUP BY 1, 2, 3, 4), df AS (SELECT scope, term, count(*) AS df FROM p GROUP BY 1, 2),
+q AS (SELECT DISTINCT query_id, id, scope, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM hit),
+s AS (SELECT query_id, q.id, p.id AS neighbor, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) AS raw FROM q JOIN p ON p.scope = q.scope AND p.term = q.term JOIN df ON df.scope = p.scope AND df.term = p.term JOIN z ON z.scope = p.scope GROUP BY 1, 2, 3),
+t AS (SELECT *, round(CASE WHEN raw > 0 THEN 1 / (1 + exp(-raw / 5)) ELSE 0.5 END, 6) AS score FROM s), u AS (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY score DESC, neighbor) AS r FROM t),
+v AS (SELECT u.*, regexp_replace(w.text, {memories.TRIM}) AS t FROM u JOIN w ON w.id = neighbor WHERE r <= 50 AND NOT EXISTS (SELECT 1 FROM hit h WHERE h.query_id = u.query_id AND h.id = neighbor))
+SELECT query_id, id, neighbor, score, position FROM (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY score DESC, neighbor)::INTEGER AS position FROM v WHERE {_NOT_NOISE}) WHERE position <= 2"""
 E3_SQL = f"{_TRACE} SELECT query_id, stage, input_count AS before, output_count AS after, input_count - output_count AS dropped, row_number() OVER (PARTITION BY query_id ORDER BY input_count - output_count DESC, place)::INTEGER AS nth FROM tr WHERE input_count > output_count"
 _ALL = {
     "d1_vector_search": D1_SQL, "d2_lexical_search": D2_SQL, "d3_lexical_fallback": D3_SQL, "d4_hybrid_fusion": D4_SQL,
     "d5_ghosts": f"SELECT query_id, id, score, rank FROM ({D2_SQL}) WHERE id % 2 = 1",
     "h1_id_union": f"SELECT query_id, id FROM ({D1_SQL}) UNION SELECT query_id, id FROM ({_B4})",
-    "m2_retrieval_trace": M2_SQL, "e3_drop_summary": E3_SQL, "m3_hybrid_recall": M3_SQL, "m3_scoped_recall": M3S_SQL, "m4_vector_recall": M4_SQL, "m5_tagged_recall": M5_SQL, "m6_lexical_arm": M6_SQL, "m7_expanded_query": M7_SQL,
+    "m2_retrieval_trace": M2_SQL, "e3_drop_summary": E3_SQL, "l13_explain_rank": L13_SQL, "d6_neighbors": D6_SQL, "m3_hybrid_recall": M3_SQL, "m3_scoped_recall": M3S_SQL, "m4_vector_recall": M4_SQL, "m5_tagged_recall": M5_SQL, "m6_lexical_arm": M6_SQL, "m7_expanded_query": M7_SQL,
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (m1_retrieve, m2_retrieval_trace, m13_trace_summary, e3_drop_summary, d1_vector_search, d2_lexical_search, d3_lexical_fallback, d4_hybrid_fusion, d5_ghosts, d6_neighbors, h1_id_union, m3_hybrid_recall, m3_scoped_recall, m4_vector_recall, m5_tagged_recall, m6_lexical_arm, m7_expanded_query)
+    own = (m1_retrieve, m2_retrieval_trace, m13_trace_summary, e3_drop_summary, l13_explain_rank, d1_vector_search, d2_lexical_search, d3_lexical_fallback, d4_hybrid_fusion, d5_ghosts, d6_neighbors, h1_id_union, m3_hybrid_recall, m3_scoped_recall, m4_vector_recall, m5_tagged_recall, m6_lexical_arm, m7_expanded_query)
     return {f.__name__: f for f in own} | columns.queries() | lines.queries() | tools.queries() | documents.queries() | relations.queries() | upkeep.queries() | store_tools.queries()
 
 

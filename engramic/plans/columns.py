@@ -11,9 +11,9 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramic.functions import metadata, recall, rules, scoring, text
+from engramic.functions import capture, metadata, recall, rules, scoring, text
 from engramic.plans import memories
-from engramic.plans.memories import ACTIVE_SQL, DAY, NOW, PHRASE_SQL, SMART_SQL, TRIM
+from engramic.plans.memories import ACTIVE_SQL, BASE, DAY, HOUR, NOW, PHRASE_SQL, SMART_SQL, TRIM
 
 
 class Row:
@@ -42,6 +42,7 @@ def _any(patterns: list[str], of: str = "t") -> str:
     return f"regexp_matches({of}, '(?i)" + "|".join(f"(?:{p})" for p in patterns).replace("'", "''") + "')"
 
 
+_PARSED = "CASE doc_id % 4 WHEN 0 THEN 'global' WHEN 1 THEN 'plain' WHEN 2 THEN scope || ':more' ELSE scope END"
 _ACTIVE = "CASE WHEN access_count > 0 THEN last_accessed_at ELSE timestamp END"
 _RECENCY = f"exp(-ln(2) / (CASE WHEN temporal_type = 'dynamic' THEN 10.0 ELSE 30.0 END * exp(1.5 * importance)) * pow(greatest(0, ({NOW} - ({_ACTIVE})) / {DAY}.0::DOUBLE), CASE tier WHEN 'core' THEN 0.8 WHEN 'working' THEN 1.0 ELSE 1.3 END))"
 _FREQ = f"(1 - exp(-access_count / 5.0::DOUBLE)) * CASE WHEN access_count <= 1 THEN 1 ELSE 0.5 + 0.5 * exp(-greatest(1, (({_ACTIVE}) - timestamp) / {DAY}.0::DOUBLE) / greatest(access_count - 1, 1) / 30) END"
@@ -103,9 +104,9 @@ ROWS: dict[str, tuple[Callable[[Row], Column], str]] = {
     "b14_access_metadata": (lambda r: r.meta["reinforced"], f"{_REINFORCED}::BIGINT"),
     "b21_injection_patch": (lambda r: F.concat_ws("|", *[recall.injection_patch(r.meta, r.now)[c] for c in ("access_count", "injected_count", "bad_recall_count", "suppressed_until_ms")]), f"concat_ws('|', access_count + 1, injected_count + 1, {_STRIKES}, CASE WHEN {_STRIKES} >= 3 THEN greatest(coalesce(suppressed_until_ms, 0), {NOW + 1_800_000}) ELSE coalesce(suppressed_until_ms, 0) END)"),
     "b28_serialised_row": (lambda r: F.concat_ws("|", "id", "scope", r.meta["memory_category"], r.meta["tier"]), "concat_ws('|', id, scope, memory_category, tier)"),
-    "c3_timestamp_before": (lambda r: (r.at > 0) & (r.at < r.now), f"timestamp > 0 AND timestamp < {NOW}"),
-    "c4_active_at": (lambda r: (r.meta["valid_from"] <= r.now) & F.coalesce(r.meta["invalidated_at"] > r.now, F.lit(True)), f"valid_from <= {NOW} AND coalesce(invalidated_at > {NOW}, true)"),
-    "c5_expired": (lambda r: F.coalesce(r.meta["valid_until"] <= r.now, F.lit(False)), f"coalesce(valid_until <= {NOW}, false)"),
+    "c3_timestamp_before": (lambda r: metadata.before(F.when(F.col("doc_id") % 3 == 0, F.floor(r.at / 1000)).otherwise(r.at), BASE + 200 * HOUR), f"timestamp < {BASE + 200 * HOUR}"),
+    "c4_active_at": (lambda r: metadata.in_force(r.meta, r.now), f"valid_from <= {NOW} AND coalesce(invalidated_at > {NOW}, true)"),
+    "c5_expired": (lambda r: metadata.expired(r.meta, r.now), f"coalesce(valid_until <= {NOW}, false)"),
     "c6_category_match": (lambda r: metadata.category_matches(F.col("category"), r.meta["stamped_category"], "events"), "CASE WHEN doc_id % 13 <> 0 AND doc_id % 11 <> 0 AND doc_id % 6 = 1 THEN false ELSE category = 'decision' END"),
     "c14_recall_suppressed": (lambda r: recall.suppressed(r.meta, r.now), f"coalesce(suppressed_until_ms > {NOW}, false)"),
     "c15_recall_governance": (lambda r: recall.eligible(r.meta, r.now), f"state = 'confirmed' AND layer NOT IN ('archive', 'reflection') AND NOT coalesce(suppressed_until_ms > {NOW}, false)"),
@@ -124,7 +125,7 @@ ROWS: dict[str, tuple[Callable[[Row], Column], str]] = {
     "i20_reflection_score": (lambda r: r6(scoring.reflection_score(scoring.days(r.now, r.at), F.lit(21.0), F.lit(0.3), r.imp, r.meta["confidence"], F.col("doc_id") % 2 == 0)), f"round(1 / (1 + exp(0.3 * (greatest(0, {_AGE}) - 21))) * importance * confidence * CASE WHEN doc_id % 2 = 0 THEN 0.75 ELSE 1 END, 6)"),
     "i21_line_quality": (lambda r: r6(scoring.line_quality(F.col("doc_id") % 9)), "round(CASE WHEN doc_id % 9 = 0 THEN 0.2::DOUBLE ELSE least(1, 0.55 + least(6, doc_id % 9) * 0.075) END, 6)"),
     "i22_deep_score": (lambda r: r6(scoring.deep_score(r.imp, r.meta["confidence"], r.meta["access_count"], r.at, r.now)), f"round({_DEEP}, 6)"),
-    "i61_scope_parse": (lambda r: F.split("scope", ":", 2)[1], "split_part(scope, ':', 2)"),
+    "i61_scope_parse": (lambda r: F.concat_ws("|", capture.scope_parts(F.expr(_PARSED))["type"], capture.scope_parts(F.expr(_PARSED))["id"]), f"(SELECT CASE WHEN s = 'global' THEN 'global|' WHEN contains(s, ':') THEN split_part(s, ':', 1) || '|' || substr(s, strpos(s, ':') + 1) ELSE '' END FROM (SELECT {_PARSED} AS s) z)"),
     "g10_canonical_score": (lambda r: r6(scoring.canonical_score(r.imp, F.length(r.t), r.at)), "round(importance * 10 + least(2, length(text) / 400.0::DOUBLE) + timestamp / 1e13, 6)"),
 }
 

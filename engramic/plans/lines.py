@@ -71,7 +71,7 @@ ROWS: dict[str, tuple[Callable[[Row], Column], str]] = {
     "b6_metadata_caps": (lambda r: governance.capped(F.sequence(F.lit(1), F.col("doc_id") % 30 + 1), F.sequence(F.lit(1), F.col("doc_id") % 70 + 1), F.sequence(F.lit(1), F.col("doc_id") % 20 + 1)), "'{\"sources\":' || to_json(range(greatest(1, doc_id % 30 - 18), doc_id % 30 + 2))::VARCHAR || ',\"history\":' || to_json(range(greatest(1, doc_id % 70 - 48), doc_id % 70 + 2))::VARCHAR || ',\"relations\":' || to_json(range(1, least(16, doc_id % 20 + 1) + 1))::VARCHAR || '}'"),
     "b10_lifecycle": (lambda r: F.concat_ws("|", "importance", r.meta["confidence"], r.meta["tier"], r.meta["access_count"], r.at, F.coalesce(F.when(r.meta["last_accessed_at"] > 0, r.meta["last_accessed_at"]), r.at), r.meta["temporal_type"]), "concat_ws('|', importance, confidence, tier, access_count, timestamp, last_accessed_at, temporal_type)"),
     "b17_context": (lambda r: capture.context(F.expr(_CONTEXT)), f"(SELECT CASE WHEN c = '' THEN 'general' ELSE coalesce({_NAMED('c', capture.CONTEXT_NAMES)}, c) END FROM (SELECT lower(trim({_CONTEXT})) AS c) z)"),
-    "b24_mapped_fading": (lambda r: F.expr(f"CASE {_KIND} {_FADE} END"), f"CASE {_KIND} {_FADE} END"),
+    "b24_mapped_fading": (lambda r: F.concat_ws("|", F.expr(_KIND), *[reflection.fading(F.expr(_KIND))[c].cast("string") for c in ("midpoint_days", "k", "weight", "quality")]), f"CASE {_KIND} {_FADE} END"),
     "b25_compacted_abstract": (lambda r: text.trim(F.substring(r.meta["l0"], 1, 180)), _TRIMMED % "substr(l0, 1, 180)"),
     "b26_simple_levels": (lambda r: F.concat_ws("|", governance.simple_levels(r.t)["l0"], governance.simple_levels(r.t)["l1"]), rf"(SELECT concat_ws('|', z, '- ' || z) FROM (SELECT {_TRIMMED % '''substr(CASE WHEN regexp_matches(text, '^[^.!?。！？' || chr(10) || ']') THEN regexp_extract(text, '^[^.!?。！？' || chr(10) || ']+[.!?。！？]?') ELSE text END, 1, 100)'''} AS z) y)"),
     "b27_fact_serialiser": (lambda r: F.concat_ws("|", "id", "scope", "category", r.meta["memory_category"], r.meta["fact_key"], metadata.active_at(r.now).cast("string"), r.meta["valid_from"], r.meta["valid_until"], r.meta["invalidated_at"]), f"concat_ws('|', id, scope, category, memory_category, fact_key, {memories.ACTIVE_SQL}::VARCHAR, valid_from, valid_until, invalidated_at)"),
