@@ -80,7 +80,18 @@ TYPES = {
 }
 #: A private character that stands around entities where the text itself has none.
 MARK = "\ue000"
-PATTERN = "|".join(f"(?:{p})" for p in TYPES.values())
+_FOUND = {name: f"(?:{pattern})" for name, pattern in TYPES.items()}
+# what its surroundings alone announce is split off, so that the rest need not be looked for everywhere
+_SECRET, _ANNOUNCED = TYPES["secret"].split("|(?<=", 1)
+_PERSON, _CALLED = TYPES["person"].rsplit("|(?<=", 1)
+#: All types in one pattern. Each begins where a cheap look at one or two characters lets it: at the
+#: beginning of a word, of a number, of a capitalised word, or behind a sign of assignment.
+PATTERN = "|".join([
+    rf"(?<![A-Za-z0-9])(?:{_FOUND['email']}|(?:{_SECRET})|{_FOUND['ip6']}|(?=\p{{Lu}})(?:{_FOUND['iban']}|{_PERSON}))",
+    rf"(?=[0-9+(])(?:{_FOUND['ip']}|{_FOUND['phone']}|{_FOUND['ssn']}|{_FOUND['card']})",
+    rf"(?=\p{{Lu}})(?<= )(?<={_CALLED}",
+    rf"(?<=[=:]|[=:] )(?<={_ANNOUNCED}",
+])
 
 
 def entities(text: Column) -> Column:
