@@ -195,7 +195,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     A leak is a document that has, after normalisation, a stretch within EDITS of a probe of the
     benchmark text; ``start`` and ``end`` (code points of the document) enclose all its stretches,
     ``edits`` is the least of a probe. Texts of fewer than LEAST characters, null and empty ones
-    neither leak nor are leaked. Repeated documents are reported once each, repeated items with
+    neither leak nor are leaked (``not_searched`` lists those of the benchmark). Repeated documents are reported once each, repeated items with
     each id; null ids are reported as null. Other columns are not read. The benchmark is a stated
     query set: it is searched in blocks of BLOCK_CHARS characters, one pass over the documents each.
     """
@@ -210,6 +210,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return out
 
 
+def not_searched(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """item_id, n of the benchmark rows that ``find_leaks`` leaves out: n normalised characters (0 for null) are below LEAST.
+
+    So few characters stand in many texts that do not come from the benchmark.
+    """
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder = Folder()
+        for batch in batches:
+            n = [len(folder(t)[0]) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(n, pa.int32())], ["item_id", "n"])
+
+    return items.mapInArrow(kernel, "item_id long, n int").where(F.col("n") < LEAST)
+
+
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
     block, size = [], 0
     for row in items.distinct().sort("item_id", "text").toLocalIterator():
@@ -223,10 +239,11 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 
 def _pass(rows: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
-    held = rows.sparkSession.sparkContext.broadcast(block)  # at most BLOCK_CHARS characters
+    # built once; as large as BLOCK_CHARS characters make it
+    held = rows.sparkSession.sparkContext.broadcast(Probes(block))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probes, folder = Probes(held.value), Folder()
+        probes, folder = held.value, Folder()
         for batch in batches:
             out = []
             ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]

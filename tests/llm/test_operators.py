@@ -480,3 +480,10 @@ def test_pii_coreference_and_odd_rows(spark):
     assert next(iter(got[1]))[0].startswith(f"x  {names[2]} {names[1]}, ") and next(iter(got[1]))[1] == 2
     assert got[5] == {(f"{names[2]} {names[1]} " * 3000, 3000)}
     assert pii.replace(docs.where("false"), "key").count() == 0
+
+
+def test_decontamination_tells_what_it_does_not_search(spark):
+    items = spark.createDataFrame([(1, "too short"), (2, None), (3, "!!!" * 50), (4, "long enough to be searched for"), (None, "x")], "item_id long, text string")
+    assert {r["item_id"] for r in decontamination.not_searched(items).collect()} == {1, 2, 3, None}
+    docs = docs_of(spark, [(1, "so long enough to be searched for, is it", "en", "s"), (2, "too short", "en", "s"), (3, "pad " * 300_000 + "long enough to be searched for", "en", "s")])
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(docs, items).collect()) == [(1, 4), (3, 4)]
