@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from engramic.functions.rules import text_value
 from engramic.operators.ordered import last_before, running_sum
+from engramic.operators.stored import written
 
 # Texts to keep where all are of little worth, and the score below which they are.
 LEAST_TEXTS, LEAST_SCORE = 3, 0.3
@@ -31,6 +32,7 @@ def placed(turns: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     worth = text_value(text)
     light = turns.select("conv_id", "turn", F.length(text).cast("long").alias("size"), worth["score"].alias("score"), (worth["reason"] == "tool_call").alias("call"))
+    light = written(light, "scored")  # texts are judged once; what follows joins numbers
     light = running_sum(light, "conv_id", "turn", F.lit(1), "pos").withColumn("pos", F.col("pos") - 1)
     light = last_before(light, "conv_id", "pos", ~F.col("call"), "other")
     opens = F.col("call") & ((F.col("pos") - F.coalesce("other", F.lit(-1)) - 1) % 2 == 0)
@@ -85,7 +87,7 @@ def compressed(turns: DataFrame, budget: int, least_texts: int = LEAST_TEXTS, le
     """
     if budget < 1:
         raise ValueError("a budget of at least one character is needed")
-    light = placed(turns)
+    light = written(placed(turns), "placed")
     sums = light.groupBy("conv_id").agg(F.sum("size").alias("all"), F.max("pos").alias("last"), F.max("score").alias("best"))
     whole = light.join(sums.where(F.col("all") <= budget).select("conv_id"), "conv_id", "left_semi").select("conv_id", "turn", "pos", "size")
     long = light.join(sums.where(F.col("all") > budget).select("conv_id", "last", "best"), "conv_id")

@@ -39,3 +39,26 @@ def test_files_round_trip(spark, tmp_path):
     assert [r["audit"]["reason"] for r in files.rejections(spark, str(tmp_path / "audit")).collect()] == ["low"]
     notes = spark.createDataFrame([("## [1] a\n**Status**: pending\n**Priority**: high\n## [2] b\n**Status**: promoted",)], "content string")
     assert files.learning_stats(notes).first().asDict() == {"entries": 2, "pending": 1, "high": 1, "promoted": 1}
+
+
+def test_export_and_mirror_write_every_row(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("a", "one\ntwo", "fact", "s", 1_735_689_600_000, [1.0]), ("b", None, "fact", "t", 1_735_776_000_001, None), ("c", "x" * 900, "other", "s", 1_735_776_000_000, [])], "id string, text string, category string, scope string, timestamp long, vector array<double>")
+    files.exported(rows, str(tmp_path / "out"), scope="s")
+    back = spark.read.json(str(tmp_path / "out" / "memories"))
+    assert {r["id"] for r in back.collect()} == {"a", "c"} and "vector" not in back.columns
+    about = spark.read.json(str(tmp_path / "out" / "about")).first()
+    assert about["count"] == 2 and about["scope"] == "s" and about["version"] == "1.0"
+    files.write_mirror(rows, str(tmp_path / "mirror"), F.lit("main"), F.lit(None).cast("string"))
+    files.write_mirror(rows.where("id = 'a'"), str(tmp_path / "mirror"), F.lit(None).cast("string"), F.lit("manual"))
+    lines = [(str(r["day"]), r["value"]) for r in spark.read.text(str(tmp_path / "mirror")).collect()]
+    assert sorted(lines) == sorted([("2025-01-01", "- 2025-01-01T00:00:00.000Z [fact:s] agent=main one two"), ("2025-01-02", "- 2025-01-02T00:00:00.001Z [fact:t] agent=main "), ("2025-01-02", f"- 2025-01-02T00:00:00.000Z [other:s] agent=main {'x' * 500}"), ("2025-01-01", "- 2025-01-01T00:00:00.000Z [fact:s] source=manual one two")])
+
+
+def test_rows_of_an_old_store_whatever_they_lack(spark):
+    old = spark.createDataFrame([("a", "t", ["1", "2.5"], "4", None, 1234567890), ("b", "u", ["x"], None, "fact", None)], "id string, text string, vector array<string>, importance string, category string, createdAt long")
+    got = {r["id"]: r for r in files.legacy_rows(old).collect()}
+    assert got["a"]["vector"] == [1.0, 2.5] and got["a"]["importance"] == 4.0 and got["a"]["category"] == "other" and got["a"]["scope"] is None
+    assert got["b"]["vector"] == [] and got["b"]["importance"] is None and got["b"]["createdAt"] is None
+    assert files.legacy_rows(old.select("id"), 1).count() == 1
