@@ -15,7 +15,7 @@ real unit, or another's surrogate, maps of other keys are tried until one is nei
 that is given another key, so all entities and documents that hold it follow. Given names before a
 surname are not checked: their names are few and shared by many, and stay one-to-one. Where maps settle
 none of those left, they get a longer surrogate made of a keyed digest (addresses, names, phone
-numbers and secrets), and numbers of a fixed form the next free one in a keyed order.
+numbers and secrets); numbers of a fixed form then keep their first one, which is another of the corpus.
 
 A surname that a document names once is replaced wherever it stands as a word of its own in it.
 """
