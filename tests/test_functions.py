@@ -69,3 +69,16 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "text string, category string, scope string, timestamp long, metadata string")
     assert metadata.with_smart_metadata(none).count() == 0
     assert analytics.scope_category_counts(none).count() == 0
+
+
+def test_p95_whatever_the_spread(spark):
+    import numpy as np
+
+    from engramic.operators import analytics
+
+    rng = np.random.default_rng(1)
+    groups = {"even": rng.random(5000), "outlier": np.append(rng.random(4999), 1e12), "equal": np.full(3000, 7.0), "few": np.array([3.0, 1.0, 2.0]), "one": np.array([5.0]), "two": np.repeat([1.0, 2.0], [940, 60])}
+    rows = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [("even", None)], "g string, v double")
+    got = {r["g"]: (r["n"], r["p95"]) for r in analytics.latency_stats(rows, "g", "v").collect()}
+    assert got == {g: (len(vs), float(np.sort(vs)[int(np.ceil(len(vs) * 0.95)) - 1])) for g, vs in groups.items()}
+    assert analytics.latency_stats(rows.limit(0), "g", "v").count() == 0
