@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from engramic.functions import metadata, rules, scoring
 from engramic.functions.text import any_of, trim
+from engramic.operators.ordered import running_sum
 
 
 def scope_category_counts(rows: DataFrame) -> DataFrame:
@@ -91,18 +92,24 @@ def patterns(rows: DataFrame, strength: float, k: int = 6) -> DataFrame:
 
 
 def conversation_value(turns: DataFrame) -> DataFrame:
-    """conv_id, value (0 to 1): how much a conversation is worth extracting from. Turns never leave their rows.
+    """conv_id, value (0 to 1): how much a conversation is worth extracting from.
 
-    Patterns for the beginning of a text count in the first turn alone; no pattern is looked for
-    across turns.
+    Patterns are looked for in each turn and over the seam to the next one: the last line of the one,
+    a blank, and the first line of the other. Those for the beginning of a text count in the first turn
+    alone. A pattern over more than two turns is not found. Whole texts never leave their rows.
     """
     t = F.coalesce("text", F.lit(""))
+    placed = running_sum(turns.select("conv_id", "turn", t.alias("text")), "conv_id", "turn", F.lit(1), "pos")
+    heads = placed.select("conv_id", (F.col("pos") - 1).alias("pos"), F.substring_index("text", "\n", 1).alias("head"))
+    placed = placed.join(heads, ["conv_id", "pos"], "left").withColumn("seam", F.coalesce(F.concat(F.substring_index("text", "\n", -1), F.lit(" "), "head"), F.lit("")))
+    t = F.col("text")
+    starts = F.when(~F.contains(t, F.lit("\n")) & (F.col("seam") != ""), F.col("seam")).otherwise(t)
 
     def found(patterns: list[str]) -> Column:
         anywhere = [p for p in patterns if not p.startswith("^")]
         first = [p for p in patterns if p.startswith("^")]
-        out = F.max(any_of(t, anywhere).cast("int"))
-        return F.greatest(out, F.min_by(any_of(t, first).cast("int"), "turn")) if first else out
+        out = F.max((any_of(t, anywhere) | any_of(F.col("seam"), anywhere)).cast("int"))
+        return F.greatest(out, F.min_by(any_of(starts, first).cast("int"), "turn")) if first else out
 
     value = (
         found(rules.REMEMBER) * 0.5
@@ -111,7 +118,7 @@ def conversation_value(turns: DataFrame) -> DataFrame:
         + F.when(F.sum(F.when(F.length(trim(t)) > 20, F.length(t)).otherwise(0)) > 200, 0.2).otherwise(0.0)
         + F.when(F.count(F.lit(1)) > 6, 0.1).otherwise(0.0)
     )
-    return turns.groupBy("conv_id").agg(F.round(F.least(F.lit(1.0), value), 6).alias("value"))
+    return placed.groupBy("conv_id").agg(F.round(F.least(F.lit(1.0), value), 6).alias("value"))
 
 
 def fact_versions(facts: DataFrame) -> DataFrame:

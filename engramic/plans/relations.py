@@ -177,10 +177,14 @@ _T = "coalesce(text, '')"
 _ANYWHERE, _FIRST = [p for p in rules.CORRECTIONS if not p.startswith("^")], [p for p in rules.CORRECTIONS if p.startswith("^")]
 
 
-@query(f"""SELECT conv_id, round(least(1, 0.5 * max({columns._any(rules.REMEMBER, _T)}::INT) + 0.4 * max({columns._any(rules.TOOL_CALLS, _T)}::INT)
-  + 0.3 * greatest(max({columns._any(_ANYWHERE, _T)}::INT), min_by({columns._any(_FIRST, _T)}::INT, turn), max({columns._any(rules.DECISIONS, _T)}::INT))
-  + CASE WHEN sum(CASE WHEN length(trim({_T})) > 20 THEN length({_T}) ELSE 0 END) > 200 THEN 0.2 ELSE 0 END + CASE WHEN count(*) > 6 THEN 0.1 ELSE 0 END), 6)::DOUBLE AS value
-  FROM conversations GROUP BY 1""")
+_EITHER = lambda p: f"max(({columns._any(p, 'text')} OR {columns._any(p, 'seam')})::INT)"
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, {_T} AS text FROM conversations), s AS (SELECT *, coalesce(string_split(text, chr(10))[-1] || ' ' || string_split(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), chr(10))[1], '') AS seam FROM t)
+SELECT conv_id, round(least(1, 0.5 * {_EITHER(rules.REMEMBER)} + 0.4 * {_EITHER(rules.TOOL_CALLS)}
+  + 0.3 * greatest({_EITHER(_ANYWHERE)}, min_by({columns._any(_FIRST, "(CASE WHEN contains(text, chr(10)) OR seam = '' THEN text ELSE seam END)")}::INT, turn), {_EITHER(rules.DECISIONS)})
+  + CASE WHEN sum(CASE WHEN length(trim(text)) > 20 THEN length(text) ELSE 0 END) > 200 THEN 0.2 ELSE 0 END + CASE WHEN count(*) > 6 THEN 0.1 ELSE 0 END), 6)::DOUBLE AS value
+  FROM s GROUP BY 1""")
 def e16_conversation_value(spark, sf_dir):
     return analytics.conversation_value(table(spark, sf_dir, "conversations"))
 

@@ -82,3 +82,12 @@ def test_p95_whatever_the_spread(spark):
     got = {r["g"]: (r["n"], r["p95"]) for r in analytics.latency_stats(rows, "g", "v").collect()}
     assert got == {g: (len(vs), float(np.sort(vs)[int(np.ceil(len(vs) * 0.95)) - 1])) for g, vs in groups.items()}
     assert analytics.latency_stats(rows.limit(0), "g", "v").count() == 0
+
+
+def test_patterns_over_the_seam_of_two_turns_count(spark):
+    from engramic.operators import analytics
+
+    talks = {1: ["please keep in", "mind this"], 2: ["no", "use tabs"], 3: ["我不是猫", "而是狗"], 4: ["a\nwe", "will see"], 5: ["keep in\n", "mind"], 6: [None, None], 7: ["so", "no way"]}
+    rows = spark.createDataFrame([(c, i, t) for c, ts in talks.items() for i, t in enumerate(ts)], "conv_id long, turn long, text string")
+    got = {r["conv_id"]: r["value"] for r in analytics.conversation_value(rows).collect()}
+    assert got == {1: 0.5, 2: 0.3, 3: 0.3, 4: 0.0, 5: 0.0, 6: 0.0, 7: 0.0}
