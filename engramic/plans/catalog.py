@@ -109,8 +109,8 @@ def m13_trace_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def l13_explain_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each hit of m3 with its score after every stage and the stage that it left at."""
-    scores = [F.round(c, 4).alias(c) for c in ("searched", "reranked", "recent", "weighted", "normed", "score")]
-    return _m3_traced(spark, sf_dir).select("query_id", "id", *scores, "left_at")
+    scores = [F.round(c, 4).alias(c) for c in ("reranked", "recent", "weighted", "normed")]
+    return _m3_traced(spark, sf_dir).select("query_id", "id", *scores, "score", "left_at")
 
 
 def e3_drop_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,7 +237,7 @@ tr AS (SELECT query_id, place, stage, count(*) AS input_count, count_if(g > plac
 
 _TRACE = f"WITH {memories.SMART_SQL}, {_LIVE.format(also='')}, asked AS ({_ASKED}), {_traced()}"
 M2_SQL = f"{_TRACE} SELECT query_id, stage, input_count, output_count, dropped, least, most FROM tr"
-L13_SQL = f"{_TRACE} SELECT query_id, id, round(s0, 4) AS searched, round(r, 4) AS reranked, round(s1, 4) AS recent, round(s2, 4) AS weighted, round(s3, 4) AS normed, round(s4, 4) AS score, stage AS left_at FROM h9 LEFT JOIN st ON place = g"
+L13_SQL = f"{_TRACE} SELECT query_id, id, round(r, 4) AS reranked, round(s1, 4) AS recent, round(s2, 4) AS weighted, round(s3, 4) AS normed, s4 AS score, stage AS left_at FROM h9 LEFT JOIN st ON place = g"
 D6_SQL = rf"""WITH {memories.SMART_SQL}, {_LIVE.format(also='')}, asked AS ({_ASKED}), hit AS (SELECT a.query_id, l.id, l.text, l.scope FROM asked a JOIN live l ON a.query_id = l.doc_id),
 w AS (SELECT id, scope, text, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM live), z AS (SELECT scope, count(*) AS docs, avg(len(w)) AS mean FROM w GROUP BY 1),
 p AS (SELECT id, scope, n, term, count(*) AS tf FROM (SELECT id, scope, len(w) AS n, unnest(w) AS term FROM w) GROUP BY 1, 2, 3, 4), df AS (SELECT scope, term, count(*) AS df FROM p GROUP BY 1, 2),
