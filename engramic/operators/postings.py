@@ -94,8 +94,8 @@ def _shard(shards: int) -> Column:
     return F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
 
 
-def _postings(rows: DataFrame, shards: int) -> DataFrame:
-    """Postings of rows(id, text); a text's words stay in its task, nothing is shuffled."""
+def _postings(rows: DataFrame, shards: int, places: bool = True) -> DataFrame:
+    """Postings of rows(id, text); a text's words stay in its task, nothing is shuffled. Positions are null without ``places``."""
     sized = rows.select("id", _shard(shards).alias("shard"), terms_of(rows).alias("w"))
     kind = to_arrow_type(rows.schema["id"].dataType)
     names = ["term", "id", "tf", "length", "positions", "shard"]
@@ -113,8 +113,8 @@ def _postings(rows: DataFrame, shards: int) -> DataFrame:
             first = np.flatnonzero(np.diff(pair[order], prepend=-1))
             tf = np.diff(first, append=len(order))
             doc, word = owner[order][first], pair[order][first] % max(1, len(flat.dictionary))
-            positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(place[order], pa.int32()))
-            columns = [flat.dictionary.take(pa.array(word)), batch.column("id").take(pa.array(doc)).cast(kind), pa.array(tf, pa.int32()), pa.array(sizes[doc], pa.int32()), positions, batch.column("shard").take(pa.array(doc))]
+            kept = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(place[order], pa.int32())) if places else pa.nulls(len(first), pa.list_(pa.int32()))
+            columns = [flat.dictionary.take(pa.array(word)), batch.column("id").take(pa.array(doc)).cast(kind), pa.array(tf, pa.int32()), pa.array(sizes[doc], pa.int32()), kept, batch.column("shard").take(pa.array(doc))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return sized.mapInArrow(kernel, f"term string, id {rows.schema['id'].dataType.simpleString()}, tf int, length int, positions array<int>, shard int")
@@ -142,14 +142,14 @@ def _sized(rows: DataFrame) -> DataFrame:
     return rows.select("id", F.size(words(F.col("text"))).alias("length"), space.alias("space"))
 
 
-def build(rows: DataFrame, folder: str | None = None, shards: int | None = None) -> Index:
+def build(rows: DataFrame, folder: str | None = None, shards: int | None = None, places: bool = True) -> Index:
     """Index of rows(id, text), and space where documents of each space count for themselves.
 
     Ids are unique and not null; a null text has no words. ``folder`` is shared and new (null: one of our own).
     """
     spark = rows.sparkSession
     index = Index(spark, folder or f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", 0, ())
-    return _committed(index, (_write(index, _postings(rows, shards or _shards(rows)), _sized(rows)),))
+    return _committed(index, (_write(index, _postings(rows, shards or _shards(rows), places), _sized(rows)),))
 
 
 def _shards(rows: DataFrame) -> int:

@@ -148,7 +148,7 @@ def lexical_search(rows: DataFrame, queries: DataFrame, k: int = 20) -> DataFram
     ``indexed_search``. Rows without a word of the query are no hits. Where both have a ``space``,
     a query is asked of the rows of its own space alone, with that space's frequencies.
     """
-    return indexed_search(postings.build(rows), queries, k)
+    return indexed_search(postings.build(rows, places=False), queries, k)
 
 
 def indexed_search(index: postings.Index, queries: DataFrame, k: int = 20) -> DataFrame:
