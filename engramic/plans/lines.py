@@ -89,7 +89,7 @@ ROWS: dict[str, tuple[Callable[[Row], Column], str]] = {
     "c31_agent_exclusion": (lambda r: capture.excluded_agent(F.expr(_AGENT), F.expr(_SESSION), ["pi-", " helper", "temp:*", ""]), f"trim({_AGENT}) <> '' AND (starts_with(trim({_AGENT}), 'pi-') OR trim({_AGENT}) = 'helper' OR starts_with(trim({_SESSION}), 'temp:memory-reflection'))"),
     "c32_agent_id": (lambda r: capture.invalid_agent(F.expr(_AGENT), ["main", "pilot"]), f"trim({_AGENT}) = '' OR regexp_full_match({_AGENT}, '[0-9]+') OR {_AGENT} NOT IN ('main', 'pilot')"),
     "c33_scope_validity": (lambda r: capture.valid_scope(F.expr(_SCOPE), ["src1"]), f"trim({_SCOPE}) IN ('global', 'src1') OR regexp_matches(trim({_SCOPE}), '^(agent|custom|project|user|reflection):')"),
-    "d12_tier_of_decay": (lambda r: F.concat_ws("|", r.meta["tier"], F.coalesce(scoring.next_tier(r.meta["tier"], r.meta["access_count"], r.total, r.imp, r.at, r.now), r.meta["tier"]), r6(r.total).cast("decimal(9,4)")), f"(SELECT concat_ws('|', tier, CASE WHEN tier = 'peripheral' AND access_count >= 3 AND c >= 0.4 THEN 'working' WHEN tier = 'working' AND access_count >= 10 AND c >= 0.7 AND importance >= 0.8 THEN 'core' WHEN tier = 'working' AND (c < 0.15 OR (({NOW} - timestamp) / {DAY}.0 > 60 AND access_count < 3)) THEN 'peripheral' WHEN tier = 'core' AND c < 0.15 AND access_count < 3 THEN 'working' ELSE tier END, round(c, 6)::DECIMAL(9, 4)) FROM (SELECT {_TOTAL} AS c) z)"),
+    "d12_tier_of_decay": (lambda r: F.concat_ws("|", r.meta["tier"], F.coalesce(scoring.next_tier(r.meta["tier"], r.meta["access_count"], r.total, r.imp, r.at, r.now), r.meta["tier"]), r6(r.total).cast("decimal(9,4)")), f"(SELECT concat_ws('|', tier, CASE WHEN tier = 'peripheral' AND access_count >= 3 AND c >= 0.4 THEN 'working' WHEN tier = 'working' AND access_count >= 10 AND c >= 0.7 AND importance >= 0.8 THEN 'core' WHEN tier = 'working' AND (c < 0.15 OR (({NOW} - timestamp) / {DAY}.0 > 60 AND access_count < 3)) THEN 'peripheral' WHEN tier = 'core' AND c < 0.15 AND access_count < 3 THEN 'working' ELSE tier END, round(c, 6)::DECIMAL(9, 6)::DECIMAL(9, 4)) FROM (SELECT {_TOTAL} AS c) z)"),
     "g7_category_boost": (lambda r: r6(scoring.category_boost(r.score, F.col("category"), rules.intent(r.t))), f"round(CASE WHEN list_contains({_INTENDED}, category) THEN least(1, {_SCORE} * 1.15) ELSE {_SCORE} END, 6)"),
     "h2_scope_union": (lambda r: F.array_join(capture.accessible_scopes(F.expr(_AGENT), _ACCESS), ","), f"CASE trim({_AGENT}) WHEN 'main' THEN 'global,src:src1,reflection:agent:main' WHEN 'helper' THEN 'reflection:agent:helper' ELSE 'global,agent:' || trim({_AGENT}) || ',reflection:agent:' || trim({_AGENT}) END"),
     "h6_scope_intersection": (lambda r: F.array_join(F.array_intersect(F.array(F.col("scope"), F.lit("global"), F.lit("reflection:agent:main")), capture.accessible_scopes(F.lit("main"), _ACCESS)), ","), "CASE WHEN scope = 'src:src1' THEN 'src:src1,' ELSE '' END || 'global,reflection:agent:main'"),
