@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from engramic.functions.text import SPACE, trim
+from engramic.functions.text import bound, replaced_if, trim
 
 # Names of speaker tags, and invisible characters that may pad them.
 SPEAKERS = ["user_message", "assistant_message"]
@@ -52,20 +52,27 @@ def _without_metadata(text: Column) -> Column:
     """Without lines of system events and labelled JSON blocks, as often as removals uncover more, six times at most."""
     labels = "|".join(re.sub(r"([.*+?^${}()|\[\]\\/])", r"\\\1", s) for s in BLOCK_LABELS)
 
-    def once(t: Column, _: Column) -> Column:
-        t = F.regexp_replace(t, r"(?im)^System:\s*\[[^\n]*?\]\s*Exec\s+(?:completed|failed|started)\b.*$", "\n")
-        t = F.regexp_replace(t, rf"(?:^|\n)\s*(?:{labels})\s*\n```json[\s\S]*?\n```\s*", "\n")
-        return trim(F.regexp_replace(t, r"\n{3,}", "\n\n"))
+    def once(t: Column) -> Column:
+        event = r"(?im)^System:\s*\[[^\n]*?\]\s*Exec\s+(?:completed|failed|started)\b.*$"
+        t = bound(t, lambda x: F.when(F.contains(F.lower(x), F.lit("system:")), F.regexp_replace(x, event, "\n")).otherwise(x))
+        t = replaced_if(t, "```json", rf"(?:^|\n)\s*(?:{labels})\s*\n```json[\s\S]*?\n```\s*", "\n")
+        return trim(replaced_if(t, "\n\n\n", r"\n{3,}", "\n\n"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(6)), text, once)
+    # a text that a step left as it was is left so by all that follow
+    start = F.struct(text.alias("t"), F.lit(True).alias("changed"))
+    step = lambda s, _: F.when(s.changed, bound(once(s.t), lambda t: F.struct(t.alias("t"), (t != s.t).alias("changed")))).otherwise(s)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(6)), start, step, lambda s: s.t)
 
 
 def _without_reset(text: Column) -> Column:
     """Without the first paragraph (or, without a blank line, the first two lines) of a reset session."""
-    t = trim(text)
-    after = F.regexp_extract(t, r"^[\s\S]*?\n\n([\s\S]*)$", 1)
-    lines = F.array_join(F.slice(F.split(t, "\n", -1), F.lit(3), F.greatest(F.lit(0), F.size(F.split(t, "\n", -1)) - 2)), "\n")
-    return F.when(F.startswith(t, F.lit(RESET)), trim(F.when(F.contains(t, F.lit("\n\n")), after).otherwise(lines))).otherwise(t)
+
+    def rest(t: Column) -> Column:
+        after = F.regexp_extract(t, r"^[\s\S]*?\n\n([\s\S]*)$", 1)
+        lines = F.array_join(F.slice(F.split(t, "\n", -1), F.lit(3), F.greatest(F.lit(0), F.size(F.split(t, "\n", -1)) - 2)), "\n")
+        return F.when(F.startswith(t, F.lit(RESET)), trim(F.when(F.contains(t, F.lit("\n\n")), after).otherwise(lines))).otherwise(t)
+
+    return bound(trim(text), rest)
 
 
 def _without_wrappers(text: Column) -> Column:
@@ -73,16 +80,22 @@ def _without_wrappers(text: Column) -> Column:
     told = "|".join([rf"{SUBAGENT}.*?(?:\z|(?<=\.)\s+)", *[rf"{t}\.?\s*" for t in TOLD]])
 
     def line(raw: Column) -> Column:
-        t = trim(raw)
-        wraps = t.rlike(f"(?i){WRAPPER}")
+        return bound(trim(raw), lambda t: F.when(t.rlike(f"(?i){WRAPPER}"), wrapped(t)).otherwise(F.struct(raw.alias("kept"), (t != "").alias("ends"))))
+
+    def wrapped(t: Column) -> Column:
         inner = trim(F.regexp_replace(F.regexp_replace(trim(F.regexp_replace(t, rf"(?i){WRAPPER}\s*", "")), f"(?i)(?:{told})", ""), r"\s{2,}", " "))
-        return F.struct(F.when(wraps, inner).otherwise(raw).alias("kept"), F.when(wraps, inner != "").otherwise(t != "").alias("ends"))
+        return bound(inner, lambda x: F.struct(x.alias("kept"), (x != "").alias("ends")))
+
+    def without(raw: Column) -> Column:
+        # the first line that neither is blank nor only wraps ends the lead-in
+        first = F.array_position(F.transform(raw, lambda x: line(x).ends), F.lit(True)).cast("int")
+        return bound(first, lambda at: told_from(raw, at))
 
-    lines = F.transform(F.split(trim(text), "\n", -1), line)
-    # the first line that neither is blank nor only wraps ends the lead-in
-    first = F.array_position(F.transform(lines, lambda x: x.ends), F.lit(True)).cast("int")
-    later = F.slice(F.split(trim(text), "\n", -1), first + 1, F.greatest(F.lit(0), F.size(lines) - first))
-    return F.when(first > 0, trim(F.array_join(F.concat(F.array(F.try_element_at(lines, first).kept), later), "\n"))).otherwise("")
+    def told_from(raw: Column, at: Column) -> Column:
+        later = F.slice(raw, at + 1, F.greatest(F.lit(0), F.size(raw) - at))
+        return F.when(at > 0, trim(F.array_join(F.concat(F.array(line(F.try_element_at(raw, at)).kept), later), "\n"))).otherwise("")
+
+    return bound(F.split(trim(text), "\n", -1), without)
 
 
 def capture_text(role: Column, text: Column) -> Column:
@@ -90,13 +103,16 @@ def capture_text(role: Column, text: Column) -> Column:
 
     Messages of others than users are only trimmed.
     """
-    t = trim(text)
-    t = F.regexp_replace(t, r"(?i)<relevant-memories>\s*[\s\S]*?</relevant-memories>\s*", "")
-    t = F.regexp_replace(t, r"(?i)\[UNTRUSTED DATA[^\n]*\][\s\S]*?\[END UNTRUSTED DATA\]\s*", "")
-    t = _without_metadata(_without_reset(t))
-    t = trim(F.regexp_replace(t, r"^(?:<@!?[0-9]+>|@[A-Za-z0-9_.-]+)\s*", ""))
-    t = trim(F.regexp_replace(_without_metadata(_without_wrappers(t)), r"\n{3,}", "\n\n"))
-    return F.when(role.isNotNull(), F.nullif(F.when(role == "user", t).otherwise(trim(text)), F.lit("")))
+
+    def said(t: Column) -> Column:
+        t = replaced_if(t, "<", r"(?i)<relevant-memories>\s*[\s\S]*?</relevant-memories>\s*", "")
+        t = replaced_if(t, "[", r"(?i)\[UNTRUSTED DATA[^\n]*\][\s\S]*?\[END UNTRUSTED DATA\]\s*", "")
+        t = _without_metadata(_without_reset(t))
+        t = trim(F.regexp_replace(t, r"^(?:<@!?[0-9]+>|@[A-Za-z0-9_.-]+)\s*", ""))
+        return trim(replaced_if(_without_metadata(_without_wrappers(t)), "\n\n\n", r"\n{3,}", "\n\n"))
+
+    found = bound(trim(text), lambda t: F.when(role == "user", said(t)).otherwise(t))
+    return F.when(role.isNotNull(), bound(found, lambda t: F.when(t != "", t)))
 
 
 _TRIM = re.compile("^(?:\\s|\ufeff)+|(?:\\s|\ufeff)+$")
