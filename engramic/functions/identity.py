@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from engramic.functions.text import any_of, java, trim
+from engramic.functions.text import any_of, bound, java, trim
 
 # Patterns, without regard to case; the first group is the value.
 NAMES = [r"(?:我的名字是|我(?:现在)?叫|本名是)\s*([^\s，。,.!！?？\"'“”‘’「」『』]+)", r"calls?\s+themselves\s+['\"]([^'\"]+)['\"]", r"name\s+is\s+['\"]?([^'\".,\n]+)['\"]?"]
@@ -33,7 +33,7 @@ CLAUSE_END, ITEM_SPLIT = "(?iu)(?:因为|所以|但是|不过|if |when |because
 def _value(text: Column, patterns: list[str]) -> Column:
     def cut(x: Column) -> Column:
         x = F.regexp_replace(x, r"""^[\s"'“”‘’「」『』*`_]+""", "")
-        return F.nullif(trim(F.regexp_replace(x, r"""[\s"'“”‘’「」『』*`_。！，、,.!?:：；;]+$""", "")), F.lit(""))
+        return bound(trim(F.regexp_replace(x, r"""[\s"'“”‘’「」『』*`_。！，、,.!?:：；;]+$""", "")), lambda v: F.when(v != "", v))
 
     return F.coalesce(*[cut(F.regexp_extract(text, "(?iu)" + java(p), 1)) for p in patterns])
 
@@ -103,9 +103,23 @@ def canonical(category: Column, abstract: Column, overview: Column, content: Col
 
 def kept_in_profile(memory_category: Column, fact_key: Column, text: Column, profile: bool = True, name: bool = True, addressing: bool = True) -> Column:
     """``belongs_to_profile`` for the routes that are on: profile rows and hints, names, forms of address."""
-    s = slots(text, fact_key)
-    routes = [(profile, F.coalesce(memory_category == "profile", F.lit(False)) | any_of(text, PROFILE_HINTS)), (name, s["name"]), (addressing, s["addressing"])]
+    return kept_by(profile_routes(memory_category, fact_key, text), profile, name, addressing)
+
+
+def profile_routes(memory_category: Column, fact_key: Column, text: Column) -> Column:
+    """struct(profile, name, addressing): the routes by which a row belongs to the profile; its text is searched once."""
+
+    def found(t: Column) -> Column:
+        s = slots(t, fact_key)
+        hinted = F.coalesce(memory_category == "profile", F.lit(False)) | any_of(t, PROFILE_HINTS)
+        return F.struct(hinted.alias("profile"), s["name"].alias("name"), s["addressing"].alias("addressing"))
+
+    return bound(text, found)
+
+
+def kept_by(routes: Column, profile: bool = True, name: bool = True, addressing: bool = True) -> Column:
+    """Whether one of the routes that are on was found."""
     out = F.lit(False)
-    for on, hit in routes:
+    for on, hit in [(profile, routes["profile"]), (name, routes["name"]), (addressing, routes["addressing"])]:
         out = out | hit if on else out
     return out

@@ -5,10 +5,12 @@ The lists are fixed values; in them `\\b` stands between ASCII word characters.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from engramic.functions.text import any_of, java, squeeze, trim
+from engramic.functions.text import any_of, bound, java, replaced_if, squeeze, trim
 
 # Patterns, without regard to case.
 DENIALS = [r"i don'?t have (any )?(information|data|memory|record)", r"i'?m not sure about", r"i don'?t recall", r"i don'?t remember", r"it looks like i don'?t", r"i wasn'?t able to find", r"no (relevant )?memories found", r"i don'?t have access to"]
@@ -40,6 +42,8 @@ ACKNOWLEDGED = [r"^(ok|okay|k|sure|fine|thanks|thank you|thx|ty|got it|understoo
 REMEMBER = [r"\b(remember|recall|don'?t forget|note that|keep in mind)\b", "(记住|記住|别忘|不要忘|记一下|記一下)"]
 ERRORS = [r"\[error\]|error:|exception:|fatal:|traceback|syntaxerror|typeerror|referenceerror|npm err!", "command not found|no such file|permission denied|non-zero|exit code", r'"status"\s*:\s*"error"|"status"\s*:\s*"failed"|\biserror\b', r"错误\s*[：:]|异常\s*[：:]|报错\s*[：:]|失败\s*[：:]"]
 SECRETS = [r"\bsk-[A-Za-z0-9]{20,}\b", r"\bsk-proj-[A-Za-z0-9\-_]{20,}\b", r"\bsk-ant-[A-Za-z0-9\-_]{20,}\b", r"\bghp_[A-Za-z0-9]{36,}\b", r"\bgho_[A-Za-z0-9]{36,}\b", r"\bghu_[A-Za-z0-9]{36,}\b", r"\bghs_[A-Za-z0-9]{36,}\b", r"\bgithub_pat_[A-Za-z0-9_]{22,}\b", r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b", r"\bAIza[0-9A-Za-z_-]{20,}\b", r"\bAKIA[0-9A-Z]{16}\b", r"\bnpm_[A-Za-z0-9]{36,}\b", r"(?i)\b(?:token|api[_-]?key|secret|password)\s*[:=]\s*[\"']?[^\s\"',;)}\]]{6,}[\"']?\b", r"-----BEGIN\s+(?:RSA\s+|EC\s+|DSA\s+|OPENSSH\s+)?PRIVATE\s+KEY-----[\s\S]*?-----END\s+(?:RSA\s+|EC\s+|DSA\s+|OPENSSH\s+)?PRIVATE\s+KEY-----", r"(?<=://)[^@\s]+:[^@\s]+(?=@)", r"/home/[^\s\"',;)}\]]+", r"/Users/[^\s\"',;)}\]]+", r"[A-Z]:\\[^\s\"',;)}\]]+", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"]
+#: What a text must hold for each of these patterns; None where no one literal is sure.
+SECRET_MARKS = ["sk-", "sk-proj-", "sk-ant-", "ghp_", "gho_", "ghu_", "ghs_", "github_pat_", "xox", "AIza", "AKIA", "npm_", None, "-----BEGIN", "://", "/home/", "/Users/", ":\\", "@"]
 # Words that make no pattern.
 STOP_WORDS = ["about", "after", "again", "also", "because", "before", "between", "could", "memory", "should", "their", "there", "these", "those", "through", "using", "where", "which", "while", "would"]
 # Groups of words and what they add to a query; the name of one store is left out.
@@ -100,16 +104,18 @@ def expiry(text: Column, now: Column) -> Column:
 
 def intent(text: Column) -> Column:
     """struct(label, depth, confidence, categories); the first rule that fits decides."""
-    t = trim(text)
 
     def known(label: str, depth: str, confidence: str, categories: list[str]) -> Column:
         named = F.array(*map(F.lit, categories)) if categories else F.array().cast("array<string>")
         return F.struct(F.lit(label).alias("label"), F.lit(depth).alias("depth"), F.lit(confidence).alias("confidence"), named.alias("categories"))
 
-    out = F.when(t == "", known("empty", "l0", "low", []))
-    for label, depth, patterns, categories in INTENTS:
-        out = out.when(any_of(t, patterns), known(label, depth, "high", categories))
-    return out.otherwise(known("broad", "l0", "low", []))
+    def first(t: Column) -> Column:
+        out = F.when(t == "", known("empty", "l0", "low", []))
+        for label, depth, patterns, categories in INTENTS:
+            out = out.when(any_of(t, patterns), known(label, depth, "high", categories))
+        return out.otherwise(known("broad", "l0", "low", []))
+
+    return bound(trim(text), first)
 
 
 def category_hint(text: Column) -> Column:
@@ -140,18 +146,29 @@ def has_error(text: Column) -> Column:
     return any_of(F.lower(text), ERRORS)
 
 
+def _with(f: Callable[[Column, str], Column], pattern: str) -> Callable[[Column], Column]:
+    return lambda t: f(t, pattern)
+
+
 def redact(text: Column) -> Column:
     """Bearer tokens keep their word; all other secrets go whole."""
-    out = F.regexp_replace(text, r"Bearer\s+[A-Za-z0-9\-._~+/]+=*", "Bearer [REDACTED]")
-    for pattern in SECRETS:
-        out = F.regexp_replace(out, java(pattern), "[REDACTED]")
+    out = replaced_if(text, "Bearer", r"Bearer\s+[A-Za-z0-9\-._~+/]+=*", "Bearer [REDACTED]")
+
+    def fitting(t: Column, pattern: str) -> Column:
+        # word boundaries are slow to look for, so only texts that fit without them are searched with them
+        return F.when(t.rlike(pattern.replace(r"\b", "")), F.regexp_replace(t, java(pattern), "[REDACTED]")).otherwise(t)
+
+    for pattern, mark in zip(SECRETS, SECRET_MARKS, strict=True):
+        out = replaced_if(out, mark, java(pattern), "[REDACTED]") if mark else bound(out, _with(fitting, pattern))
     return out
 
 
 def error_signature(text: Column) -> Column:
     s = F.lower(redact(text))
-    for pattern, mark in [(r"[a-z]:\\[^ \n\r\t]+", "<path>"), (r"/[^ \n\r\t]+", "<path>"), (r"\b0x[0-9a-f]+\b", "<hex>"), (r"\b[0-9]+\b", "<n>")]:
-        s = F.regexp_replace(s, java(pattern), mark)
+    for held, pattern, mark in [(":\\", r"[a-z]:\\[^ \n\r\t]+", "<path>"), ("/", r"/[^ \n\r\t]+", "<path>"), ("0x", java(r"\b0x[0-9a-f]+\b"), "<hex>")]:
+        s = replaced_if(s, held, pattern, mark)
+    # digits are word characters, so their boundaries are looked for on one side each
+    s = F.regexp_replace(s, "(?<![A-Za-z0-9_])[0-9]++(?![A-Za-z0-9_])", "<n>")
     return F.substring(squeeze(s), 1, 240)
 
 
