@@ -33,6 +33,8 @@ K1, B = 1.2, 0.75
 FOLD_AFTER = 20
 #: Documents of a shard, about; the scores of a shard's documents for a block of queries are held at once.
 SHARD_DOCUMENTS = 1024
+#: Words whose postings a task makes at once, about; a document stays whole.
+MOST_WORDS = 250_000
 TOKEN = r"[\p{L}\p{N}]+"
 
 
@@ -94,6 +96,13 @@ def _shard(shards: int) -> Column:
     return F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
 
 
+def _by_words(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about MOST_WORDS words, so that what is held beside it does not grow with it."""
+    part = np.cumsum(np.diff(batch.column("w").offsets.to_numpy())) // MOST_WORDS
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    yield from (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False) if b > a)
+
+
 def _postings(rows: DataFrame, shards: int, places: bool = True) -> DataFrame:
     """Postings of rows(id, text); a text's words stay in its task, nothing is shuffled. Positions are null without ``places``."""
     sized = rows.select("id", _shard(shards).alias("shard"), terms_of(rows).alias("w"))
@@ -101,7 +110,7 @@ def _postings(rows: DataFrame, shards: int, places: bool = True) -> DataFrame:
     names = ["term", "id", "tf", "length", "positions", "shard"]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _by_words(whole)):
             lists = batch.column("w")
             # a number for each (document, word) of the batch, in order of first occurrence
             sizes = np.diff(lists.offsets.to_numpy())
