@@ -35,6 +35,8 @@ FOLD_AFTER = 20
 SHARD_DOCUMENTS = 1024
 #: Words whose postings a task makes at once, about; a document stays whole.
 MOST_WORDS = 250_000
+#: Words that add to this share of a shard's scores are added as products of matrices, of so many words and queries; the others by so many sums at once, about.
+COMMON, MOST_COMMON, MOST_ROWS, MOST_SUMS = 0.003, 256, 1024, 2_000_000
 TOKEN = r"[\p{L}\p{N}]+"
 
 
@@ -194,21 +196,59 @@ def rebuilt(index: Index, rows: DataFrame) -> Index:
     return _committed(index, (_write(index, _postings(rows, _shards(rows)), _sized(rows)),))
 
 
+@dataclass(frozen=True)
+class Askers:
+    """Which queries ask for each word of a block: those of all words in a row."""
+
+    names: list
+    counts: np.ndarray
+    queries: np.ndarray
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.counts) - self.counts
+
+
+def scores_of_shard(asked: Askers, docs: int, number: np.ndarray, doc: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Sums of the weights of each query's words in each document; postings are sorted by the number of the word."""
+    total = np.zeros((len(asked.names), docs))
+    first = np.flatnonzero(np.diff(number, prepend=-1))
+    size = np.diff(first, append=len(number))
+    common = asked.counts[number[first]] * size >= COMMON * total.size
+    starts = asked.starts
+    # the words of many queries and documents
+    words = list(zip(number[first[common]].tolist(), first[common].tolist(), size[common].tolist(), strict=True))
+    for some in (words[k : k + MOST_COMMON] for k in range(0, len(words), MOST_COMMON)):
+        asks, holds = np.zeros((len(some), len(asked.names))), np.zeros((len(some), docs))
+        for j, (n, at, many) in enumerate(some):
+            asks[j, asked.queries[starts[n] : starts[n] + asked.counts[n]]] = 1
+            holds[j, doc[at : at + many]] = weight[at : at + many]
+        for k in range(0, len(total), MOST_ROWS):
+            total[k : k + MOST_ROWS] += asks[:, k : k + MOST_ROWS].T @ holds
+    # each posting of the others for each query that asks for its word
+    rare = np.flatnonzero(~np.repeat(common, size))
+    times = asked.counts[number[rare]]
+    part = np.cumsum(times) // MOST_SUMS
+    for some in np.split(np.arange(len(rare)), np.flatnonzero(np.diff(part)) + 1):
+        n = times[some]
+        own = np.repeat(rare[some], n)
+        place = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+        np.add.at(total.reshape(-1), asked.queries[starts[number[own]] + place] * docs + doc[own], weight[own])
+    return total
+
+
 def best_of_shard(held: Broadcast, k: int, id_type: pa.DataType, query_type: pa.DataType) -> Callable[[pa.Table], pa.Table]:
     """Scores of a shard's postings (id, number of the term, weight): the k best of each query, equal ones by id."""
 
     def kernel(table: pa.Table) -> pa.Table:
-        names, askers = held.value
         encoded = table.column("id").combine_chunks().dictionary_encode()
         ids, doc = encoded.dictionary, encoded.indices.to_numpy()
         by_id = np.argsort(np.asarray(ids.to_pylist(), object), kind="stable")
         place = np.empty(len(ids), np.int64)
         place[by_id] = np.arange(len(ids))
-        number, weight = table.column("number").to_numpy(), table.column("weight").to_numpy()
-        total = np.zeros((len(names), len(ids)))
+        number = table.column("number").to_numpy()
         at = np.argsort(number, kind="stable")
-        for part in np.split(at, np.flatnonzero(np.diff(number[at])) + 1):
-            total[askers[number[part[0]]][:, None], place[doc[part]]] += weight[part]
+        names, total = held.value.names, scores_of_shard(held.value, len(ids), number[at], place[doc[at]], table.column("weight").to_numpy()[at])
         queries, docs, scores = [], [], []
         for i, row in enumerate(total):
             hits = np.flatnonzero(row)
@@ -233,7 +273,9 @@ def search_block(index: Index, block: list[tuple], query_id: DataType, k: int) -
         for t in terms:
             askers.setdefault(t, []).append(i)
     told = spark.createDataFrame([(t, n) for n, t in enumerate(askers)], "term string, number int")
-    held = spark.sparkContext.broadcast(([q for q, _ in block], [np.asarray(a) for a in askers.values()]))
+    counts = np.fromiter(map(len, askers.values()), np.int64, len(askers))
+    queries = np.fromiter((i for a in askers.values() for i in a), np.int64)
+    held = spark.sparkContext.broadcast(Askers([q for q, _ in block], counts, queries))
     sizes = index.documents().groupBy("space").agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"))
     idf = F.log1p((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     # the terms of a block are bounded by the block
