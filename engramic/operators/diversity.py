@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
@@ -29,11 +29,12 @@ def diversified(hits: DataFrame, threshold: float = 0.85) -> DataFrame:
     hits of one query, so it is bounded by the search.
     """
 
-    def reorder(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["score", "id"], ascending=[False, True])
-        group["deferred"] = [not s for s in survivors(list(group["vector"]), threshold)]
-        group = group.sort_values("deferred", kind="stable")
-        group["position"] = range(1, len(group) + 1)
-        return group[["query_id", "id", "score", "position", "deferred"]]
+    def reorder(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("score", "descending"), ("id", "ascending")])
+        deferred = np.asarray([not s for s in survivors(group.column("vector").to_pylist(), threshold)])
+        order = np.argsort(deferred, kind="stable")
+        group = group.drop_columns("vector").take(pa.array(order))
+        return group.append_column("position", pa.array(np.arange(1, len(order) + 1), pa.int32())).append_column("deferred", pa.array(deferred[order]))
 
-    return hits.select("query_id", "id", "score", "vector").groupBy("query_id").applyInPandas(reorder, "" + f"query_id {hits.schema['query_id'].dataType.simpleString()}, id {hits.schema['id'].dataType.simpleString()}, score double, position int, deferred boolean")
+    kinds = {c: hits.schema[c].dataType.simpleString() for c in ("query_id", "id")}
+    return hits.select("query_id", "id", "score", "vector").groupBy("query_id").applyInArrow(reorder, f"query_id {kinds['query_id']}, id {kinds['id']}, score double, position int, deferred boolean")

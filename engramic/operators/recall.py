@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from engramic.functions import metadata, rules, scoring
 from engramic.operators import diversity, retrieval, store
+from engramic.operators.stored import written
 
 # Hits before fusion, scores below which hits go, and the most results of a query.
 POOL, MIN_SCORE, HARD_MIN, MOST_RESULTS = 20, 0.3, 0.35, 20
@@ -22,6 +23,9 @@ STAGES = {
     "min_score": "searched", "expired": "searched", "rerank_window": "searched", "rerank": "reranked", "recency_boost": "recent", "importance_weight": "weighted",
     "length_norm": "normed", "time_decay": "score", "hard_min_score": "score", "noise_filter": "score", "diversity": "score", "limit": "score",
 }
+#: What a recall reads of a row and of its typed metadata.
+COLUMNS = ["id", "text", "vector", "category", "scope", "importance", "timestamp"]
+FIELDS = ["valid_from", "invalidated_at", "valid_until", "temporal_type", "reinforced", "reinforced_at", "stamped_category"]
 
 
 def searchable(rows: DataFrame, scopes: list[str] | None, now: Column) -> DataFrame:
@@ -30,6 +34,12 @@ def searchable(rows: DataFrame, scopes: list[str] | None, now: Column) -> DataFr
     return store.scoped(rows, scopes).where(begun)
 
 
+def narrowed(rows: DataFrame, *also: str) -> DataFrame:
+    """What a recall reads of the rows, and ``also`` these columns; to be stored before one."""
+    meta = F.struct(*[F.col(f"meta.{f}").alias(f) for f in FIELDS]).alias("meta")
+    return rows.select(*COLUMNS, *also, meta)
+
+
 def of_category(hits: DataFrame, rows: DataFrame, category: str | None) -> DataFrame:
     if category is None:
         return hits
@@ -52,8 +62,12 @@ def traced(hits: DataFrame, rows: DataFrame, now: Column, limit: int, queries: D
     corpus = F.col("id").startswith("corpus:")
     dynamic = F.coalesce(F.col("meta.temporal_type") == "dynamic", F.lit(False))
     half = scoring.effective_half_life(F.when(dynamic, HALF_LIFE / 3).otherwise(HALF_LIFE), F.col("meta.reinforced"), F.col("meta.reinforced_at"), now)
-    told = rows.select("id", "text", "timestamp", "importance", "vector", corpus.alias("corpus"), half.alias("half"), F.coalesce(F.col("meta.valid_until") <= now, F.lit(False)).alias("over"))
-    t = hits.withColumnRenamed("score", "searched").join(told, "id")
+    # texts are looked at once a row, however many queries found it: in one plan the search for noise would run once a hit
+    hits = written(hits, "hits")
+    found = rows.join(hits.select("id").distinct(), "id", "left_semi")
+    over = F.coalesce(F.col("meta.valid_until") <= now, F.lit(False))
+    told = found.select("id", F.length("text").alias("length"), rules.is_noise(F.col("text")).alias("noise"), "timestamp", "importance", "vector", corpus.alias("corpus"), half.alias("half"), over.alias("over"))
+    t = hits.withColumnRenamed("score", "searched").join(written(told, "told"), "id")
     weak = F.col("searched") < least if least is not None else F.lit(False)
     t = t.withColumn("left_at", F.when(weak, "min_score").when(F.col("over"), "expired")).drop("over")
     if queries is None:
@@ -63,14 +77,15 @@ def traced(hits: DataFrame, rows: DataFrame, now: Column, limit: int, queries: D
         late = F.col("left_at").isNull() & (F.row_number().over(best) > 2 * limit)
         t = t.withColumn("left_at", F.when(late, "rerank_window").otherwise(F.col("left_at")))
         t = t.join(queries.select("query_id", F.col("vector").alias("q")), "query_id")
-        t = t.withColumn("reranked", scoring.cosine_rerank(F.col("searched"), F.coalesce(retrieval.cosine(F.col("vector"), F.col("q")), F.lit(0.0)))).drop("q")
+        t = t.withColumn("near", F.coalesce(retrieval.cosine(F.col("vector"), F.col("q")), F.lit(0.0))).drop("q")
+        t = t.withColumn("reranked", scoring.cosine_rerank(F.col("searched"), F.col("near"))).drop("near")
     t = t.withColumn("recent", scoring.recency_boost(F.col("reranked"), F.col("timestamp"), now))
     t = t.withColumn("weighted", scoring.importance_weight(F.col("recent"), F.col("importance")))
-    t = t.withColumn("normed", F.greatest(F.col("weighted") * 0.3, scoring.length_norm(F.col("weighted"), F.length("text"), F.col("corpus"))))
+    t = t.withColumn("normed", F.greatest(F.col("weighted") * 0.3, scoring.length_norm(F.col("weighted"), F.col("length"), F.col("corpus"))))
     t = t.withColumn("score", F.round(F.greatest(F.col("normed") * 0.5, scoring.time_decay(F.col("normed"), F.col("timestamp"), F.col("half"), F.col("corpus"), now)), 6))
-    noise = rules.is_noise(F.col("text"))
-    left = F.when(F.col("left_at").isNotNull(), F.col("left_at")).when(F.col("score") < HARD_MIN, "hard_min_score").when(noise, "noise_filter")
-    t = t.withColumn("left_at", left).drop("text", "timestamp", "importance", "corpus", "half")
+    left = F.when(F.col("left_at").isNotNull(), F.col("left_at")).when(F.col("score") < HARD_MIN, "hard_min_score").when(F.col("noise"), "noise_filter")
+    # scores are computed once; a filter on what they lead to would hold them all, each in the next
+    t = written(t.withColumn("left_at", left).drop("length", "noise", "timestamp", "importance", "corpus", "half"), "scored")
     # hits that are left go in order, diverse ones first; a group is the hits of one query
     order = diversity.diversified(t.where("left_at IS NULL")).select("query_id", "id", "position")
     t = t.drop("vector").join(order, ["query_id", "id"], "left")
